@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import pii, toxicity
+from docsift.llm import mixing, neardup, packing, pii, toxicity
 from docsift.llm._shared import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,7 +26,23 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
-STAGES = [("toxicity", toxicity_stage), ("pii", pii_stage)]
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of five-word-shingle similarity 0.8 and more."""
+    return neardup.unique(docs.select(*COLUMNS), size=5)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document at its fitted rate, at most once, so the scarce domains set the total."""
+    return mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), max_rate=1.0)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("neardup", neardup_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+#: The stages train models and draw components, which SQL cannot express.
 ORACLE_SQL = None
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import gif, grades, pii, rules, toxicity
+from . import gif, grades, mixing, neardup, packing, pii, rules, sharding, substrings, toxicity
 from ._shared import table
 
 
@@ -29,5 +28,28 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_gif, op3_ordinal_quality, op4_risk_rules, op5_pseudonyms)}
+def op6_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), size=2)
+
+
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(table(spark, sf_dir, "documents"))
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_gif, op3_ordinal_quality, op4_risk_rules, op5_pseudonyms, op6_best_fit_shards, op7_chosen_path, op8_mixture_packing, op9_suffix_dedup, op10_soft_mixing)
+}
 ORACLES: dict[str, str] = {}
