@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from docsift.plans import retrieval
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in (retrieval,):
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
