@@ -26,6 +26,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,3 +51,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     picked = picked.select(F.col("doc_id").alias("label_id"), *[F.col(c).alias(f"label_{c}") for c in columns])
     # at most max_rows narrow rows: a proven bound for the broadcast
     return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).drop("label_id")
+
+
+BUCKETS = 1 << 20
+
+
+def _near(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS))
+    near = ids.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("near_bucket")).distinct()
+    return docs.join(F.broadcast(near), bucket == F.col("near_bucket"), how)
+
+
+def maybe_named(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key may be among ids (one column id): others stay out of later shuffles.
+
+    What is broadcast are hash buckets, BUCKETS rows at most whatever the corpus.
+    """
+    return _near(docs, ids, key, "left_semi")
+
+
+def unnamed(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is not among ids (one column id). Only rows of a shared bucket are shuffled."""
+    sure = _near(docs, ids, key, "left_anti")
+    return sure.unionByName(maybe_named(docs, ids, key).join(ids.hint("merge"), F.col(key) == F.col("id"), "left_anti"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows at once for the Python workers: rows here are whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,7 +14,7 @@ import pyarrow as pa
 SEPARATORS = (0x20, *range(0x09, 0x0E))
 _SEP = np.zeros(256, bool)
 _SEP[list(SEPARATORS)] = True
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 U64 = np.uint64
 
 

@@ -233,6 +233,7 @@ def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_row
             yield from solve(pa.Table.from_batches(held))
 
     spots = spots.groupBy(F.col("doc_id").alias("spot_doc")).agg(F.collect_set("position").alias("spots"))
+    docs = _shared.maybe_named(docs, spots.select(F.col("spot_doc").alias("id")))
     rows = docs.join(spots, F.col("doc_id") == F.col("spot_doc")).select("doc_id", "text", "spots").mapInArrow(emit, "cell bigint, key bigint, tail bigint, doc_id bigint, start int, known boolean")
     return rows.repartition("cell").sortWithinPartitions("key", "tail", "doc_id").mapInArrow(trees, "doc_id bigint, start int")
 
@@ -243,12 +244,13 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows:
     facts = _shared.stored(base(docs), "substring-base")
     heads = facts.filter("doc_id is not null").groupBy("all_sha256").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
     heads = _shared.stored(heads, "substring-heads")
-    first = docs.join(heads.select("head").distinct(), F.col("doc_id") == F.col("head"), "left_semi")
+    copies = facts.join(heads.filter("head < last"), "all_sha256").filter("doc_id > head").select(F.col("doc_id").alias("copy_doc"), F.col("all_sha256").alias("copy_sha")).distinct()
+    copies = _shared.stored(copies, "substring-copies")
+    first = _shared.unnamed(docs.filter("doc_id is not null"), copies.select(F.col("copy_doc").alias("id")).distinct())
     spots = _shared.stored(shared_anchors(first, window, gram), "substring-spots")
     found = _shared.stored(repeats(first, spots, window, gram, group_rows).distinct(), "substring-repeats")
     # maximal repeats: overlapping windows merge when the words they cover are removed
     marks = found.groupBy(F.col("doc_id").alias("mark_doc")).agg(F.collect_list("start").alias("starts"))
-    copies = facts.join(heads.filter("head < last"), "all_sha256").filter("doc_id > head").select(F.col("doc_id").alias("copy_doc"), F.col("all_sha256").alias("copy_sha")).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +263,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows:
                 n.append(len(words)), gone.append(int(drop.sum())), sha.append(hashlib.sha256(kept).hexdigest()), kept_text.append(kept.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    touched = docs.join(marks, F.col("doc_id") == F.col("mark_doc")).select("doc_id", "text", "starts").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    touched = _shared.maybe_named(docs, found.select(F.col("doc_id").alias("id")).distinct()).join(marks, F.col("doc_id") == F.col("mark_doc")).select("doc_id", "text", "starts").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     rest = facts.join(found.select(F.col("doc_id").alias("mark_doc")).distinct(), F.col("doc_id") == F.col("mark_doc"), "left_anti").join(
         copies, (F.col("doc_id") == F.col("copy_doc")) & (F.col("all_sha256") == F.col("copy_sha")), "left"
     )
