@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from . import _shared
 
 DOMAINS = ("poor", "toxic", "good")
-TARGETS = {"poor": 0.05, "toxic": 0.01, "good": 0.94}
+TARGETS = {"poor": 0.05, "toxic": 0.03, "good": 0.92}
 BUCKETS, STEPS, ROUNDS, MAX_ROWS, MAX_RATE, SHRINK = 1 << 16, 64, 40, 10_000, 4.0, 20.0
 SPLIT = "[ \\t-\\r]+"
 
 
 def words(text: Column | str = "text") -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), "[\\t-\\r]", " ")), " +")
+    """Lower-case words; one empty word for a text without any."""
+    text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), SPLIT)
 
 
 def domain() -> Column:
@@ -61,86 +63,81 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[D
 
 
 def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]]) -> DataFrame:
-    """doc_id, source, mix_hash (of the text), n_tokens and p_poor, p_toxic, p_good in steps of 1 / STEPS; a row for each of docs.
+    """doc_id, mix_hash (of the text), n_tokens and p_poor, p_toxic, p_good in steps of 1 / STEPS; a row for each of docs.
 
     Words meet the weights by a broadcast of BUCKETS rows and are summed before anything is shuffled,
     so a document costs one narrow row. Equal rows share a group and are counted apart afterwards.
     """
     weights, prior = model
-    rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mix_hash"), F.posexplode(words()).alias("pos", "word"))
-    rows = rows.withColumn("w_bucket", F.when(F.col("word") != "", bucket(F.col("word"))))
-    rows = rows.join(F.broadcast(weights), "w_bucket", "left")
-    sums = rows.groupBy("doc_id", "source", "mix_hash").agg(
-        F.count(F.when(F.col("pos") == 0, 1)).alias("m"), F.count("w_bucket").alias("n"),
-        *[F.coalesce(f(x), F.lit(0.0)).alias(f"{name}{k}") for k in (0, 1) for name, f, x in (("s", F.sum, f"r{k}"), ("t", F.max, f"r{k}"))],
-    )
-    n = F.greatest(F.col("n") / F.col("m"), F.lit(1.0))
-    # mean evidence, growing with the square root of the length, and the strongest single piece where it is beyond chance
-    z = [F.col(f"s{k}") / F.col("m") / F.sqrt(n) + 2.5 * F.greatest(F.col(f"t{k}") - 1.5, F.lit(0.0)) + (prior[k] - prior[2]) for k in (0, 1)]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("mix_hash"), words().alias("mix_words"))
+    rows = rows.select("doc_id", "mix_hash", F.when(F.element_at("mix_words", 1) == "", 0).otherwise(F.size("mix_words")).alias("n"), F.explode("mix_words").alias("word"))
+    rows = rows.select("doc_id", "mix_hash", "n", bucket(F.col("word")).cast("bigint").alias("w_bucket"))
+    rows = rows.join(F.broadcast(weights.withColumn("w_bucket", F.col("w_bucket").cast("bigint"))), "w_bucket", "left")
+    rows = rows.select("doc_id", "mix_hash", "n", *[F.when(F.col("n") > 0, F.coalesce(f"r{k}", F.lit(0.0))).otherwise(0.0).alias(f"r{k}") for k in (0, 1)])
+    sums = rows.groupBy("doc_id", "mix_hash", "n").agg(F.count(F.lit(1)).alias("words"), *[f(f"r{k}").alias(f"{name}{k}") for k in (0, 1) for name, f in (("s", F.sum), ("t", F.max))])
+    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
+    sums = sums.withColumn("m", F.round(F.col("words") / n).cast("int"))  # how many equal rows there are
+    # the strongest single piece of evidence where it is beyond chance; for `poor`, which shows in all
+    # words alike, also the mean evidence, growing with the square root of the length
+    strong = [4.0 * F.greatest(F.col(f"t{k}") - 2.0, F.lit(0.0)) + (prior[k] - prior[2]) for k in (0, 1)]
+    z = [F.col("s0") / F.col("m") / F.sqrt(n) + strong[0], strong[1] - 1.5]
     e = [F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x))) for x in z]
-    sums = sums.select("doc_id", "source", "mix_hash", "m", (F.col("n") / F.col("m")).cast("bigint").alias("n_tokens"), e[0].alias("a"), e[1].alias("b"))
+    sums = sums.select("doc_id", "mix_hash", "m", F.col("n").cast("bigint").alias("n_tokens"), e[0].alias("a"), e[1].alias("b"))
     whole = 1.0 + F.col("a") + F.col("b")
     sums = sums.withColumn("p_poor", F.floor(F.col("a") / whole * STEPS + 0.5) / STEPS)
     sums = sums.withColumn("p_toxic", F.least(F.floor(F.col("b") / whole * STEPS + 0.5) / STEPS, 1.0 - F.col("p_poor")))
     sums = sums.withColumn("p_good", 1.0 - F.col("p_poor") - F.col("p_toxic"))
-    return sums.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).drop("m", "a", "b")
+    return sums.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m")))).drop("m", "a", "b")
 
 
-def rates(cells: DataFrame, targets: dict[str, float], max_rate: float, rounds: int = ROUNDS) -> tuple[Column, list[dict]]:
-    """The rate as an expression of the posterior, and the totals by iteration. cells: p_*, tokens."""
+def rates(cells: DataFrame, targets: dict[str, float], max_rate: float, rounds: int = ROUNDS) -> tuple[DataFrame, list[dict]]:
+    """cells (p_*, tokens) with the fitted rate, and the totals by iteration.
+
+    Accelerated projected gradient: a step from the extrapolated rates, cut to 0 .. max_rate.
+    """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     tokens = F.col("tokens")
     grams = cells.agg(F.sum("tokens").alias("n"), *[F.sum(tokens * p[i] * p[j]).alias(f"g{i}{j}") for i in range(3) for j in range(3)]).first()
-    rate: Column = F.lit(1.0)
+    start = F.lit(1.0) if max_rate >= 1 else F.lit(float(max_rate))
+    state = cells.withColumn("rate", start).withColumn("ahead", start)
     if not grams["n"]:
-        return rate, []
+        return state.drop("ahead"), []
+    gram = np.array([[grams[f"g{i}{j}"] for j in range(3)] for i in range(3)], float)
+    mass = gram.sum(1)
     goal = np.array([max(targets.get(d, 0.0), 1e-9) for d in DOMAINS])
     goal = goal / goal.sum()
-    if max_rate <= 1:  # rates can only fall: the total is what the scarcest domain allows
-        mass = np.array([sum(grams[f"g{i}{j}"] for j in range(3)) for i in range(3)])
-        goal = goal * min(grams["n"], mass[2] / goal[2])
-    else:
-        goal = goal * grams["n"]
-    gram = np.array([[grams[f"g{i}{j}"] for j in range(3)] for i in range(3)], float)
-    scale = np.maximum(goal, gram.sum(1))  # equations are scaled, so that rare and common domains move alike
+    # rates that can only fall leave `good` as it is and the others follow; else the total stays
+    goal = goal * (min(grams["n"], mass[2] / goal[2]) if max_rate <= 1 else grams["n"])
+    scale = np.maximum(goal, mass)  # equations are scaled, so that rare and common domains move alike
     eta = 1.0 / max(np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale))).max(), 1e-12)
-    # the rate is piecewise linear along the path of residuals; it is kept in the cells, not in one expression
-    state, told = cells.withColumn("rate", F.lit(1.0)), []
-    steps: list[list[float]] = []
+    told, momentum = [], 1.0
     for k in range(rounds):
-        now = state.agg(*[F.sum(tokens * F.col("rate") * x).alias(d) for d, x in zip(DOMAINS, p)]).first()
-        totals = np.array([now[d] for d in DOMAINS], float)
-        told.append(dict(zip(DOMAINS, totals)) | {"goal": goal.tolist()})
-        residual = (goal - totals) / scale
-        if np.abs(goal - totals).max() < 1e-4 * goal.sum():
+        now = state.agg(*[F.sum(tokens * F.col("ahead") * x).alias(f"a_{d}") for d, x in zip(DOMAINS, p)], *[F.sum(tokens * F.col("rate") * x).alias(d) for d, x in zip(DOMAINS, p)]).first()
+        told.append({d: float(now[d]) for d in DOMAINS} | {"goal": goal.tolist()})
+        if max(abs(now[d] - g) for d, g in zip(DOMAINS, goal)) < 2e-4 * goal.sum():
             break
-        move = [float(x) for x in eta * residual]
-        steps.append(move)
-        state = state.withColumn("rate", _step(F.col("rate"), move, max_rate))
-        if k % 8 == 7:
+        move = [float(eta * (g - now[f"a_{d}"]) / c) for d, g, c in zip(DOMAINS, goal, scale)]
+        further = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        push, momentum = (momentum - 1) / further, further
+        new = F.col("ahead")
+        for x, m in zip(p, move):
+            new = new + x * m
+        new = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), new))
+        state = state.withColumn("new", new).select(*cells.columns, F.col("new").alias("rate"), (F.col("new") + push * (F.col("new") - F.col("rate"))).alias("ahead"))
+        if k % 5 == 4:
             state = _shared.stored(state, "mix-cells")
-    for move in steps:
-        rate = _step(rate, move, max_rate)
-    return rate, told
-
-
-def _step(rate: Column, move: list[float], max_rate: float) -> Column:
-    inner = rate
-    for d, m in zip(DOMAINS, move):
-        inner = inner + F.col(f"p_{d}") * m
-    return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), inner))
+    return _shared.stored(state.drop("ahead"), "mix-rates"), told
 
 
 def weigh(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, source, n_tokens, p_poor, p_toxic, p_good, rate, copies."""
-    rows = docs.select("doc_id", "source", "text")
+    """doc_id, n_tokens, p_poor, p_toxic, p_good, rate, copies."""
+    rows = docs.select("doc_id", "text")
     rows = _shared.stored(posteriors(rows, fit(rows, labels, max_rows)), "mix-posteriors")
     cells = _shared.stored(rows.groupBy(*[f"p_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rate, _ = rates(cells, targets, max_rate)
-    # one rate a distinct posterior: a bounded table, computed once
-    by_cell = _shared.stored(cells.select(*[f"p_{d}" for d in DOMAINS], rate.alias("rate")), "mix-rates")
+    by_cell = rates(cells, targets, max_rate)[0].drop("tokens")  # one rate a distinct posterior: a bounded table
     rows = rows.join(F.broadcast(by_cell), [f"p_{d}" for d in DOMAINS])
-    return rows.select("doc_id", "source", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies().alias("copies"))
+    return rows.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies().alias("copies"))
 
 
 def copies() -> Column:
@@ -152,8 +149,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """The rows of docs, all columns, each as often as its copies."""
     scored = _shared.stored(posteriors(docs, fit(docs, labels, max_rows)), "mix-posteriors")
     cells = _shared.stored(scored.groupBy(*[f"p_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rate, _ = rates(cells, targets, max_rate)
-    by_cell = _shared.stored(cells.select(*[f"p_{d}" for d in DOMAINS], rate.alias("rate")), "mix-rates")
+    by_cell = rates(cells, targets, max_rate)[0].drop("tokens")
     taken = scored.join(F.broadcast(by_cell), [f"p_{d}" for d in DOMAINS]).withColumn("mix_copies", copies()).filter("mix_copies > 0")
     taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("mix_hash").alias("mix_text"), "mix_copies").distinct()
     out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mix_text")))
