@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.plans import retrieval
+from docsift.plans import quality, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (retrieval,):
+for _plan in (retrieval, quality):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
