@@ -74,14 +74,15 @@ class Ordinal:
         return _sigmoid(margins[:, None] - self.thresholds[None, :])
 
 
-def train(texts: list[str], grades: np.ndarray, n_grades: int = GRADES, epochs: int = 30, seed: int = 5) -> Ordinal:
+def train(texts: list[str] | pa.Array, grades: np.ndarray, n_grades: int = GRADES, epochs: int = 30, seed: int = 5) -> Ordinal:
     y = np.asarray(grades, np.int64)
     size = (PARTS - 1) * (1 << BITS) + 64
     if len(y) == 0 or y.min() == y.max():
         level = int(y[0]) if len(y) else 0
         return Ordinal(np.zeros(size, np.float32), np.array([-40.0 if j < level else 40.0 for j in range(n_grades - 1)]))
     rows, cols, vals, at = [], [], [], 0
-    for _, _, data, off in _text.slices(pa.array(texts, pa.large_string()), 1_000_000):
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    for _, _, data, off in _text.slices(texts, 200_000):
         for ids, first in features(data, off):
             n = np.diff(first)
             key, count = np.unique(np.repeat(np.arange(len(n)), n) * np.int64(size) + ids, return_counts=True)
@@ -118,8 +119,8 @@ def grade_of_labels() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, max_rows: int = MAX_TRAIN_ROWS) -> Ordinal:
     labels = labels.withColumn("grade", grade_of_labels() if grade is None else grade)
     rows = _shared.labelled_sample(docs.select("doc_id", "text"), labels, ["grade"], max_rows)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label_grade").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return train(rows["text"].tolist(), rows["label_grade"].to_numpy())
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label_grade").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return train(rows.column("text").combine_chunks(), rows.column("label_grade").to_numpy())
 
 
 def score(docs: DataFrame, model: Ordinal, select_grade: int = 1, min_tail: float = 0.5) -> DataFrame:

@@ -25,7 +25,7 @@ from . import _shared
 
 DOMAINS = ("poor", "toxic", "good")
 TARGETS = {"poor": 0.05, "toxic": 0.03, "good": 0.92}
-BUCKETS, STEPS, ROUNDS, MAX_ROWS, MAX_RATE, SHRINK = 1 << 16, 64, 40, 10_000, 4.0, 20.0
+BUCKETS, STEPS, ROUNDS, MAX_ROWS, MAX_RATE, SHRINK = 1 << 16, 64, 24, 10_000, 4.0, 20.0
 SPLIT = "[ \\t-\\r]+"
 
 

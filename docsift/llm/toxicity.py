@@ -60,6 +60,17 @@ class ConvNet:
     shift: float = 0.0
     thresholds: dict = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """Rows of unseen words are zero and are not sent."""
+        used = np.flatnonzero(self.emb.any(axis=1))
+        return self.__dict__ | {"emb": (used.astype(np.int32), self.emb[used])}
+
+    def __setstate__(self, state: dict) -> None:
+        used, rows = state["emb"]
+        emb = np.zeros((BUCKETS, DIM), np.float32)
+        emb[used] = rows
+        self.__dict__ = state | {"emb": emb}
+
     def pooled(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Max over positions of each filter's response: (documents, filters); zeros without words."""
         n, docs = len(ids), len(first) - 1
@@ -101,7 +112,7 @@ def _best_cut(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) - 1e-3
 
 
-def train(texts: list[str], labels: np.ndarray, langs: list, seed: int = 7, epochs: int = 4) -> ConvNet:
+def train(texts: list[str] | pa.Array, labels: np.ndarray, langs: list, seed: int = 7, epochs: int = 4) -> ConvNet:
     """Fit on four fifths of the rows, calibrate on the rest; deterministic for given rows."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
@@ -111,12 +122,14 @@ def train(texts: list[str], labels: np.ndarray, langs: list, seed: int = 7, epoc
         net.bias = 20.0 * (1 if len(y) and y.min() == 1 else -1)
         return net
     docs = []
-    for _, _, data, off in _text.slices(pa.array(texts, pa.large_string())):
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    for _, _, data, off in _text.slices(texts, 200_000):
         ids, first = word_ids(data, off)
         docs += [ids[a:b] for a, b in zip(first[:-1], first[1:])]
+    del texts
     calib = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~calib)
-    seen, hits = np.zeros(BUCKETS, np.float64), np.zeros(BUCKETS, np.float64)
+    seen, hits = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for i in fit:
         u = np.unique(docs[i])
         seen[u] += 1
@@ -179,8 +192,10 @@ def train(texts: list[str], labels: np.ndarray, langs: list, seed: int = 7, epoc
                         np.add.at(g_emb, part, (d_x[ok] ** 2).mean(1, keepdims=True))
                         np.add.at(net.emb, part, -lr * d_x[ok] * known[part, None] / np.sqrt(g_emb[part]))
     held = np.flatnonzero(calib)
-    ids = [docs[i] for i in held]
-    margin = net.margins(np.concatenate(ids), np.cumsum([0, *map(len, ids)])).astype(np.float64)
+    margin = np.zeros(len(held))
+    for at in range(0, len(held), 100):
+        ids = [docs[i] for i in held[at : at + 100]]
+        margin[at : at + 100] = net.margins(np.concatenate(ids), np.cumsum([0, *map(len, ids)]))
     _calibrate(net, margin, y[held], [langs[i] for i in held])
     return net
 
@@ -208,9 +223,11 @@ def _calibrate(net: ConvNet, margin: np.ndarray, y: np.ndarray, langs: list) ->
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ConvNet:
     """Train on at most max_rows labelled documents outside the held-out fold."""
     rows = _shared.labelled_sample(docs.select("doc_id", "text", "lang"), labels, ["toxic"], max_rows)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label_toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    return train(rows["text"].tolist(), rows["label_toxic"].to_numpy(), [x if isinstance(x, str) else None for x in rows["lang"]])
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label_toxic").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    labels, langs, texts = rows.column("label_toxic").to_numpy(), rows.column("lang").to_pylist(), rows.column("text").combine_chunks()
+    del rows
+    return train(texts, labels, langs)
 
 
 def score(docs: DataFrame, net: ConvNet) -> DataFrame:
