@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.plans import quality, retrieval
+from docsift.plans import evaluate, quality, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (retrieval, quality):
+for _plan in (retrieval, quality, evaluate):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
