@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 DASHES = "‐‑‒–—−"
 TOKEN = r"[a-z0-9]+(?:[-_/.][a-z0-9]+)*|[\u3400-\u9fff]+"
@@ -27,7 +28,7 @@ def casefold(c: Column | str) -> Column:
     return F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def casefold_nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normal form and full case folding of any text."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

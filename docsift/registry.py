@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.plans import evaluate, quality, retrieval
+from docsift.plans import agent, evaluate, evidence, quality, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (retrieval, quality, evaluate):
+for _plan in (retrieval, quality, evaluate, evidence, agent):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
