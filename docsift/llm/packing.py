@@ -75,24 +75,26 @@ def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
 def quanta(tokens: np.ndarray, share: np.ndarray, carried: np.ndarray, window: int) -> Iterator[np.ndarray]:
     """Tokens to take from each queue for each window, until all queues are empty."""
     left, deficit = tokens.astype(np.int64).copy(), carried.astype(np.float64).copy()
+
+    def split(open_: np.ndarray) -> np.ndarray:
+        own = np.where(open_, share, 0.0)
+        return own / own.sum() if own.sum() else open_ / open_.sum()
+
     while left.sum():
         size = min(window, int(left.sum()))
-        deficit += share * size
+        deficit = np.where(left > 0, deficit, 0.0) + split(left > 0) * size
         take = np.minimum(np.floor(np.maximum(deficit, 0)).astype(np.int64), left)
-        while take.sum() > size:  # carried deficits may ask for more than a window holds
+        if take.sum() > size:  # carried deficits may ask for more than a window holds
             take = np.floor(take * (size / take.sum())).astype(np.int64)
         short = size - int(take.sum())
-        for q in np.argsort(-(deficit - take), kind="stable"):  # the rest goes to those who are owed most
-            more = min(short, int(left[q] - take[q])) if deficit[q] - take[q] < 1 else min(short, int(left[q] - take[q]), math.ceil(deficit[q] - take[q]))
-            take[q] += more
-            short -= more
-            if not short:
-                break
-        if short:
-            for q in np.argsort(-left, kind="stable"):
-                more = min(short, int(left[q] - take[q]))
-                take[q] += more
-                short -= more
+        while short:  # what exhausted queues and fractions leave goes to the others by their shares
+            room = left - take
+            more = np.minimum(np.floor(split(room > 0) * short).astype(np.int64), room)
+            if not more.any():  # the last tokens, one each, to those who are owed most
+                owed = np.argsort(-np.where(room > 0, deficit - take, -np.inf), kind="stable")
+                more[owed[: min(short, int((room > 0).sum()))]] = 1
+            take += more
+            short -= int(more.sum())
         deficit -= take
         left -= take
         yield take

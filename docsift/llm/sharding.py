@@ -125,6 +125,17 @@ def best_fit_decreasing(sizes: list[float], capacity: float, bins: list[float] |
     return into, left
 
 
+def fill_level(sizes: list[float], total: float, shards: int) -> float:
+    """The capacity at which all shards fill equally, once items larger than it have shards of their own."""
+    level = total / shards
+    for size in sorted(sizes, reverse=True):
+        if size <= level or shards == 1:
+            break
+        total, shards = total - size, shards - 1
+        level = total / shards
+    return level
+
+
 def _piece(pieces: Column) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(17)), pieces).cast("int")
 
@@ -149,7 +160,8 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         for r in rows.join(F.broadcast(heads.filter("pieces > 1")), "key").withColumn("piece", _piece(F.col("pieces"))).groupBy("key", "piece").agg(F.sum("size").alias("size")).collect()
     ] if any(n > 1 for _, n in parts) else []  # as many pieces as units at most
     items = sorted([(bytes(k), 0, s) for k, s in whole_keys.items()] + cut, key=lambda x: (-x[2], x[0], x[1]))
-    into, left = best_fit_decreasing([s for _, _, s in items], capacity, [capacity] * shards)
+    level = fill_level([s for _, _, s in items], whole["size"], shards)
+    into, left = best_fit_decreasing([s for _, _, s in items], level, [level] * shards)
     placed = spark.createDataFrame([(k, p, b) for (k, p, _), b in zip(items, into)], "key binary, piece int, shard int")
 
     small = groups.filter(~is_large)
