@@ -12,6 +12,8 @@ from pyspark.sql import types as S
 DASHES = "‐‑‒–—−"
 TOKEN = r"[a-z0-9]+(?:[-_/.][a-z0-9]+)*|[\u3400-\u9fff]+"
 WHITE = r"[\s\x1c-\x1f\x85]"
+#: All characters of the Unicode white space property, and the four separators of ASCII.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -20,7 +22,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Leading and trailing Unicode white space removed, as text editors see it."""
-    return F.regexp_replace(col(c), rf"(?U)^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def casefold(c: Column | str) -> Column:

@@ -36,7 +36,8 @@ def window_starts(length: Column, max_chars: int = MAX_CHARS, overlap: int = OVE
 def chunk(docs: DataFrame, doc: str = "doc_id", keys: list[str] | None = None, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """One row a chunk: doc, keys, chunk_id (from 0 within the document), position, text."""
     keys = [doc, *(k for k in keys or [] if k != doc)]
-    found = sections(docs, keys, text)
+    # dealt by document first: the numbering below then needs no shuffle of its own
+    found = sections(docs.select(*keys, text).repartition(doc), keys, text)
     found = found.select(*keys, "section_no", "section", F.explode(window_starts(F.length("section"), max_chars, overlap)).alias("at"))
     found = found.withColumn("text", strip(F.substring(F.col("section"), F.col("at") + 1, F.lit(max_chars)))).filter("text != ''")
     number = F.row_number().over(Window.partitionBy(doc).orderBy("section_no", "at")) - 1

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from docsift.functions.text import tokens
 
-K1, B, RRF_K, SCORE_DIGITS = 1.2, 0.75, 60, 6
+K1, B, RRF_K, SCORE_DIGITS, QUERY_BLOCK = 1.2, 0.75, 60, 6, 512
 
 
 @dataclass
@@ -30,12 +30,13 @@ class Index:
 
 def build(chunks: DataFrame, scope: str | None = None, position: str = "position", text: str = "text") -> Index:
     by = [scope] if scope else []
-    found = chunks.select(*by, F.col(position).alias("position"), tokens(text).alias("_tokens"))
+    # dealt by position once: term counts and scores of a chunk then need no further shuffle
+    found = chunks.select(*by, F.col(position).alias("position"), text).repartition("position").select(*by, "position", tokens(text).alias("_tokens"))
     lengths = found.select(*by, "position", F.size("_tokens").alias("len"))
     stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     postings = (
         found.select(*by, "position", F.size("_tokens").alias("len"), F.explode("_tokens").alias("term"))
-        .groupBy(*by, "term", "position").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        .groupBy(*by, "position", "len", "term").agg(F.count("*").alias("tf"))
     )
     df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     whole = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without scopes
@@ -54,19 +55,94 @@ def top(ranked: DataFrame, k: int, by: list[str], score: str = "score", tie: str
     return ranked.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, (scope,) rank, position, score. Positions without a query term are never returned.
 
-    Query terms meet the term statistics first; only postings of terms that some query holds go on.
+    The stated queries are dealt into blocks. A block's vocabulary meets the term statistics and then
+    the postings by a broadcast of its distinct terms, so the postings stay where they are and only
+    those of asked terms go on. Each partition scores its positions as matrix products and passes on
+    its best k of every query (and scope): k rows a query and partition are shuffled, not all matches.
     """
+    import numpy as np
+    import pyarrow as pa
+
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
-    wanted = query_terms(queries).join(index.terms, "term").filter("avg_len > 0")
+    spark, scope = index.postings.sparkSession, index.scope
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    hits = index.postings.join(wanted, [*index.scope, "term"]).select("qid", *index.scope, "position", part.alias("part"))
-    scores = hits.groupBy("qid", *index.scope, "position").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    return top(scores, k, ["qid", *index.scope])
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+
+    def one_pass(asked: list[tuple[int, list[str]]]) -> DataFrame:
+        terms = sorted({t for _, own in asked for t in own})
+        number = {t: i for i, t in enumerate(terms)}
+        holds = np.zeros((len(terms), len(asked)), np.uint8)
+        for j, (_, own) in enumerate(asked):
+            holds[[number[t] for t in own], j] = 1
+        held = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), holds))  # `block` queries at most
+        vocabulary = spark.createDataFrame(list(number.items()), "term string, no int")
+        wanted = index.terms.filter("avg_len > 0").join(F.broadcast(vocabulary), "term")
+        hits = index.postings.join(F.broadcast(wanted), [*scope, "term"])
+        hits = hits.select((F.col(scope[0]) if scope else F.lit(None).cast("string")).alias("scope"), "position", "no", weight.alias("weight"))
+
+        def run(batches):
+            qids, holds = held.value
+            holds, best, rest = holds.astype(np.float64), {}, None
+
+            def score(rows: pa.Table) -> None:
+                position, at = np.unique(rows.column(1).to_numpy(), return_index=True)
+                where = np.repeat(np.arange(len(position)), np.diff(np.append(at, rows.num_rows)))
+                weights = np.zeros((len(position), len(holds)))
+                weights[where, rows.column(2).to_numpy()] = rows.column(3).to_numpy()
+                raw = (weights @ holds).T
+                found = np.where(raw > 0, np.round(raw, SCORE_DIGITS), -1.0)
+                key = rows.column(0)[0].as_py()
+                s, p = best.get(key, (np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64)))
+                s = np.concatenate([s, found], axis=1)
+                p = np.concatenate([p, np.broadcast_to(position, found.shape)], axis=1)
+                order = np.lexsort((p, -s), axis=1)[:, :k]
+                best[key] = np.take_along_axis(s, order, 1), np.take_along_axis(p, order, 1)
+
+            def runs(rows: pa.Table):
+                """Rows of one scope each; positions stay whole."""
+                if not scope:
+                    return [rows]
+                names = rows.column(0).to_pylist()
+                cut = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+                return [rows.slice(x, y - x) for x, y in zip(cut, cut[1:])]
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rest = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+                position = rest.column(1).to_numpy()
+                last = int(np.flatnonzero(position != position[-1])[-1]) + 1 if (position != position[-1]).any() else 0
+                for own in runs(rest.slice(0, last)) if last else []:
+                    score(own)
+                rest = rest.slice(last)
+            if rest is not None:
+                score(rest)
+            for key, (s, p) in best.items():
+                q, i = np.nonzero(s >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array([key] * len(q), pa.string()), pa.array(p[q, i]), pa.array(s[q, i])], ["qid", "scope", "position", "score"])
+
+        out = hits.sortWithinPartitions("scope", "position").mapInArrow(run, "qid bigint, scope string, position bigint, score double")
+        return out.withColumnRenamed("scope", scope[0]) if scope else out.drop("scope")
+
+    out, asked = None, []
+
+    def flush() -> None:
+        nonlocal out, asked
+        part = one_pass(asked)
+        out, asked = part if out is None else out.unionByName(part), []
+
+    for r in queries.select("qid", F.array_distinct(tokens("query")).alias("terms")).orderBy("qid").toLocalIterator():
+        if r["terms"]:
+            asked.append((r["qid"], r["terms"]))
+        if len(asked) == block:
+            flush()
+    if asked or out is None:
+        flush()
+    return top(out, k, ["qid", *scope])
 
 
 def cosine(a: Column, b: Column) -> Column:
