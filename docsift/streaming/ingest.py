@@ -1,4 +1,4 @@
-"""Incremental chunk ingestion: new documents are chunked as they arrive. Beyond the reference's features."""
+"""Incremental chunk ingestion: new documents are chunked as they arrive. An extra beside the batch operators."""
 
 from __future__ import annotations
 
