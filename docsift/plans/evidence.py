@@ -114,7 +114,7 @@ def blk_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("source").cast("bigint").alias("conv_id"), F.md5("text").alias("digest"), F.size("block_types").alias("n_types"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&#39;', '''').replace('&amp;', '&'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages""")
+@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g').replace('&lt;', '<').replace('&gt;', '>').replace('&quot;', '"').replace('&#39;', '''').replace('&copy;', '©').replace('&middot;', '·').replace('&nbsp;', chr(160)).replace('&amp;', '&'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages""")
 def htm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "pages").select("page_id", B.markup_text("html").alias("text"))
 
