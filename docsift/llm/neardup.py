@@ -12,7 +12,11 @@
    gives only a star around its medoid and each member's best partner; once these are confirmed, the
    crowd's members go to one task with their full sets, and each member outside the largest component
    is compared with all others through the node's postings, so only links that unite are given out.
-5. Components are formed by alternating large-star and small-star steps.
+5. Branching further may part a pair, so the documents of all nodes that were too large at first are
+   joined once more, exactly: two sets of the similarity share an element of their prefixes (the rarest
+   elements, 1 - threshold of them and one). Postings that hold several components are compared like
+   small nodes; larger ones in blocks, each document outside the largest component with all others.
+6. Components are formed by alternating large-star and small-star steps.
 
 Recall: a pair of similarity s meets in a tree with probability s ** DEPTH; with the defaults and
 s = 0.8 at least one of 12 trees unites it with probability 0.9998, and the sketch (128 bytes, cut 3.5
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from . import _shared, _text
 
 PERCENT, MINS, TREES, DEPTH, NODE_ROWS, MAX_DEPTH = 80, 128, 12, 3, 2_000, 24
+FREQUENCY_BITS = 18
 _MULTIPLIERS = (_text.seeded(101, MINS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = (_text.seeded(103, MINS) >> np.uint64(32)).astype(np.uint32)
 
@@ -145,9 +150,9 @@ def _deeper(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "rid", "mins").mapInArrow(run, "node bigint, rid bigint")
 
 
-def leaves(reps: DataFrame, trees: int, percent: int, node_rows: int, max_depth: int) -> DataFrame:
-    """(node, rid): the shared nodes of at most node_rows documents."""
-    rows, found = _paths(reps, trees), None
+def leaves(reps: DataFrame, trees: int, percent: int, node_rows: int, max_depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rid): the shared nodes of at most node_rows documents; (rid): the documents of larger first nodes, if any."""
+    rows, found, hot = _paths(reps, trees), None, None
     for level in range(max_depth):
         rows = _shared.stored(rows, f"neardup-nodes-{level}")
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
@@ -156,14 +161,16 @@ def leaves(reps: DataFrame, trees: int, percent: int, node_rows: int, max_depth:
         found = small if found is None else found.unionByName(small)
         big = rows.filter(F.col("n") > node_rows).select("node", "rid")
         if big.isEmpty():
-            return found
+            return found, hot
+        hot = big.select("rid").distinct() if hot is None else hot
         if level == max_depth - 1:
             # documents that agree at every chosen position: pieces of the node, each with its smallest id
             head = big.groupBy("node").agg(F.min("rid").alias("head"), F.count("*").alias("n"))
-            big = big.join(head, "node").withColumn("piece", F.xxhash64("node", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / (node_rows // 2)))))
-            return found.unionByName(big.select(F.col("piece").alias("node"), "rid")).unionByName(big.select(F.col("piece").alias("node"), F.col("head").alias("rid")).distinct())
+            big = big.join(head, "node").withColumn("piece", F.xxhash64("node", F.pmod(F.xxhash64("rid", "node"), F.ceil(F.col("n") / (node_rows // 2)))))
+            found = found.unionByName(big.select(F.col("piece").alias("node"), "rid")).unionByName(big.select(F.col("piece").alias("node"), F.col("head").alias("rid")).distinct())
+            return found, hot
         rows = _deeper(big.join(reps.select("rid", "mins"), "rid"), percent)
-    return found
+    return found, hot
 
 
 def node_pairs(sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -298,6 +305,60 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "rid bigint, set binary")
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many elements of the sets fall into each of 2 ** FREQUENCY_BITS buckets of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), 1)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "n"])
+
+    out = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    told = sets.select("set").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[told.column(0).to_numpy()] = told.column(1).to_numpy()
+    return out
+
+
+def prefix(elements: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The elements, rare buckets first, of which two sets of the similarity share at least one."""
+    bucket = (elements >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+    return elements[np.lexsort((elements, often[bucket]))[: len(elements) - -(-percent * len(elements) // 100) + 1]]
+
+
+def hot_nodes(sets: DataFrame, labels: DataFrame, percent: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(node, rid, label): postings of the prefixes of sets (rid, set) that hold several labels.
+
+    First those of at most node_rows documents; then the larger ones in blocks: every document outside
+    the most frequent label meets every document of the posting in a node of about node_rows.
+    """
+    often = frequencies(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = [prefix(np.frombuffer(x, np.uint64), often, percent) for x in batch.column(2).to_pylist()]
+                at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                node = _text.mix(np.concatenate(own)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at])], ["node", "rid", "label"])
+
+    known = sets.join(labels, "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), "set")
+    rows = _shared.stored(known.mapInArrow(run, "node bigint, rid bigint, label bigint"), "neardup-postings")
+    mixed = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("node", "n")
+    rows = _shared.stored(rows.join(mixed, "node"), "neardup-postings")
+    small, big = rows.filter(F.col("n") <= node_rows).drop("n"), rows.filter(F.col("n") > node_rows)
+    largest = big.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    half = max(1, node_rows // 2)
+    parts = largest.select("node", "most", F.ceil(F.col("n") / half).alias("wide"), F.ceil((F.col("n") - F.col("k")) / half).alias("long"))
+    big = big.drop("n").join(parts, "node")
+    other = big.filter("label != most").withColumn("i", F.pmod(F.xxhash64("rid", "node"), "long")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wide") - 1)))
+    every = big.withColumn("j", F.pmod(F.xxhash64("node", "rid"), "wide")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("long") - 1)))
+    blocks = other.select("node", "i", "j", "rid", "label").unionByName(every.select("node", "i", "j", "rid", "label")).distinct()
+    return small, blocks.select(F.xxhash64("node", "i", "j").alias("node"), "rid", "label")
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rid, text) of the documents named in ids (rid, distinct), one row each."""
     texts = docs.select(F.col("doc_id").alias("rid"), "text").filter("rid is not null")
@@ -361,7 +422,8 @@ def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TRE
     reps = _shared.stored(
         named.groupBy("digest").agg(F.min(F.struct("doc_id", "nodes", "mins")).alias("least"), F.count("*").alias("n")).select("digest", F.col("least.doc_id").alias("rid"), F.col("least.nodes").alias("nodes"), F.col("least.mins").alias("mins")), "neardup-classes"
     )
-    nodes = _shared.stored(leaves(reps, trees, percent, node_rows, MAX_DEPTH), "neardup-leaves")
+    nodes, hot = leaves(reps, trees, percent, node_rows, MAX_DEPTH)
+    nodes = _shared.stored(nodes, "neardup-leaves")
     first = _shared.stored(candidates(nodes.join(reps.select("rid", "mins"), "rid"), percent), "neardup-pairs")
     links = _shared.stored(confirm(first.select("a", "b").distinct(), docs, size, percent), "neardup-links")
     labels = components(links)
@@ -373,6 +435,19 @@ def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TRE
         sets = full_sets(texts_of(docs, now.select("rid").distinct()).withColumnRenamed("rid", "doc_id"), size)
         links = links.unionByName(_shared.stored(crowd_links(now.join(sets, "rid"), percent), "neardup-links"))
         labels = components(links)
+    if hot is not None:
+        sets = _shared.stored(full_sets(texts_of(docs, hot).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
+        small, blocks = hot_nodes(sets, labels, percent, node_rows)
+        small = _shared.stored(small, "neardup-hot-small")
+        pairs = _shared.stored(candidates(small.join(reps.select("rid", "mins"), "rid"), percent), "neardup-pairs")
+        crowds = pairs.filter("crowd is not null").select(F.col("crowd").alias("node")).distinct()
+        met = small.join(crowds, "node", "left_semi").unionByName(blocks)
+        found = _shared.stored(crowd_links(met.join(sets, "rid"), percent), "neardup-links")
+        whole = labels.select(F.col("rid").alias("a"), F.col("label").alias("x"))
+        pairs = pairs.filter("crowd is null").select("a", "b").distinct().join(whole, "a", "left")
+        pairs = pairs.join(whole.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+        links = links.unionByName(found).unionByName(_shared.stored(confirm(_shared.stored(pairs.select("a", "b"), "neardup-pairs"), docs, size, percent), "neardup-links"))
+        labels = components(links)
     by_digest = reps.select("digest", "rid").join(labels, "rid", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rid").alias("label"))
     out = drawn.select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))

@@ -152,6 +152,37 @@ def test_a_crowd_of_near_copies(spark, node_rows):
     assert wrong <= (0 if node_rows == 2000 else 3)
 
 
+def test_links_of_oversized_nodes_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MAX_DEPTH", 1)  # one node of all documents, not branched further
+    r = random.Random(1)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(60):  # pairs that share most of a template and differ from the other pairs
+        w = list(template)
+        for k in r.sample(range(200), 12):
+            w[k] = f"p{i}x{k}"
+        rows.append((2 * i, " ".join(w)))
+        for k in r.sample(range(200), 8):
+            w[k] = f"q{i}x{k}"
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = {i: neardup.word_set(t, 2) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, trees=1, depth=0, node_rows=40).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
 def test_packing_equals_the_token_stream(spark):
     rows = queries.op8_mixture_packing(spark, SF).collect()
     encode = packing.encoder(packing.vocabulary_path()).encode_ordinary
