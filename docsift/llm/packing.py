@@ -20,7 +20,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -49,18 +49,19 @@ def encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and token not in added}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens (with the end token), ids (16-bit little-endian, without it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or vocabulary_path()).encode_ordinary
+        encode = partial(encoder(path or vocabulary_path()).encode, allowed_special="all")  # added tokens are found in texts, too
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 own = batch.slice(at, 500)

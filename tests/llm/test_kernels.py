@@ -143,6 +143,16 @@ def test_token_ids_equal_the_other_library():
     assert [mine.encode_ordinary(t) for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_ids_of_added_tokens_equal_the_other_library():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext", "a <| b |> c"]
+    want = [e.ids for e in Tokenizer.from_file(packing.vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in want[0]
+    mine = packing.encoder(packing.vocabulary_path())
+    assert [mine.encode(t, allowed_special="all") for t in texts] == want
+
+
 def test_quanta_carry_deficits_and_empty_all_queues():
     tokens, share = np.array([5000, 3000, 10]), np.array([0.5, 0.3, 0.2])
     taken = list(packing.quanta(tokens, share, np.zeros(3), 1000))

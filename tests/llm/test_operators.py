@@ -206,6 +206,12 @@ def test_packing_equals_the_token_stream(spark):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
+def test_packing_keeps_the_ids_of_added_tokens(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "a <|endoftext|> b", "s")], "doc_id bigint, text string, source string")).collect()
+    want = zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [64, 220, 50256, 275, 0]))
+    assert [(r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]) for r in rows] == [(5, 0, 5, want)]
+
+
 def test_packing_windows_follow_the_targets_across_parts(spark):
     docs = spark.createDataFrame([(i, f"word {i} " * (i % 40), "abc"[i % 3 if i % 5 else 0]) for i in range(3000)], "doc_id bigint, text string, source string")
     rows = packing.pack(docs, window=4096, part_tokens=60_000).collect()
