@@ -37,17 +37,22 @@ KEY = b"docsift-demo-key"
 KINDS = ("email", "ip", "card", "phone", "ssn", "date", "secret")
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
+_DATE = r"(?<![\w.])(?P<date>\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!(?![Tt]\d)\w)"
+_PHONE = r"(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)"
+_CARD = r"(?<![\w.])(?P<card>\d(?:[ -]?\d){11,18})(?!\w)"
+_SECRET = r"(?<!\w)(?P<secret>(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{12,}))(?!\w)"
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9_][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     rf"|(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w.])(?P<date>\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w)"
-    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)"
-    r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){11,18})(?!\w)"
-    r"|(?<!\w)(?P<secret>(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{12,}))(?!\w)"
+    rf"|{_DATE}|{_PHONE}|{_CARD}|{_SECRET}"
     r"|(?P<quoted>(?i:token|secret|password|passwd|api_?key)\s*[=:]\s*[\"'])(?P<value>[^\"'\s]{6,})"
 )
 
+#: What may still match where a value fails its check: the later kinds at the same place.
+_LATER = {"date": [re.compile(x) for x in (_PHONE, _CARD, _SECRET)], "card": [re.compile(_SECRET)]}
+_LONGEST_CARDS = [re.compile(rf"\d(?:[ -]?\d){{{n - 1}}}(?!\w)") for n in range(18, 11, -1)]
+
 
 def _round(key: bytes, context: str, i: int, half: int, size: int) -> int:
     """Keyed round value (a sponge over the key first), 64 bits wider than the side."""
@@ -166,15 +171,29 @@ def pseudonym(kind: str, text: str, key: bytes) -> tuple[str, str] | None:
 def replace(text: str, key: bytes, counts: list[int]) -> str:
     """The text with every value replaced; counts grows by KINDS."""
 
-    def one(m: re.Match) -> str:
+    def tries(m: re.Match) -> Iterator[tuple[str, int, int]]:
+        """(kind, start, end) of the match, then of shorter card numbers and of the later kinds from its start."""
         kind = m.lastgroup
-        found = pseudonym("secret" if kind == "value" else kind, m[kind], key)
-        if found is None:
-            return m[0]
-        counts[KINDS.index(found[0])] += 1
-        return (m["quoted"] or "") + found[1]
+        yield "secret" if kind == "value" else kind, *m.span(kind)
+        for later in (m, *filter(None, (p.match(text, m.start()) for p in _LATER.get(kind, ())))):
+            if later is not m:
+                yield later.lastgroup, *later.span()
+            if later.lastgroup == "card":
+                yield from (("card", *x.span()) for x in (p.match(text, m.start()) for p in _LONGEST_CARDS) if x and x.end() < later.end())
+
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        at = m.start() + 1  # a number that is no value may still hold one
+        for kind, start, end in tries(m):
+            found = pseudonym(kind, text[start:end], key)
+            if found is not None:
+                counts[KINDS.index(found[0])] += 1
+                out += [text[done:start], found[1]]
+                done = at = end
+                break
+    return "".join([*out, text[done:]])
+
 
-    return PATTERN.sub(one, text)
 
 
 _DIGIT = re.compile(r"[0-9@]|[tT]oken|[sS]ecret|[pP]assw|[aA]pi_?[kK]ey|TOKEN|SECRET|PASSW|API_?KEY|AKIA|AIza")

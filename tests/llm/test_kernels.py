@@ -118,6 +118,20 @@ def test_feistel_is_a_permutation_and_keeps_formats():
     assert pii.replace(text, b"other", [0] * 7) != new
 
 
+def test_values_beside_other_digits_are_found():
+    def new(text):
+        counts = [0] * len(pii.KINDS)
+        return pii.replace(text, b"k", counts), counts[pii.KINDS.index("card")], counts[pii.KINDS.index("date")]
+
+    card, day = new("4111 1111 1111 1111")[0], new("2024-02-29")[0]
+    bare = new("4111111111111111")[0]
+    assert new("4111 1111 1111 1111 12/27") == (f"{card} 12/27", 1, 0)
+    assert new("4111111111111111 123 main") == (f"{bare} 123 main", 1, 0)
+    assert new("2 4111111111111111") == (f"2 {bare}", 1, 0)
+    assert new("2024-02-29T10:00:00Z") == (f"{day}T10:00:00Z", 0, 1)
+    assert new("2024-02-29th")[0] == "2024-02-29th" and new("41111111111111112")[0] == "41111111111111112"
+
+
 def test_capacity_tree_and_best_fit():
     r = random.Random(4)
     tree, held = sharding.CapacityTree(), set()
