@@ -196,7 +196,8 @@ def replace(text: str, key: bytes, counts: list[int]) -> str:
 
 
 
-_DIGIT = re.compile(r"[0-9@]|[tT]oken|[sS]ecret|[pP]assw|[aA]pi_?[kK]ey|TOKEN|SECRET|PASSW|API_?KEY|AKIA|AIza")
+#: Found in every text that PATTERN finds something in.
+_MAYBE = re.compile(r"[\d@]|(?i:token|secret|passw|api_?key)|[a-f]{32}|[A-F]{32}|(?:sk|pk|gh[po]|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{12}")
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
@@ -215,7 +216,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
             out, found = [], []
             for t in batch.column(position).to_pylist():
                 counts = [0] * len(KINDS)
-                out.append(replace(t, key, counts) if t and _DIGIT.search(t) else t)
+                out.append(replace(t, key, counts) if t and _MAYBE.search(t) else t)
                 found.append(counts)
             cols = [batch.column(i) if i != position else pa.array(out, pa.string()) for i in range(batch.num_columns)]
             cols += [pa.array([c[i] for c in found], pa.int64()) for i in range(len(KINDS))] + [pa.array([sum(c) for c in found], pa.int64())]

@@ -290,6 +290,12 @@ def test_pseudonyms_link_documents_and_leave_clean_ones(spark):
     assert seen
 
 
+def test_secrets_without_digits_are_replaced(spark):
+    texts = ["see ghp_abcdefghijklmnopq", "sk-abcdefghijklmnop", "xoxb-abcdefghijklmnop", 'APIKey = "hunterhunter"', "PassWord: 'hunterhunter'", "abcdefab" * 4, "٤١١١١١١١١١١١١١١١"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert all(r["n_values"] == 1 and r["text"] != texts[r["doc_id"]] for r in rows)
+
+
 def test_mixing_meets_reachable_targets(spark):
     cells = spark.createDataFrame([(0.0, 0.0, 1.0, 900), (0.75, 0.0, 0.25, 80), (0.0, 0.875, 0.125, 20)], "p_poor double, p_toxic double, p_good double, tokens bigint")
     rows, told = mixing.rates(cells, {"poor": 0.2, "toxic": 0.02, "good": 0.78}, 4.0, rounds=300)
