@@ -305,6 +305,12 @@ def test_mixing_meets_reachable_targets(spark):
     assert {r["p_good"]: round(r["rate"], 2) for r in kept.collect()}[1.0] == 1.0
 
 
+def test_mixing_settles_with_the_defaults(spark):
+    assert mixing.TARGETS == {"poor": 0.05, "toxic": 0.01, "good": 0.94}
+    never = spark.createDataFrame([(0.25, 0.25, 0.5, 100), (0.5, 0.25, 0.25, 100)], "p_poor double, p_toxic double, p_good double, tokens bigint")
+    assert len(mixing.rates(never, mixing.TARGETS, 1.0)[1]) < mixing.ROUNDS
+
+
 def test_pipeline_stages_and_native_plan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
