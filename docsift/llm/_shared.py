@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='docsift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,7 +29,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/docsift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing is read from any more."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +58,9 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_rows: int) -> DataFrame:
     """At most max_rows labelled documents outside the held-out fold, chosen by a hash of the id.
 
-    Repeated label rows of one id count once (the smallest values). The choice is made on the
-    narrow label rows, so only max_rows ids ever meet the texts.
+    Repeated label rows of one id count once (the smallest values), and of document rows that repeat
+    an id the smallest is taken. The choice is made on the narrow label rows, so only max_rows ids
+    ever meet the texts.
     """
     picked = (
         labels.filter(F.col("doc_id").isNotNull() & (fold() != 1))
@@ -50,7 +70,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], max_
     )
     picked = picked.select(F.col("doc_id").alias("label_id"), *[F.col(c).alias(f"label_{c}") for c in columns])
     # at most max_rows narrow rows: a proven bound for the broadcast
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).drop("label_id")
+    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+    own = [c for c in rows.columns if c != "label_id"]
+    rest = [c for c in own if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
+
+
+def trained(sample: DataFrame, train: Callable[[pa.Table], object]):
+    """train(sample) in one executor task, the sample being bounded; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(held) if held else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()[0])
 
 
 BUCKETS = 1 << 20
@@ -62,6 +96,24 @@ def _near(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(near), bucket == F.col("near_bucket"), how)
 
 
+def running(rows: DataFrame, order: str, value: str, name: str, by: list[str] | None = None, block: int = 4096) -> DataFrame:
+    """rows with the sum of `value` over all rows of smaller integer `order` (of the same `by`; null equals null).
+
+    Summed within blocks of the order and over the blocks' sums, so no task takes more than a block of rows,
+    or one row for each block.
+    """
+    by, at = by or [], F.floor(F.col(order) / block)
+    inner = Window.partitionBy(*by, "run_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("run_block", at).withColumn("run_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    sums = rows.groupBy(*by, "run_block").agg(F.sum(value).alias("run_sum"))
+    outer = Window.partitionBy(*by).orderBy("run_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"run_{c}") for c in by], F.col("run_block").alias("run_at"), F.coalesce(F.sum("run_sum").over(outer), F.lit(0)).alias("run_before"))
+    on = F.col("run_block") == F.col("run_at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"run_{c}"))
+    return rows.join(sums, on).withColumn(name, F.col("run_in") + F.col("run_before")).drop("run_block", "run_in", "run_at", "run_before", *[f"run_{c}" for c in by])
+
+
 def maybe_named(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key may be among ids (one column id): others stay out of later shuffles.
 

@@ -7,7 +7,8 @@ tail probability of reaching a chosen grade, by which documents are selected.
 
 Edge cases: null and empty texts have x = 0 and get the score of the thresholds alone; null
 ratings, and ratings without a document, are left out of the fit; a table with fewer than two
-grades gives the constant observed grade (0 without any). Repeated label rows count once.
+grades gives the constant observed grade (0 without any). Repeated label rows, and document rows
+that repeat an id, count once in the fit and each get a score.
 """
 
 from __future__ import annotations
@@ -119,8 +120,14 @@ def grade_of_labels() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, max_rows: int = MAX_TRAIN_ROWS) -> Ordinal:
     labels = labels.withColumn("grade", grade_of_labels() if grade is None else grade)
     rows = _shared.labelled_sample(docs.select("doc_id", "text"), labels, ["grade"], max_rows)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label_grade").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(rows.column("text").combine_chunks(), rows.column("label_grade").to_numpy())
+
+    def learn(rows: pa.Table | None) -> Ordinal:
+        if rows is None:
+            return train([], np.zeros(0, np.int64))
+        rows = rows.sort_by([("doc_id", "ascending")])
+        return train(rows.column("text").combine_chunks(), rows.column("label_grade").to_numpy())
+
+    return _shared.trained(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label_grade"), learn)
 
 
 def score(docs: DataFrame, model: Ordinal, select_grade: int = 1, min_tail: float = 0.5) -> DataFrame:

@@ -3,11 +3,12 @@
 A word's embedding is the sum of hashed rows for the word itself and for its first 5 and 7 bytes,
 so words that share a stem share what is learned.
 
-Trained in numpy on a bounded labelled sample; scored over whole texts on the executors. Cutoffs
+Trained in numpy on a bounded labelled sample, in one executor task; scored over whole texts on the executors. Cutoffs
 are calibrated by language on a part of the sample that the weights never saw.
 
 Edge cases: null and empty texts get the score of a document without words; null labels, and labels
-without a document, are left out of the fit; repeated label rows count once. An empty label table
+without a document, are left out of the fit; repeated label rows, and document rows that repeat an id,
+count once in the fit and each get a score. An empty label table
 gives a model that scores everything 0. Columns other than the documented ones are ignored.
 """
 
@@ -221,13 +222,16 @@ def _calibrate(net: ConvNet, margin: np.ndarray, y: np.ndarray, langs: list) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> ConvNet:
-    """Train on at most max_rows labelled documents outside the held-out fold."""
+    """Train on at most max_rows labelled documents outside the held-out fold, in one executor task."""
     rows = _shared.labelled_sample(docs.select("doc_id", "text", "lang"), labels, ["toxic"], max_rows)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label_toxic").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    labels, langs, texts = rows.column("label_toxic").to_numpy(), rows.column("lang").to_pylist(), rows.column("text").combine_chunks()
-    del rows
-    return train(texts, labels, langs)
+
+    def learn(rows: pa.Table | None) -> ConvNet:
+        if rows is None:
+            return train([], np.zeros(0), [])
+        rows = rows.sort_by([("doc_id", "ascending")])
+        return train(rows.column("text").combine_chunks(), rows.column("label_toxic").to_numpy(), rows.column("lang").to_pylist())
+
+    return _shared.trained(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "label_toxic"), learn)
 
 
 def score(docs: DataFrame, net: ConvNet) -> DataFrame:
