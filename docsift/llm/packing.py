@@ -1,7 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues into fixed token windows.
 
-Documents are tokenised once and dealt by a hash of the id to parts of about PART_TOKENS tokens. In a
-part every source has a queue; for each window of WINDOW_TOKENS tokens a source's quantum is its
+Documents are tokenised once, by tokenizers itself, and dealt by a hash of their row to parts of about
+PART_TOKENS tokens. In a part every source has a queue; for each window of WINDOW_TOKENS tokens a source's quantum is its
 target share plus the deficit it carries, and exactly that many tokens are taken from its queue, so
 documents may be cut at window and sequence ends. A part starts with the deficits that all earlier
 parts leave behind (prefix sums over the parts), so the proportions hold across parts, too. An
@@ -10,31 +10,31 @@ only a part's last sequence is not full.
 
 Edge cases: a null text counts as empty and becomes the end token alone; a null source is a source of
 its own; without target weights the corpus's own proportions are the target; a source without weight
-has target 0 and is served when the others are exhausted; repeated rows are separate documents; an
-empty table gives no pieces. Other columns are ignored.
+has target 0 and is served when the others are exhausted; repeated rows are separate documents, also
+when their id is null, and go to different parts; a text may hold the vocabulary's added tokens, which
+get their ids; an empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import _shared
 
 SEQUENCE, WINDOW_TOKENS, PART_TOKENS, END_ID = 1024, 64 * 1024, 2_000_000, 0
+BATCH_BYTES = 1_000_000  # texts encoded at once
 VOCABULARY = "byte_bpe_50k.json"
-#: The pre-tokenising pattern that belongs to this vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,32 +45,39 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a tokenizer file, run by tiktoken: the same ids at several times the speed."""
-    import tiktoken
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    import tokenizers
 
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
-    vocab, added = file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-    back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token) and token not in added}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text, 32 bits wide."""
+    return [np.asarray(x.ids, "<u4") for x in encoder(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, n_tokens (with the end token), ids (16-bit little-endian, without it)."""
+    """doc_id, source, row (a number of its own), n_tokens (with the end token), ids (32-bit little-endian, without it)."""
+    path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(path or vocabulary_path()).encode, allowed_special="all")  # added tokens are found in texts, too
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
-                ids = [np.asarray(encode(t), np.uint16) if t else np.zeros(0, np.uint16) for t in own.column(2).to_pylist()]
+            at = 0
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            while at < len(texts):
+                end, held = at, 0
+                while end < len(texts) and (end == at or held + len(texts[end]) <= BATCH_BYTES):
+                    held += len(texts[end])
+                    end += 1
+                own, ids = batch.slice(at, end - at), encode(texts[at:end], path)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "source", "n_tokens", "ids"]
+                    [own.column(0), own.column(1), pa.array(np.arange(row, row + len(ids))), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    ["doc_id", "source", "row", "n_tokens", "ids"],
                 )
+                row, at = row + len(ids), end
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, ids binary")
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, row bigint, n_tokens bigint, ids binary")
 
 
 def quanta(tokens: np.ndarray, share: np.ndarray, carried: np.ndarray, window: int) -> Iterator[np.ndarray]:
@@ -124,37 +131,40 @@ def pack(docs: DataFrame, weights: dict | None = None, path: str | None = None,
     tokens = _shared.stored(tokenise(docs, path), "pack-tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, math.ceil(total / part_tokens))
-    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(parts)).cast("int"))
+    # by the row, not the id: rows that repeat an id, or have none, are dealt apart
+    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)).cast("int"))
     sums = _shared.stored(tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("tokens")), "pack-sums")
     by_source = sums.groupBy("source").agg(F.sum("tokens").alias("target"))
     if weights is not None:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "w_source string, target double")
         by_source = by_source.select("source").join(F.broadcast(given), F.col("source").eqNullSafe(F.col("w_source")), "left").select("source", F.coalesce("target", F.lit(0.0)).alias("target"))
-    shares = by_source.select("source", (F.col("target") / F.nullif(F.sum("target").over(Window.partitionBy()), F.lit(0))).alias("share"))
-    totals = sums.groupBy("part").agg(F.sum("tokens").alias("part_tokens"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one narrow row a part
-    totals = totals.select("part", F.coalesce(F.sum("part_tokens").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum(F.ceil(F.col("part_tokens") / sequence)).over(earlier), F.lit(0)).alias("first_sequence"))
-    own = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = by_source.agg(F.sum("target")).first()[0] or None
+    shares = by_source.select(F.col("source").alias("s_source"), (F.col("target") / F.lit(whole).cast("double")).alias("share"))
+    totals = sums.groupBy("part").agg(F.sum("tokens").alias("part_tokens")).withColumn("sequences", F.ceil(F.col("part_tokens") / sequence))
+    totals = _shared.running(_shared.running(totals, "part", "part_tokens", "before"), "part", "sequences", "first_sequence")
+    totals = totals.select(F.col("part").alias("t_part"), "before", "first_sequence")
     start = (
-        sums.withColumn("served", F.coalesce(F.sum("tokens").over(own), F.lit(0))).join(totals, "part")
-        .join(shares.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")))
+        _shared.running(sums, "part", "tokens", "served", ["source"]).join(totals, F.col("part") == F.col("t_part"))
+        .join(shares, F.col("source").eqNullSafe(F.col("s_source")))
         .select("part", "source", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("before") - F.col("served")).alias("carried"), "first_sequence")
     )
 
     def run(docs: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values(["doc_id", "n_tokens", "ids"], kind="stable")
-        name = docs["source"].where(docs["source"].notna(), None)
-        start = start.assign(order=[(x is None, x or "") for x in start["source"].where(start["source"].notna(), None)]).sort_values("order")
-        queues = [docs[[(x is None, x or "") == key for x in name]] for key in start["order"]]
+        start = start.assign(none=start["source"].isna(), name=start["source"].fillna("")).sort_values(["none", "name"])
+        queue = {(none, name): q for q, (none, name) in enumerate(zip(start["none"], start["name"]))}
+        docs = docs.assign(queue=[queue[none, name] for none, name in zip(docs["source"].isna(), docs["source"].fillna(""))])
+        docs = docs.sort_values(["queue", "doc_id", "n_tokens", "ids"], kind="stable")
+        cuts = np.searchsorted(docs["queue"].to_numpy(), np.arange(len(start) + 1))
         share = start["share"].to_numpy(float)
         share = share / share.sum() if share.sum() else np.full(len(share), 1 / len(share))
         first, out = int(start["first_sequence"].iloc[0]), []
-        held = [([None if pd.isna(x) else int(x) for x in q["doc_id"]], q["n_tokens"].tolist(), q["ids"].tolist(), None if k[0] else k[1]) for q, k in zip(queues, start["order"])]
-        for q, d, at, n, position in plan_part([x["n_tokens"].to_numpy() for x in queues], share, start["carried"].to_numpy(float), window, sequence):
-            doc_id, whole, raw, source = held[q][0][d], held[q][1][d], held[q][2][d], held[q][3]
-            ids = np.frombuffer(raw, np.uint16, min(n, whole - 1 - at), 2 * at).astype("<u4").tobytes()
-            ids += END_ID.to_bytes(4, "little") * (at + n == whole)
-            out.append((doc_id, at, n, zlib.crc32(ids), whole, first + position // sequence, position % sequence, source))
+        lengths, ids = docs["n_tokens"].to_numpy(np.int64), docs["ids"].tolist()
+        doc_ids, names = [None if pd.isna(x) else int(x) for x in docs["doc_id"]], [None if none else name for none, name in queue]
+        for q, d, at, n, position in plan_part([lengths[a:b] for a, b in zip(cuts, cuts[1:])], share, start["carried"].to_numpy(float), window, sequence):
+            k = cuts[q] + d
+            whole = int(lengths[k])
+            own = ids[k][4 * at : 4 * min(at + n, whole - 1)] + END_ID.to_bytes(4, "little") * (at + n == whole)
+            out.append((doc_ids[k], at, n, zlib.crc32(own), whole, first + position // sequence, position % sequence, names[q]))
         out = list(zip(*out)) if out else [[]] * 8
         kinds = ["Int64", "int64", "int64", "int64", "int64", "int64", "int64", object]
         return pd.DataFrame({c: pd.Series(v, dtype=k) for c, v, k in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"), out, kinds)})

@@ -185,13 +185,15 @@ def test_links_of_oversized_nodes_are_whole(spark, monkeypatch):
 
 def test_packing_equals_the_token_stream(spark):
     rows = queries.op8_mixture_packing(spark, SF).collect()
-    encode = packing.encoder(packing.vocabulary_path()).encode_ordinary
+    import tokenizers
+
+    tool = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         pieces[r["doc_id"]].append(r)
         sequences[r["sequence_id"]].append(r)
     for i, t in docs_of(spark):
-        ids, at = [*encode(t), 0], 0
+        ids, at = [*tool.encode(t, add_special_tokens=False).ids, 0], 0
         for r in sorted(pieces[i], key=lambda r: r["start"]):
             own = ids[r["start"] : r["start"] + r["length"]]
             assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
@@ -206,10 +208,25 @@ def test_packing_equals_the_token_stream(spark):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
-def test_packing_keeps_the_ids_of_added_tokens(spark):
-    rows = packing.pack(spark.createDataFrame([(1, "a <|endoftext|> b", "s")], "doc_id bigint, text string, source string")).collect()
-    want = zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [64, 220, 50256, 275, 0]))
-    assert [(r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]) for r in rows] == [(5, 0, 5, want)]
+def test_packing_keeps_the_ids_of_tokenizers(spark):
+    import tokenizers
+
+    tool = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "line\r\nline\r\n\r\n", "\x00\x07\x1b control\x7f\x85\u2028", "漢字かな交じり文 한국어", "e\u0301 \ufb01 🙂🙂", " ", "", None, "  two  spaces   three", "it's we'LL 12345 ١٢٣"]
+    rows = packing.pack(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")).collect()
+    for i, t in enumerate(texts):
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in own) == len(ids) and all(r["doc_tokens"] == len(ids) for r in own)
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r["start"] : r["start"] + r["length"]])) for r in own]
+    assert tool.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_packing_deals_rows_without_id_apart(spark):
+    docs = spark.createDataFrame([(None, "same words here", "s")] * 3000, "doc_id bigint, text string, source string").repartition(4)
+    rows = packing.pack(docs, window=2048, part_tokens=1000).collect()
+    assert sum(r["length"] for r in rows) == 12_000 and {r["doc_tokens"] for r in rows} == {4}
+    assert sorted({r["sequence_id"] for r in rows}) == list(range(len({r["sequence_id"] for r in rows}))) and len({r["sequence_id"] for r in rows}) > 11
 
 
 def test_packing_windows_follow_the_targets_across_parts(spark):
