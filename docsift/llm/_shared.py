@@ -84,7 +84,8 @@ def trained(sample: DataFrame, train: Callable[[pa.Table], object]):
         table = pa.Table.from_batches(held) if held else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(table))], pa.binary())], ["model"])
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()[0])
+    told = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(told[0]) if told else train(None)  # no task runs over an empty table
 
 
 BUCKETS = 1 << 20
@@ -128,6 +129,14 @@ def unnamed(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return sure.unionByName(maybe_named(docs, ids, key).join(ids.hint("merge"), F.col(key) == F.col("id"), "left_anti"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not among those taken."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Fewer rows at once for the Python workers: rows here are whole documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -6,21 +6,26 @@
    path so far selects, so two documents stay together with a probability equal to their similarity.
 2. Documents with equal sets become one class; only its smallest id takes part in the join.
 3. Nodes that hold more than NODE_ROWS documents branch further, on one or two positions (1 / threshold
-   on average, so a pair at the threshold survives each level with the same expected multiplicity).
+   on average), up to MAX_DEPTH levels; what is still larger then is cut to pieces that share one document.
 4. Small nodes are compared exhaustively, inside one streaming task each, on the byte sketches, and the
    candidates confirmed on the full sets of both texts. A node where many pairs look similar (a crowd)
    gives only a star around its medoid and each member's best partner; once these are confirmed, the
-   crowd's members go to one task with their full sets, and each member outside the largest component
-   is compared with all others through the node's postings, so only links that unite are given out.
+   crowd's members meet with their full sets, and each member outside the largest component is compared
+   with all others through the node's postings, so only links that unite are given out.
 5. Branching further may part a pair, so the documents of all nodes that were too large at first are
    joined once more, exactly: two sets of the similarity share an element of their prefixes (the rarest
    elements, 1 - threshold of them and one). Postings that hold several components are compared like
-   small nodes; larger ones in blocks, each document outside the largest component with all others.
-6. Components are formed by alternating large-star and small-star steps.
+   crowds. A crowd or posting of more than NODE_ROWS documents or NODE_BYTES of full sets is compared in
+   blocks: each document outside the largest component meets all others, some of them a block.
+6. Components: every round replaces an edge's smaller end by its own smallest neighbour (a join, so a hub
+   is split by the skew handling of joins) and then ties all smaller neighbours of a document to the
+   smallest one. Links found later are added to the stars, and nothing is run where there are none.
 
 Recall: a pair of similarity s meets in a tree with probability s ** DEPTH; with the defaults and
 s = 0.8 at least one of 12 trees unites it with probability 0.9998, and the sketch (128 bytes, cut 3.5
-standard deviations below the threshold) lets it pass with probability 0.9997.
+standard deviations below the threshold) lets it pass with probability 0.9997. This does not depend on how
+far nodes branch: a pair that met in a node too large to compare is found by step 5 whatever became of
+the node's children.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; a text
 with fewer words than a shingle has the whole sequence as its one shingle; repeated rows and equal
@@ -38,10 +43,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _shared, _text
 
-PERCENT, MINS, TREES, DEPTH, NODE_ROWS, MAX_DEPTH = 80, 128, 12, 3, 2_000, 24
+PERCENT, MINS, TREES, DEPTH, NODE_ROWS, MAX_DEPTH = 80, 128, 12, 3, 2_000, 8
+NODE_BYTES = 64 << 20  # of full sets that a task holds of one node
 FREQUENCY_BITS = 18
 _MULTIPLIERS = (_text.seeded(101, MINS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = (_text.seeded(103, MINS) >> np.uint64(32)).astype(np.uint32)
@@ -156,52 +163,55 @@ def leaves(reps: DataFrame, trees: int, percent: int, node_rows: int, max_depth:
     for level in range(max_depth):
         rows = _shared.stored(rows, f"neardup-nodes-{level}")
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = _shared.stored(rows.join(counts, "node"), f"neardup-shared-{level}")
-        small = rows.filter(F.col("n") <= node_rows).select("node", "rid")
+        shared = _shared.stored(rows.join(counts, "node"), f"neardup-shared-{level}")
+        _shared.forget(rows)
+        small = shared.filter(F.col("n") <= node_rows).select("node", "rid")
         found = small if found is None else found.unionByName(small)
-        big = rows.filter(F.col("n") > node_rows).select("node", "rid")
+        big = shared.filter(F.col("n") > node_rows)
         if big.isEmpty():
-            return found, hot
+            break
         hot = big.select("rid").distinct() if hot is None else hot
         if level == max_depth - 1:
             # documents that agree at every chosen position: pieces of the node, each with its smallest id
-            head = big.groupBy("node").agg(F.min("rid").alias("head"), F.count("*").alias("n"))
-            big = big.join(head, "node").withColumn("piece", F.xxhash64("node", F.pmod(F.xxhash64("rid", "node"), F.ceil(F.col("n") / (node_rows // 2)))))
-            found = found.unionByName(big.select(F.col("piece").alias("node"), "rid")).unionByName(big.select(F.col("piece").alias("node"), F.col("head").alias("rid")).distinct())
-            return found, hot
-        rows = _deeper(big.join(reps.select("rid", "mins"), "rid"), percent)
+            head = big.groupBy("node").agg(F.min("rid").alias("head"))
+            piece = F.xxhash64("node", F.pmod(F.xxhash64("rid", "node"), F.ceil(F.col("n") / (node_rows // 2))))
+            big = big.join(head, "node").select(piece.alias("node"), "rid", "head")
+            found = found.unionByName(big.select("node", F.explode(F.array("rid", "head")).alias("rid")).distinct())
+            break
+        rows = _deeper(big.select("node", "rid").join(reps.select("rid", "mins"), "rid"), percent)
     return found, hot
 
 
-def node_pairs(sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Positions (a, b) of candidate pairs in one node, and whether it is a crowd, so that more are left."""
+def node_pairs(sketches: np.ndarray, least: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions (a, b) of candidate pairs of different labels in one node; whether it is a crowd, so that more are left."""
     n = len(sketches)
+    kinds, label = np.unique(np.arange(n) if label is None else label, return_inverse=True)
+    ask = np.flatnonzero(label != np.bincount(label).argmax())
+    asked = np.zeros(n, bool)
+    asked[ask] = True
     a, b, held, crowd = [], [], 0, False
-    partner, best = np.zeros(n, np.int64), np.zeros(n, np.int16)
+    partner, best = np.zeros(len(ask), np.int64), np.zeros(len(ask), np.int16)
     block = max(1, 2_000_000 // (n * MINS))
-    for at in range(0, n, block):
-        agree = (sketches[at : at + block, None, :] == sketches[None, :, :]).sum(2, dtype=np.int16)
-        rows = np.arange(len(agree))
-        agree[rows, rows + at] = -1  # not with itself
+    for at in range(0, len(ask), block):
+        own = ask[at : at + block]
+        agree = (sketches[own, None, :] == sketches[None, :, :]).sum(2, dtype=np.int16)
+        agree[label[own][:, None] == label[None, :]] = -1
         partner[at : at + block] = agree.argmax(1)
-        best[at : at + block] = agree[rows, partner[at : at + block]]
+        best[at : at + block] = agree[np.arange(len(own)), partner[at : at + block]]
         if not crowd:
             x, y = np.nonzero(agree >= least)
-            upper = y > x + at
-            a.append(x[upper] + at), b.append(y[upper])
-            held += int(upper.sum())
+            once = (y > own[x]) | ~asked[y]
+            a.append(own[x[once]]), b.append(y[once])
+            held += int(once.sum())
             crowd = held > 3 * n
     if not crowd:
-        return np.concatenate(a), np.concatenate(b), False
+        return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]), False
     # star around the medoid (most agreement with the most frequent value of each position), best partner of each
     modal = np.array([np.bincount(c).argmax() for c in sketches.T])
     hub = int((sketches == modal).sum(1).argmax())
-    star = np.flatnonzero((sketches == sketches[hub]).sum(1) >= least)
-    star = star[star != hub]
-    paired = np.flatnonzero(best >= least)
-    a = np.concatenate([np.full(len(star), hub), paired])
-    b = np.concatenate([star, partner[paired]])
-    return a, b, True
+    star = np.flatnonzero(((sketches == sketches[hub]).sum(1) >= least) & (label != label[hub]))
+    paired = best >= least
+    return np.concatenate([np.full(len(star), hub), ask[paired]]), np.concatenate([star, partner[paired]]), True
 
 
 def by_node(rows: DataFrame, solve, schema: str) -> DataFrame:
@@ -230,22 +240,22 @@ def _spans(node: np.ndarray) -> list[tuple[int, int]]:
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, crowd): candidate pairs of the nodes in rows (node, rid, mins); crowd is the node if it holds more."""
+    """(a, b, crowd): candidate pairs of the nodes in rows (node, rid, label, mins); crowd is the node if it holds more."""
     p = percent / 100
     least = int(np.floor(MINS * (p - 3.5 * (p * (1 - p) / MINS) ** 0.5)))
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, rid = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        mins = byte_sketch(_bytes_column(rows.column(2), np.uint32, MINS))
+        node, rid, label = (rows.column(i).to_numpy() for i in range(3))
+        mins = byte_sketch(_bytes_column(rows.column(3), np.uint32, MINS))
         left, right, crowd = [], [], []
         for at, end in _spans(node):
-            a, b, more = node_pairs(mins[at:end], least)
+            a, b, more = node_pairs(mins[at:end], least, label[at:end])
             left.append(rid[at + a]), right.append(rid[at + b]), crowd.append(pa.array([int(node[at]) if more else None] * len(a), pa.int64()))
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.concat_arrays(crowd)], ["a", "b", "crowd"])
 
-    return by_node(rows.select("node", "rid", "mins"), solve, "a bigint, b bigint, crowd bigint").filter("a < b")
+    return by_node(rows.select("node", "rid", "label", "mins"), solve, "a bigint, b bigint, crowd bigint").filter("a < b")
 
 
 def crowd_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -281,6 +291,8 @@ def crowd_links(rows: DataFrame, percent: int) -> DataFrame:
                     yield int(rid[x]), int(rid[y])
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, rid = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        rows = rows.filter(pa.array(np.append(True, (node[1:] != node[:-1]) | (rid[1:] != rid[:-1]))))  # a document of both sides of a block
         node, rid, label = (rows.column(i).to_numpy() for i in range(3))
         for at, end in _spans(node):
             sets = [np.frombuffer(x, np.uint64) for x in rows.column(3).slice(at, end - at).to_pylist()]
@@ -293,16 +305,16 @@ def crowd_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(rid, set): the distinct shingle hashes of each document, sorted."""
+    """(rid, n_shingles, set): the distinct shingle hashes of each document, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in _text.slices(batch.column(1)):
                 hashes, bounds = shingles(data, off, size)
-                sets = [np.unique(hashes[bounds[i] : bounds[i + 1]]).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["rid", "set"])
+                sets = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "n_shingles", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rid bigint, set binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "rid bigint, n_shingles bigint, set binary")
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
@@ -328,35 +340,55 @@ def prefix(elements: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return elements[np.lexsort((elements, often[bucket]))[: len(elements) - -(-percent * len(elements) // 100) + 1]]
 
 
-def hot_nodes(sets: DataFrame, labels: DataFrame, percent: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(node, rid, label): postings of the prefixes of sets (rid, set) that hold several labels.
-
-    First those of at most node_rows documents; then the larger ones in blocks: every document outside
-    the most frequent label meets every document of the posting in a node of about node_rows.
-    """
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, rid): the prefixes of sets (rid, set)."""
     often = frequencies(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = [prefix(np.frombuffer(x, np.uint64), often, percent) for x in batch.column(2).to_pylist()]
-                at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                node = _text.mix(np.concatenate(own)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at])], ["node", "rid", "label"])
-
-    known = sets.join(labels, "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), "set")
-    rows = _shared.stored(known.mapInArrow(run, "node bigint, rid bigint, label bigint"), "neardup-postings")
-    mixed = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("node", "n")
-    rows = _shared.stored(rows.join(mixed, "node"), "neardup-postings")
-    small, big = rows.filter(F.col("n") <= node_rows).drop("n"), rows.filter(F.col("n") > node_rows)
-    largest = big.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), F.max("k").alias("k"))
-    half = max(1, node_rows // 2)
-    parts = largest.select("node", "most", F.ceil(F.col("n") / half).alias("wide"), F.ceil((F.col("n") - F.col("k")) / half).alias("long"))
-    big = big.drop("n").join(parts, "node")
+                own = [prefix(np.frombuffer(x, np.uint64), often, percent) for x in batch.column(1).to_pylist()]
+                rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(_text.mix(np.concatenate(own)).astype(np.int64)), pa.array(rid)], ["node", "rid"])
+
+    return sets.select("rid", "set").mapInArrow(run, "node bigint, rid bigint")
+
+
+def mixed(rows: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
+    """(node, rid, label, n_shingles, mins, n) of rows (node, rid): the nodes that hold several labels; n documents in the node."""
+    known = reps.select("rid", "n_shingles", "mins")
+    if labels is None:
+        known, rows = known.withColumn("label", F.col("rid")), rows.withColumn("label", F.col("rid"))
+    else:
+        known = known.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        rows = _shared.stored(rows.join(known.select("rid", "label"), "rid"), "neardup-labelled")
+    several = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("node", "n")
+    rows = rows.join(several, "node")
+    return rows.select("node", "rid", "n").join(known, "rid").select("node", "rid", "label", "n_shingles", "mins", "n")
+
+
+def blocks(rows: DataFrame, node_rows: int, node_bytes: int = NODE_BYTES) -> DataFrame:
+    """(node, rid, label): rows (node, rid, label, n_shingles) with larger nodes cut to blocks.
+
+    A block holds about half of node_rows documents outside the node's most frequent label, and as many of
+    all; each of the former meets each of the latter in one block. Halves are counted in documents and in
+    bytes of their sets, whichever is more.
+    """
+    size = rows.groupBy("node", "label").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("s"))
+    size = size.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), F.max("k").alias("k"), F.sum("s").alias("s"), F.max_by("s", F.struct("k", "label")).alias("most_s"))
+    size = size.filter((F.col("n") > node_rows) | (8 * F.col("s") > node_bytes))
+
+    def pieces(n, s):
+        return F.greatest(F.ceil(n / max(1, node_rows // 2)), F.ceil(8 * s / max(1, node_bytes // 2)), F.lit(1))
+
+    parts = size.select("node", "most", pieces(F.col("n"), F.col("s")).alias("wide"), pieces(F.col("n") - F.col("k"), F.col("s") - F.col("most_s")).alias("long"))
+    rows = rows.join(parts, "node", "left")
+    small = rows.filter("wide is null").select("node", "rid", "label")
+    big = rows.filter("wide is not null")
     other = big.filter("label != most").withColumn("i", F.pmod(F.xxhash64("rid", "node"), "long")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wide") - 1)))
     every = big.withColumn("j", F.pmod(F.xxhash64("node", "rid"), "wide")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("long") - 1)))
-    blocks = other.select("node", "i", "j", "rid", "label").unionByName(every.select("node", "i", "j", "rid", "label")).distinct()
-    return small, blocks.select(F.xxhash64("node", "i", "j").alias("node"), "rid", "label")
+    cut = other.select("node", "i", "j", "rid", "label").unionByName(every.select("node", "i", "j", "rid", "label"))
+    return small.unionByName(cut.select(F.xxhash64("node", "i", "j").alias("node"), "rid", "label"))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -395,23 +427,49 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(rid, label): the smallest id that each linked id reaches, by large-star and small-star steps."""
-    edges = _shared.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "neardup-edges")
-    told = None
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of each batch as stars around the smallest document of what it connects."""
+    for batch in batches:
+        if batch.num_rows:
+            ids, at = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
+            parent = list(range(len(ids)))
+            n = batch.num_rows
+            for x, y in zip(at[:n].tolist(), at[n:].tolist()):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                parent[max(x, y)] = min(x, y)
+            root = np.array(parent)
+            while (root[root] != root).any():
+                root = root[root]
+            own = root != np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["u", "v"])
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """(u, v, parent) of edges (u, v), u > v: u, and every smaller neighbour of u, tied to the smallest one; parent marks one row for each u."""
+    by_u = Window.partitionBy("u").orderBy("v")
+    rows = edges.select("u", "v", F.first("v").over(by_u).alias("m"), (F.row_number().over(by_u) == 1).alias("parent")).filter("parent or v > m")
+    return rows.select(F.when(F.col("parent"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), "parent")
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(rid, label): the smallest id that each linked id reaches; known: labels of links that come besides."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").mapInArrow(contracted, "u bigint, v bigint")
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("rid").alias("u"), F.col("label").alias("v")))
+    told = before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = _shared.stored(small.filter("u > v").distinct(), "neardup-edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == told:
-            return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "rid")
-        told = state
+        now = _shared.stored(small_star(edges), "neardup-edges")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before is not None:
+            _shared.forget(before)
+        if state == told:  # all stars: another round would change nothing
+            return now.select(F.col("u").alias("rid"), F.col("v").alias("label"))
+        told, before = state, now
+        parents = now.filter("parent").select(F.col("u").alias("w"), F.col("v").alias("m"))
+        edges = now.join(parents, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).unionByName(parents.select(F.col("w").alias("u"), F.col("m").alias("v")))
 
 
 def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -420,45 +478,56 @@ def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TRE
     drawn = _shared.stored(sketch(docs, size, trees, depth), "neardup-sketch")
     named = drawn.filter("digest is not null and doc_id is not null")
     reps = _shared.stored(
-        named.groupBy("digest").agg(F.min(F.struct("doc_id", "nodes", "mins")).alias("least"), F.count("*").alias("n")).select("digest", F.col("least.doc_id").alias("rid"), F.col("least.nodes").alias("nodes"), F.col("least.mins").alias("mins")), "neardup-classes"
+        named.groupBy("digest").agg(F.min(F.struct("doc_id", "nodes", "mins", "n_shingles")).alias("least"))
+        .select("digest", F.col("least.doc_id").alias("rid"), F.col("least.nodes").alias("nodes"), F.col("least.mins").alias("mins"), F.col("least.n_shingles").alias("n_shingles")), "neardup-classes"
     )
     nodes, hot = leaves(reps, trees, percent, node_rows, MAX_DEPTH)
-    nodes = _shared.stored(nodes, "neardup-leaves")
-    first = _shared.stored(candidates(nodes.join(reps.select("rid", "mins"), "rid"), percent), "neardup-pairs")
-    links = _shared.stored(confirm(first.select("a", "b").distinct(), docs, size, percent), "neardup-links")
-    labels = components(links)
-    crowds = _shared.stored(first.select(F.col("crowd").alias("node")).filter("node is not null").distinct(), "neardup-crowds")
-    if not crowds.isEmpty():
-        now = nodes.join(crowds, "node", "left_semi").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        mixed = now.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("node")
-        now = _shared.stored(now.join(mixed, "node", "left_semi"), "neardup-mixed")
-        sets = full_sets(texts_of(docs, now.select("rid").distinct()).withColumnRenamed("rid", "doc_id"), size)
-        links = links.unionByName(_shared.stored(crowd_links(now.join(sets, "rid"), percent), "neardup-links"))
-        labels = components(links)
-    if hot is not None:
-        sets = _shared.stored(full_sets(texts_of(docs, hot).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
-        small, blocks = hot_nodes(sets, labels, percent, node_rows)
-        small = _shared.stored(small, "neardup-hot-small")
-        pairs = _shared.stored(candidates(small.join(reps.select("rid", "mins"), "rid"), percent), "neardup-pairs")
-        crowds = pairs.filter("crowd is not null").select(F.col("crowd").alias("node")).distinct()
-        met = small.join(crowds, "node", "left_semi").unionByName(blocks)
-        found = _shared.stored(crowd_links(met.join(sets, "rid"), percent), "neardup-links")
-        whole = labels.select(F.col("rid").alias("a"), F.col("label").alias("x"))
-        pairs = pairs.filter("crowd is null").select("a", "b").distinct().join(whole, "a", "left")
-        pairs = pairs.join(whole.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
-        links = links.unionByName(found).unionByName(_shared.stored(confirm(_shared.stored(pairs.select("a", "b"), "neardup-pairs"), docs, size, percent), "neardup-links"))
-        labels = components(links)
+    labels = link(_shared.stored(nodes, "neardup-leaves"), hot, reps, docs, size, percent, node_rows)
     by_digest = reps.select("digest", "rid").join(labels, "rid", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rid").alias("label"))
-    out = drawn.select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    columns = ["doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")]
+    with_set = drawn.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(by_digest, F.col("digest") == F.col("d"), "left").select(*columns)
+    # rows without a shingle need no join
+    return with_set.unionByName(drawn.filter("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("label")).select(*columns))
+
+
+def link(rows: DataFrame, hot: DataFrame | None, reps: DataFrame, docs: DataFrame, size: int, percent: int, node_rows: int) -> DataFrame:
+    """(rid, label) by the links in each node of rows (node, rid), and of the documents hot (rid) with each other.
+
+    Sketches are compared in the nodes; then, with the labels that this gave, in the crowds that are left and
+    in the postings of the hot documents; crowds that are left even then, and postings of more than node_rows
+    documents, are compared on full sets.
+    """
+    labels = reps.select("rid", F.col("rid").alias("label")).limit(0)
+    for first in (True, False):
+        here = _shared.stored(mixed(rows, None if first else labels, reps), "neardup-mixed")
+        pairs = _shared.stored(candidates(here.filter(F.col("n") <= node_rows), percent), "neardup-pairs")
+        if not pairs.isEmpty():
+            links = _shared.stored(confirm(pairs.select("a", "b").distinct(), docs, size, percent), "neardup-links")
+            if not links.isEmpty():
+                labels = components(links, None if first else labels)
+        crowds = pairs.select(F.col("crowd").alias("node")).filter("node is not null").distinct()
+        rows = here.select("node", "rid").join(crowds, "node", "left_semi")
+        if first and hot is not None:
+            sets = _shared.stored(full_sets(texts_of(docs, hot).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
+            rows = rows.unionByName(postings(sets, percent))
+        rows = _shared.stored(rows.unionByName(here.filter(F.col("n") > node_rows).select("node", "rid")), "neardup-crowds")
+        if rows.isEmpty():
+            return labels
+    here = _shared.stored(blocks(mixed(rows, labels, reps).drop("mins", "n"), node_rows), "neardup-blocks")
+    if here.isEmpty():
+        return labels
+    sets = full_sets(texts_of(docs, here.select("rid").distinct()).withColumnRenamed("rid", "doc_id"), size)
+    links = _shared.stored(crowd_links(here.join(sets.select("rid", "set"), "rid"), percent), "neardup-links")
+    return labels if links.isEmpty() else components(links, labels)
 
 
 def unique(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One row of docs, all columns, of each component; rows without an id or a shingle all stay.
+    """One row of docs, all columns, of each component; rows without an id all stay.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id one stays. Rows without words and with an id are no duplicates and stay, too.
     """
-    marked = classes(docs, size, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"), "n_shingles").distinct()
-    kept = docs.join(marked, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    name = _shared.fresh("kept_id", docs.columns)
+    marked = classes(docs, size, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(marked, F.col("doc_id") == F.col(name), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
