@@ -340,31 +340,26 @@ def prefix(elements: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return elements[np.lexsort((elements, often[bucket]))[: len(elements) - -(-percent * len(elements) // 100) + 1]]
 
 
-def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, rid): the prefixes of sets (rid, set)."""
+def postings(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(node, rid, label, n_shingles): the prefixes of sets (rid, n_shingles, set)."""
     often = frequencies(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = [prefix(np.frombuffer(x, np.uint64), often, percent) for x in batch.column(1).to_pylist()]
-                rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(_text.mix(np.concatenate(own)).astype(np.int64)), pa.array(rid)], ["node", "rid"])
+                own = [prefix(np.frombuffer(x, np.uint64), often, percent) for x in batch.column(3).to_pylist()]
+                at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                node = _text.mix(np.concatenate(own)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), *[pa.array(batch.column(i).to_numpy()[at]) for i in range(3)]], ["node", "rid", "label", "n_shingles"])
 
-    return sets.select("rid", "set").mapInArrow(run, "node bigint, rid bigint")
+    known = sets.join(labels, "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), "n_shingles", "set")
+    return known.mapInArrow(run, "node bigint, rid bigint, label bigint, n_shingles bigint")
 
 
-def mixed(rows: DataFrame, labels: DataFrame | None, reps: DataFrame) -> DataFrame:
-    """(node, rid, label, n_shingles, mins, n) of rows (node, rid): the nodes that hold several labels; n documents in the node."""
-    known = reps.select("rid", "n_shingles", "mins")
-    if labels is None:
-        known, rows = known.withColumn("label", F.col("rid")), rows.withColumn("label", F.col("rid"))
-    else:
-        known = known.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        rows = _shared.stored(rows.join(known.select("rid", "label"), "rid"), "neardup-labelled")
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (node, label, ...) of the nodes that hold several labels, with the number of documents n."""
     several = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("node", "n")
-    rows = rows.join(several, "node")
-    return rows.select("node", "rid", "n").join(known, "rid").select("node", "rid", "label", "n_shingles", "mins", "n")
+    return rows.join(several, "node")
 
 
 def blocks(rows: DataFrame, node_rows: int, node_bytes: int = NODE_BYTES) -> DataFrame:
@@ -492,34 +487,42 @@ def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TRE
 
 
 def link(rows: DataFrame, hot: DataFrame | None, reps: DataFrame, docs: DataFrame, size: int, percent: int, node_rows: int) -> DataFrame:
-    """(rid, label) by the links in each node of rows (node, rid), and of the documents hot (rid) with each other.
-
-    Sketches are compared in the nodes; then, with the labels that this gave, in the crowds that are left and
-    in the postings of the hot documents; crowds that are left even then, and postings of more than node_rows
-    documents, are compared on full sets.
-    """
+    """(rid, label) by the links in each node of rows (node, rid), and of the documents hot (rid) with each other."""
     labels = reps.select("rid", F.col("rid").alias("label")).limit(0)
-    for first in (True, False):
-        here = _shared.stored(mixed(rows, None if first else labels, reps), "neardup-mixed")
-        pairs = _shared.stored(candidates(here.filter(F.col("n") <= node_rows), percent), "neardup-pairs")
+    sketches = reps.select("rid", "mins")
+
+    def confirmed(pairs: DataFrame) -> None:
+        nonlocal labels
         if not pairs.isEmpty():
-            links = _shared.stored(confirm(pairs.select("a", "b").distinct(), docs, size, percent), "neardup-links")
-            if not links.isEmpty():
-                labels = components(links, None if first else labels)
+            add(confirm(pairs.select("a", "b").distinct(), docs, size, percent))
+
+    def add(links: DataFrame) -> None:
+        nonlocal labels
+        links = _shared.stored(links, "neardup-links")
+        if not links.isEmpty():
+            labels = components(links, labels)
+
+    def compare_sets(rows: DataFrame, sets: DataFrame | None) -> None:
+        rows = _shared.stored(blocks(_shared.stored(rows.select("node", "rid", "label", "n_shingles"), "neardup-mixed"), node_rows), "neardup-blocks")
+        if not rows.isEmpty():
+            if sets is None:
+                sets = full_sets(texts_of(docs, rows.select("rid").distinct()).withColumnRenamed("rid", "doc_id"), size)
+            add(crowd_links(rows.join(sets.select("rid", "set"), "rid"), percent))
+
+    pairs = _shared.stored(candidates(rows.withColumn("label", F.col("rid")).join(sketches, "rid"), percent), "neardup-pairs")
+    confirmed(pairs)
+    crowds = pairs.select(F.col("crowd").alias("node")).filter("node is not null").distinct()
+    if not crowds.isEmpty():
+        known = reps.select("rid", "n_shingles").join(labels, "rid", "left").select("rid", "n_shingles", F.coalesce("label", "rid").alias("label"))
+        compare_sets(mixed(rows.join(crowds, "node", "left_semi").join(known, "rid")), None)
+    if hot is not None:
+        sets = _shared.stored(full_sets(texts_of(docs, hot).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
+        rows = _shared.stored(mixed(_shared.stored(postings(sets, labels, percent), "neardup-postings")), "neardup-mixed")
+        pairs = _shared.stored(candidates(rows.filter(F.col("n") <= node_rows).join(sketches, "rid"), percent), "neardup-pairs")
+        confirmed(pairs)
         crowds = pairs.select(F.col("crowd").alias("node")).filter("node is not null").distinct()
-        rows = here.select("node", "rid").join(crowds, "node", "left_semi")
-        if first and hot is not None:
-            sets = _shared.stored(full_sets(texts_of(docs, hot).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
-            rows = rows.unionByName(postings(sets, percent))
-        rows = _shared.stored(rows.unionByName(here.filter(F.col("n") > node_rows).select("node", "rid")), "neardup-crowds")
-        if rows.isEmpty():
-            return labels
-    here = _shared.stored(blocks(mixed(rows, labels, reps).drop("mins", "n"), node_rows), "neardup-blocks")
-    if here.isEmpty():
-        return labels
-    sets = full_sets(texts_of(docs, here.select("rid").distinct()).withColumnRenamed("rid", "doc_id"), size)
-    links = _shared.stored(crowd_links(here.join(sets.select("rid", "set"), "rid"), percent), "neardup-links")
-    return labels if links.isEmpty() else components(links, labels)
+        compare_sets(rows.filter(F.col("n") > node_rows).drop("n").unionByName(rows.join(crowds, "node", "left_semi").drop("n")), sets)
+    return labels
 
 
 def unique(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
