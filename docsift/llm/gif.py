@@ -1,13 +1,18 @@
 """GIF media columns: encode and decode LZW code streams, palettes, disposal, transparency, timed frames.
 
-decode() reads any GIF87a/89a file: global and local palettes, interlacing, graphic-control delays,
+encode_all() writes payloads as animations: frames of FRAME_ROWS rows in a colour palette whose red is the
+sample. Of every KEY_FRAMES frames the first is drawn on an empty canvas; in the others a row that equals
+the one shown below it is written as transparent; the last one's disposal empties the canvas again. All
+streams of a batch step through their samples together, and their codes are packed together.
+parse(), fill() and compose() read any GIF87a/89a file: global and local palettes, interlacing, graphic-control delays,
 transparent indexes, disposal methods 0 to 3. LZW is decoded in numpy: between two clear codes the
 code widths follow from the position alone, every table entry is a copy of earlier output, and the
 chains of prefixes are resolved by pointer doubling, all streams of a batch together.
 
 Edge cases: a null payload is stored as an empty one (padded, so one row of zeros); null media gives
 no frames; broken media (bad signature, truncated blocks) gives no frames and `error` set; equal
-payloads give equal files. Long payloads become several frames of at most FRAME_ROWS rows.
+payloads give equal files. Long payloads become several frames. Frames that hold the transparent index
+as a sample are written without transparency.
 """
 
 from __future__ import annotations
@@ -23,38 +28,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT, FRAME_ROWS, DELAY_CS, HIST_BINS = 64, 1024, 10, 8
-GRAY = bytes(v for i in range(256) for v in (i, i, i))
+UNIT, FRAME_ROWS, KEY_FRAMES, DELAY_CS, HIST_BINS = 64, 56, 4, 10, 8
+CLEAR, END, FIRST = 256, 257, 258  # a frame of UNIT * FRAME_ROWS samples cannot fill the table of 4096
+TRANSPARENT = 255  # no byte of UTF-8
+SLOTS = 1 << 13
+ENCODE_BYTES, DECODE_BYTES = 4_000_000, 1_000_000  # of payloads, of media, at once
+#: index -> red (the index itself), green (its bits reversed), blue
+PALETTE = np.array([(i, int(f"{i:08b}"[::-1], 2), (7 * i + 85) % 256) for i in range(256)], np.uint8)
 
 
 # -- LZW ---------------------------------------------------------------------------------------
 
-def lzw_codes(samples: bytes, min_bits: int = 8) -> list[int]:
-    """The GIF code sequence of the samples: clear, greedy longest matches, clear at a full table, end."""
-    clear, end = 1 << min_bits, (1 << min_bits) + 1
-    codes, nxt, table = [clear], end + 1, {}
-    if not samples:
-        return [clear, end]
-    emit, find = codes.append, table.get
-    prefix = samples[0]
-    for b in memoryview(samples)[1:]:
-        key = prefix << 8 | b
-        code = find(key)
-        if code is not None:
-            prefix = code
-            continue
-        emit(prefix)
-        prefix = b
-        if nxt == 4096:
-            emit(clear)
-            table.clear()
-            nxt = end + 1
-        else:
-            table[key] = nxt
-            nxt += 1
-    emit(prefix)
-    emit(end)
-    return codes
+def lzw_codes(samples: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of many streams (samples one after the other, each of 1 to UNIT * FRAME_ROWS), and how many each has.
+
+    All streams advance one sample at a time. Table entries are found by a hash of (prefix, sample) into
+    SLOTS places for each stream, the newest entry keeping its place; an entry that lost it is never used
+    again, which any decoder may ignore.
+    """
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    at, left = starts[order], lengths[order]
+    active = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), side="right")  # streams longer than each position
+    table = np.full(len(order) * SLOTS, 0xFFFFFFFF, np.uint32)
+    base = np.arange(len(order)) * SLOTS
+    out, count = np.empty(len(samples), np.int32), np.zeros(len(order), np.int64)
+    prefix = samples[at].astype(np.uint32)
+    for t in range(1, int(left[0])):
+        a = active[t]
+        own, b = prefix[:a], samples[at[:a] + t].astype(np.uint32)
+        key = own << np.uint32(8) | b
+        place = base[:a] + (key * np.uint32(0x9E3779B1) >> np.uint32(19))
+        found = table[place]
+        miss = np.flatnonzero(found >> np.uint32(12) != key)
+        told = own[miss]
+        out[at[miss] + count[miss]] = told
+        table[place[miss]] = key[miss] << np.uint32(12) | (FIRST + count[miss]).astype(np.uint32)
+        count[miss] += 1
+        own[:] = found & np.uint32(4095)
+        own[miss] = b[miss]
+    out[at + count] = prefix
+    count += 1
+    n = np.empty(len(order), np.int64)
+    n[order] = count
+    keep = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+    return out[keep], n
 
 
 def _widths(count: int, min_bits: int) -> np.ndarray:
@@ -66,22 +84,20 @@ def _widths(count: int, min_bits: int) -> np.ndarray:
 _WIDTHS = {m: _widths(1 << 16, m) for m in range(2, 9)}
 
 
-def pack(codes: np.ndarray, min_bits: int = 8) -> bytes:
-    """Codes as little-endian bits, the width growing with the table and falling back at clear codes."""
-    clear = np.flatnonzero(codes == 1 << min_bits)
-    since = np.arange(len(codes))
-    since = since - np.repeat(clear, np.diff(np.append(clear, len(codes)))) - 1
-    width = np.where(since < 0, np.roll(_WIDTHS[min_bits][np.maximum(since, 0)], 0), _WIDTHS[min_bits][np.minimum(np.maximum(since, 0), 65535)])
-    ends = np.append(clear[1:], [])  # a later clear code is still read at the width reached before it
-    for at in ends.astype(np.int64):
-        width[at] = _WIDTHS[min_bits][min(since[at - 1] + 1, 65535)]
-    width[clear[:1]] = min_bits + 1
-    start = np.cumsum(width) - width
-    bits = np.zeros(int(width.sum()), np.uint8)
-    for k in range(12):
-        own = width > k
-        bits[start[own] + k] = (codes[own] >> k) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+_BEGIN = {m: np.cumsum(w) - w + m + 1 for m, w in _WIDTHS.items()}  # first bit of each code, behind a clear code
+
+
+def pack(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all streams, each a clear code, its n codes and an end code; where each stream ends."""
+    width, begin = _WIDTHS[8], _BEGIN[8]
+    ends = np.cumsum((begin[n] + width[n] + 7) >> 3)
+    first = 8 * np.append(0, ends[:-1])
+    k = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+    bit = np.concatenate([first, first.repeat(n) + begin[k], first + begin[n]])
+    value = np.concatenate([np.full(len(n), CLEAR), codes, np.full(len(n), END)]).astype(np.int64) << (bit & 7)
+    byte, size = bit >> 3, int(ends[-1]) + 3
+    out = sum(np.bincount(byte + i, value >> 8 * i & 255, size) for i in range(3))  # bits never overlap: sums are unions
+    return out[: ends[-1]].astype(np.uint8), ends
 
 
 def unpack(stream: bytes, min_bits: int) -> list[np.ndarray]:
@@ -115,6 +131,32 @@ def unpack(stream: bytes, min_bits: int) -> list[np.ndarray]:
     return [s for s in segments if len(s)]
 
 
+def unpack_all(streams: list[bytes], min_bits: int) -> list[list[np.ndarray]]:
+    """unpack() of many streams; those with one segment, whose bits are all at known places, at once."""
+    clear, end = 1 << min_bits, (1 << min_bits) + 1
+    width, begin = _WIDTHS[min_bits], _BEGIN[min_bits]
+    sizes = np.array([len(x) for x in streams])
+    n = np.minimum(np.searchsorted(begin + width, 8 * sizes, side="right"), len(width))
+    data = np.frombuffer(b"".join(streams) + b"\0\0\0", np.uint8).astype(np.int64)
+    first = np.cumsum(n) - n
+    at = np.cumsum(sizes) - sizes
+    k = np.arange(int(n.sum())) - np.repeat(first, n)
+    bit = np.repeat(8 * at, n) + begin[k]
+    byte = bit >> 3
+    codes = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (bit & 7) & ((1 << width[k]) - 1)
+    stops = np.flatnonzero((codes == clear) | (codes == end))
+    nearest = np.append(stops, len(codes))[np.searchsorted(stops, first)]
+    opens = (data[at] | data[at + 1] << 8) & ((2 << min_bits) - 1) == clear
+    out = []
+    for i, stream in enumerate(streams):
+        stop = int(nearest[i])
+        if opens[i] and stop < first[i] + n[i] and codes[stop] == end:
+            out.append([codes[first[i] : stop]] if stop > first[i] else [])
+        else:
+            out.append(unpack(stream, min_bits))
+    return out
+
+
 def expand(segments: list[np.ndarray], min_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples of all segments, decoded together; where each segment begins.
 
@@ -162,21 +204,44 @@ def _blocks(payload: bytes) -> bytes:
     return b"".join(bytes([len(payload[i : i + 255])]) + payload[i : i + 255] for i in range(0, len(payload), 255)) + b"\0"
 
 
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """Each payload (a positive multiple of UNIT bytes) as a file of frames, UNIT pixels wide."""
+    streams, shapes = [], []
+    for payload in payloads:
+        rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+        for k, top in enumerate(range(0, len(rows), FRAME_ROWS)):
+            own, see = rows[top : top + FRAME_ROWS], False
+            if k % KEY_FRAMES:
+                same = (own == rows[top - FRAME_ROWS : top - FRAME_ROWS + len(own)]).all(1)
+                see = bool(same.any()) and not (own == TRANSPARENT).any()
+                if see:
+                    own = np.where(same[:, None], np.uint8(TRANSPARENT), own)
+            streams.append(own.ravel())
+            shapes.append((len(own), 2 if k % KEY_FRAMES == KEY_FRAMES - 1 else 1, see))
+    codes, n = lzw_codes(np.concatenate(streams), np.array([len(x) for x in streams]))
+    packed, ends = pack(codes, n)
+    packed, begins = packed.tobytes(), [0, *ends.tolist()]
+    out, f = [], 0
+    for payload in payloads:
+        rows = len(payload) // UNIT
+        parts = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, FRAME_ROWS), 0xF7, 0, 0), PALETTE.tobytes()]
+        for _ in range(0, rows, FRAME_ROWS):
+            height, disposal, see = shapes[f]
+            parts.append(b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | see, DELAY_CS, TRANSPARENT if see else 0, 0))
+            parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, UNIT, height, 0) + b"\x08")
+            parts.append(_blocks(packed[begins[f] : begins[f + 1]]))
+            f += 1
+        out.append(b"".join(parts) + b"\x3b")
+    return out
+
+
 def encode(payload: bytes) -> bytes:
-    """The payload (a positive multiple of UNIT bytes) as grey frames, UNIT pixels wide."""
-    rows = len(payload) // UNIT
-    parts = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, FRAME_ROWS), 0xF7, 0, 0), GRAY]
-    for top in range(0, rows, FRAME_ROWS):
-        own = payload[top * UNIT : (top + FRAME_ROWS) * UNIT]
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0))
-        parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, UNIT, len(own) // UNIT, 0) + b"\x08")
-        parts.append(_blocks(pack(np.array(lzw_codes(own), np.int32))))
-    return b"".join(parts) + b"\x3b"
+    return encode_all([payload])[0]
 
 
 @dataclass
 class Frame:
-    """One image of a file as stored: its rectangle, palette, timing, and its code segments."""
+    """One image of a file as stored: its rectangle, palette, timing, and its code stream."""
 
     left: int
     top: int
@@ -188,12 +253,12 @@ class Frame:
     transparent: int
     interlaced: bool
     min_bits: int
-    segments: list
+    stream: bytes
     samples: np.ndarray | None = None
 
 
 def parse(media: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas size and frames, LZW still packed in segments."""
+    """Canvas size and frames, LZW still packed."""
     if media[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags = struct.unpack_from("<HHB", media, 6)
@@ -225,12 +290,14 @@ def parse(media: bytes) -> tuple[int, int, list[Frame]]:
             if own is None:
                 raise ValueError("no palette")
             min_bits, at = media[at], at + 1
+            if not 2 <= min_bits <= 8:
+                raise ValueError("bad code size")
             stream = []
             while media[at]:
                 stream.append(media[at + 1 : at + 1 + media[at]])
                 at += media[at] + 1
             at += 1
-            frames.append(Frame(left, top, w, h, own, *control, bool(packed & 0x40), min_bits, unpack(b"".join(stream), min_bits)))
+            frames.append(Frame(left, top, w, h, own, *control, bool(packed & 0x40), min_bits, b"".join(stream)))
             control = (0, 0, -1)
         else:
             raise ValueError(f"unknown block {kind}")
@@ -241,11 +308,12 @@ def fill(frames: list[Frame]) -> None:
     """Decode the samples of many frames together."""
     for bits in {f.min_bits for f in frames}:
         own = [f for f in frames if f.min_bits == bits]
-        out, starts = expand([s for f in own for s in f.segments], bits)
+        segments = unpack_all([f.stream for f in own], bits)
+        out, starts = expand([s for x in segments for s in x], bits)
         k = 0
-        for f in own:
-            samples = out[starts[k] : starts[k + len(f.segments)]]
-            k += len(f.segments)
+        for f, x in zip(own, segments):
+            samples = out[starts[k] : starts[k + len(x)]]
+            k += len(x)
             if len(samples) < f.width * f.height:
                 raise ValueError("too few samples")
             samples = samples[: f.width * f.height].reshape(f.height, f.width)
@@ -292,62 +360,76 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = batch.slice(at, 256)
-                raw = own.column(1).to_pylist()
+            raw, at = batch.column(1).to_pylist(), 0
+            while at < len(raw):
+                end, held = at, 0
+                while end < len(raw) and (end == at or held + len(raw[end]) <= ENCODE_BYTES):
+                    held += len(raw[end]) + UNIT
+                    end += 1
+                own = raw[at:end]
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], ["media_id", "n_bytes", "media"]
+                    [batch.column(0).slice(at, end - at), pa.array([len(x) for x in own], pa.int64()), pa.array(encode_all([pad(x) for x in own]), pa.binary())], ["media_id", "n_bytes", "media"]
                 )
+                at = end
 
     kind = rows.schema["media_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"media_id {kind}, n_bytes bigint, media binary")
 
 
-def _decoded(media: list, size: int = 64) -> Iterator[tuple[int, tuple[int, int, list[Frame]] | None, str | None]]:
-    """(row, canvas and frames, error) for each file, `size` files decoded together."""
-    for at in range(0, len(media), size):
+def _decoded(media: list, most: int = DECODE_BYTES) -> Iterator[tuple[int, tuple[int, int, list[Frame]] | None, str | None]]:
+    """(row, canvas and frames, error) for each file, files of about `most` bytes decoded together."""
+    at = 0
+    while at < len(media):
+        end, held = at, 0
+        while end < len(media) and (end == at or held < most):
+            held += len(media[end] or b"")
+            end += 1
         parsed, errors = {}, {}
-        for i, m in enumerate(media[at : at + size], at):
+        for i, m in enumerate(media[at:end], at):
             try:
                 parsed[i] = parse(m) if m is not None else None
             except (ValueError, IndexError, struct.error) as e:
                 errors[i] = f"{type(e).__name__}: {e}"
-        frames = [f for p in parsed.values() if p for f in p[2]]
         try:
-            fill(frames)
+            fill([f for p in parsed.values() if p for f in p[2]])
         except ValueError:  # find the broken files one by one
             for i, p in parsed.items():
                 try:
                     fill(p[2] if p else [])
                 except ValueError as e:
                     errors[i] = str(e)
-        for i in range(at, min(at + size, len(media))):
+        for i in range(at, end):
             yield i, None if i in errors else parsed[i], errors.get(i)
+        at = end
+
+
+def timed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[Frame, int, np.ndarray, np.ndarray]]:
+    """(frame, start in ms, canvas shown, colour histogram of the frame's rectangle)."""
+    when = 0
+    for f, shown in zip(frames, compose(width, height, frames)):
+        yield f, when, shown, histogram(shown[f.top : f.top + f.height, f.left : f.left + f.width])
+        when += f.delay_ms
 
 
 def frames(media: DataFrame) -> DataFrame:
     """One row a frame of (media_id, media): times, rectangle, composited RGBA pixels, colour histograms."""
     kind = media.schema["media_id"].dataType.simpleString()
+    names = ["media_id", "frame", "start_ms", "delay_ms", "width", "height", "disposal", "transparent", "rgba", "hist_r", "hist_g", "hist_b", "error"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for i, got, error in _decoded(batch.column(1).to_pylist(), 8):
-                rows, when = [], 0
+            for i, got, error in _decoded(batch.column(1).to_pylist()):
+                rows = [(None,) * 11 + (error,)] if error else []
                 if got:
-                    for k, (f, shown) in enumerate(zip(got[2], compose(*got))):
-                        h = histogram(shown).tolist()
-                        rows.append((k, when, f.delay_ms, got[0], got[1], f.disposal, shown.tobytes(), h[:8], h[8:16], h[16:], None))
-                        when += f.delay_ms
-                elif error:
-                    rows.append((None, None, None, None, None, None, None, None, None, None, error))
-                if rows:
-                    cols = list(zip(*rows))
-                    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(rows), ids.type), *[pa.array(c, t) for c, t in zip(cols, types)]], ["media_id", "frame", "start_ms", "delay_ms", "width", "height", "disposal", "rgba", "hist_r", "hist_g", "hist_b", "error"])
+                    rows = [(k, when, f.delay_ms, *got[:2], f.disposal, f.transparent, shown.tobytes(), *h.reshape(3, -1).tolist(), None) for k, (f, when, shown, h) in enumerate(timed(*got))]
+                for at in range(0, len(rows), 256):
+                    own = rows[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(own), ids.type), *[pa.array(c, t) for c, t in zip(zip(*own), types)]], names)
 
     return media.select("media_id", "media").mapInArrow(
-        run, f"media_id {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, disposal int, rgba binary, hist_r array<bigint>, hist_g array<bigint>, hist_b array<bigint>, error string"
+        run, f"media_id {kind}, frame int, start_ms bigint, delay_ms bigint, width int, height int, disposal int, transparent int, rgba binary, hist_r array<bigint>, hist_g array<bigint>, hist_b array<bigint>, error string"
     )
 
 
@@ -362,13 +444,12 @@ def digests(media: DataFrame) -> DataFrame:
                 if got is None:
                     raise ValueError(error or "no media")
                 back, hist, ms = [], np.zeros(3 * HIST_BINS, np.int64), 0
-                for f, shown in zip(got[2], compose(*got)):
-                    rect = shown[f.top : f.top + f.height, f.left : f.left + f.width]
-                    back.append(rect[..., 0].tobytes())
-                    hist += histogram(rect)
-                    ms += f.delay_ms
+                for f, when, shown, h in timed(*got):
+                    back.append(shown[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+                    hist += h
+                    ms = when + f.delay_ms
                 payload = b"".join(back)
-                feature = f"{len(got[2])}f{ms}ms:" + ",".join(map(str, hist[:HIST_BINS]))
+                feature = f"{len(got[2])}f{ms}ms:" + ",".join(map(str, hist))
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored[i]), hashlib.sha256(stored[i]).hexdigest(), feature))
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -85,6 +85,39 @@ def test_gif_round_trip(payload):
     assert back == padded and len(padded) % 64 == 0 and padded.startswith(payload)
 
 
+def test_gif_streams_are_read_by_a_plain_decoder():
+    """Codes one by one, with a table as the format describes it."""
+    r = random.Random(6)
+    for payload in (b"abab" * 300, bytes(r.choices(range(256), k=3500)), b"x", bytes(r.choices(b"ab", k=3584))):
+        media = gif.encode(gif.pad(payload))
+        stream, out, table, width, prev, bit = gif.parse(media)[2][0].stream, b"", {}, 9, None, 0
+        value = int.from_bytes(stream, "little")
+        while True:
+            code = value >> bit & ((1 << width) - 1)
+            bit += width
+            if code == 256:
+                table, width, prev = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, 9, None
+                continue
+            if code == 257:
+                break
+            entry = table[code] if code in table else prev + prev[:1]
+            if prev is not None and len(table) < 4096:
+                table[len(table)] = prev + entry[:1]
+            out, prev = out + entry, entry
+            width = min(12, max(9, len(table).bit_length()))
+        assert out == gif.pad(payload)[: 64 * 56]
+
+
+def test_gif_rows_shown_already_are_transparent():
+    line = [bytes([65 + i % 26]) * 64 for i in range(56)]
+    payload = b"".join(line * 5 + line[:7]) + b"z" * 64
+    width, height, frames = gif.parse(gif.encode(payload))
+    assert [(f.disposal, f.transparent) for f in frames] == [(1, -1), (1, 255), (1, 255), (2, 255), (1, -1), (1, 255)]
+    gif.fill(frames)
+    assert (frames[1].samples == 255).all()
+    assert b"".join(c[: f.height, :, 0].tobytes() for f, c in zip(frames, gif.compose(width, height, frames))) == payload
+
+
 def test_gif_known_file_and_broken_files():
     """A published 10 x 10 sample with a two-bit palette."""
     data = bytes.fromhex("47494638396 10a000a00910000ffffffff00000000ff00000021f90400000000002c000000000a000a000002168c2d99872a1cdc33a00275ec95faa8de608c04914c01003b".replace(" ", ""))
@@ -98,7 +131,7 @@ def test_gif_known_file_and_broken_files():
 
 def test_gif_disposal_and_transparency():
     palette = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0]], np.uint8)
-    frame = lambda s, disposal, transparent=-1: gif.Frame(0, 0, 2, 1, palette, 50, disposal, transparent, False, 2, [], np.array([s], np.uint8))
+    frame = lambda s, disposal, transparent=-1: gif.Frame(0, 0, 2, 1, palette, 50, disposal, transparent, False, 2, b"", np.array([s], np.uint8))
     shown = [c.copy() for c in gif.compose(2, 1, [frame([1, 1], 1), frame([2, 0], 3, 0), frame([0, 2], 2, 0), frame([0, 0], 0, 0)])]
     assert [c[0, :, :3].tolist() for c in shown] == [[[255, 0, 0]] * 2, [[0, 255, 0], [255, 0, 0]], [[255, 0, 0], [0, 255, 0]], [[0, 0, 0]] * 2]
 

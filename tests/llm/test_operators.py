@@ -66,10 +66,13 @@ def test_gif_digests(spark):
 
 
 def test_gif_frames_have_times_and_histograms(spark):
-    docs = spark.createDataFrame([(1, "a" * 64 * 1500), (2, None)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a" * 64 * 150), (2, None)], "doc_id bigint, text string")
     rows = gif.frames(gif.store(docs)).orderBy("media_id", "frame").collect()
-    assert [(r["media_id"], r["frame"], r["start_ms"], r["height"]) for r in rows] == [(1, 0, 0, 1024), (1, 1, 100, 1024), (2, 0, 0, 1)]
-    assert sum(rows[0]["hist_r"]) == 64 * 1024 and rows[0]["hist_r"][ord("a") >> 5] == 64 * 1024
+    assert [(r["media_id"], r["frame"], r["start_ms"], r["height"], r["disposal"], r["transparent"]) for r in rows] == [(1, 0, 0, 56, 1, -1), (1, 1, 100, 56, 1, 255), (1, 2, 200, 56, 1, 255), (2, 0, 0, 1, 1, -1)]
+    for r, n in zip(rows, (56, 56, 38)):
+        colour = gif.PALETTE[ord("a")]
+        assert sum(r["hist_r"]) == 64 * n and [h[c >> 5] for h, c in zip((r["hist_r"], r["hist_g"], r["hist_b"]), colour)] == [64 * n] * 3
+        assert r["rgba"][:4] == bytes([*colour, 255])
     broken = spark.createDataFrame([(1, b"junk"), (2, None)], "media_id bigint, media binary")
     assert [r["error"] is not None for r in gif.frames(broken).collect()] == [True]
 
