@@ -3,10 +3,11 @@
 Each value found is checked (card numbers by their check digit, addresses by their octets, dates by
 the calendar), then permuted within its own format by a keyed balanced Feistel network with cycle
 walking: equal values get equal pseudonyms in every document, different values different ones, and
-the format (digit count, separators, check digit, calendar) stays. The key is a parameter.
+the format (digit count, separators, check digit, calendar) stays. The key is a parameter, or the session's
+spark.docsift.pseudonym.key.
 
     kind    found                                          kept as it is
-    email   local@domain                                   @, dots, the top-level domain
+    email   local@domain, local of 64 characters at most   @, dots, the top-level domain
     ip      four octets 0 to 255                           dots; every octet stays an octet
     card    12 to 19 digits, grouped or not, valid Luhn    separators, length, validity
     phone   +country (area) number, 7 to 15 digits         country code, punctuation
@@ -17,7 +18,8 @@ the format (digit count, separators, check digit, calendar) stays. The key is a
 A number that fails its check digit is no card and stays as it is.
 
 Edge cases: null texts stay null; empty texts stay empty; a value that fails its check is left to
-the next kind or alone; documents without a value come back unchanged; repeated rows give equal rows.
+the next kind or alone; documents without a value come back unchanged; repeated rows give equal rows; an
+empty table gives an empty one; all other columns are kept, whatever their names, but for those of the counts.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ import datetime
 import hashlib
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-KEY = b"docsift-demo-key"
+KEY_CONF = "spark.docsift.pseudonym.key"
+DEMO_KEY = b"docsift-demo-key"  # for tables without real values; set KEY_CONF or the parameter for others
 KINDS = ("email", "ip", "card", "phone", "ssn", "date", "secret")
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
@@ -42,7 +47,7 @@ _PHONE = r"(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,
 _CARD = r"(?<![\w.])(?P<card>\d(?:[ -]?\d){11,18})(?!\w)"
 _SECRET = r"(?<!\w)(?P<secret>(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{12,}))(?!\w)"
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9_][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9_])(?P<email>[A-Za-z0-9_][\w.%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     rf"|(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     rf"|{_DATE}|{_PHONE}|{_CARD}|{_SECRET}"
@@ -194,18 +199,23 @@ def replace(text: str, key: bytes, counts: list[int]) -> str:
     return "".join([*out, text[done:]])
 
 
-
-
 #: Found in every text that PATTERN finds something in.
 _MAYBE = re.compile(r"[\d@]|(?i:token|secret|passw|api_?key)|[a-f]{32}|[A-F]{32}|(?:sk|pk|gh[po]|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{12}")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    found = spark.conf.get(KEY_CONF, None)
+    if not found:
+        warnings.warn(f"{KEY_CONF} is not set: pseudonyms are drawn with the demo key", stacklevel=3)
+    return found.encode() if found else DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """docs with the text replaced and a count for each kind: n_<kind>, n_values.
 
     Columns of those names that docs may already have are replaced.
     """
-    spare = "pii_text_in"
+    key = key_of(docs.sparkSession) if key is None else key
     names = [f"n_{k}" for k in KINDS]
     schema = [f for f in docs.schema.fields if f.name not in (*names, "n_values")]
     position = [f.name for f in schema].index(text)
@@ -222,6 +232,4 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
             cols += [pa.array([c[i] for c in found], pa.int64()) for i in range(len(KINDS))] + [pa.array([sum(c) for c in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, *names, "n_values"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*schema, *[T.StructField(n, T.LongType()) for n in (*names, "n_values")]]))
