@@ -8,8 +8,9 @@ assign() runs it over any number of groups. Groups that are large in bytes or ro
 number is bounded by 2 * shards * UNITS) and are packed together on the driver. The others are dealt
 by hash to cells of about CELL_GROUPS groups; every cell packs its own into the shards' remaining
 capacities, scaled to the cell's bytes, so cells run in parallel with bounded memory. A group larger
-than a whole shard cannot stay in one: it is split into pieces by a hash of the id, and each piece is
-an item.
+than a whole shard cannot stay in one while the sizes are near equal, which the law `bytes` asks for: it
+alone is split into pieces, by a hash of the row number, and each piece is an item. All other groups stay
+whole.
 
 Edge cases: a null text has no bytes and counts as equal to an empty one; null ids form one id value;
 equal sizes are ordered by key, so the result does not depend on the partitioning; an empty table
@@ -137,11 +138,11 @@ def fill_level(sizes: list[float], total: float, shards: int) -> float:
 
 
 def _piece(pieces: Column) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(17)), pieces).cast("int")
+    return F.pmod(F.xxhash64("row", F.lit(17)), pieces).cast("int")
 
 
 def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows (doc_id, size, text_crc32, key), read several times, with the shard of each."""
+    """rows (doc_id, size, text_crc32, key, row), read several times, with the shard of each."""
     spark = rows.sparkSession
     whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     if not whole["n"]:
@@ -181,7 +182,7 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         return pd.DataFrame({"key": own["key"], "shard": [order[b] for b in into]})
 
     light = small.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")).groupBy("cell").applyInPandas(pack, "key binary, shard int")
-    columns = ["doc_id", "size", "text_crc32", "key"]
+    columns = ["doc_id", "size", "text_crc32", "key", "row"]
     out_large = (
         rows.join(F.broadcast(heads), "key")
         .withColumn("piece", F.when(F.col("pieces") > 1, _piece(F.col("pieces"))).otherwise(0))
@@ -194,18 +195,18 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 def slots(rows: DataFrame, n_rows: int, shards: int = SHARDS) -> DataFrame:
     """A gapless slot from 0 within each shard, counted in blocks so that no shard is one task."""
     blocks = max(1, math.ceil(n_rows / (shards * SLOT_ROWS)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     before = rows.groupBy("shard", "block").count()
     before = before.select("shard", "block", (F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "key"))
+    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "key", "row"))
     return rows.withColumn("rank", rank).join(before, ["shard", "block"]).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("block", "before", "rank")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"))
-    rows = _shared.stored(rows, "shard-rows")
+    rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = _shared.stored(rows, "shard-rows")  # the row numbers are settled here
     placed = _shared.stored(assign(rows, shards), "shard-placed")
     return slots(placed, rows.count(), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
