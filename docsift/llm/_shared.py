@@ -88,15 +88,6 @@ def trained(sample: DataFrame, train: Callable[[pa.Table], object]):
     return pickle.loads(told[0]) if told else train(None)  # no task runs over an empty table
 
 
-BUCKETS = 1 << 20
-
-
-def _near(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS))
-    near = ids.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("near_bucket")).distinct()
-    return docs.join(F.broadcast(near), bucket == F.col("near_bucket"), how)
-
-
 def running(rows: DataFrame, order: str, value: str, name: str, by: list[str] | None = None, block: int = 4096) -> DataFrame:
     """rows with the sum of `value` over all rows of smaller integer `order` (of the same `by`; null equals null).
 
@@ -115,18 +106,37 @@ def running(rows: DataFrame, order: str, value: str, name: str, by: list[str] |
     return rows.join(sums, on).withColumn(name, F.col("run_in") + F.col("run_before")).drop("run_block", "run_in", "run_at", "run_before", *[f"run_{c}" for c in by])
 
 
+BUCKETS = 1 << 20
+
+
+def _near(docs: DataFrame, ids: DataFrame, key: str, found: bool) -> DataFrame:
+    """The rows of docs whose key's bucket holds an id, or holds none: told by a bitmap of BUCKETS bits, 128 KB in all."""
+    names = docs.columns
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS))
+    near = ids.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("near_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("near_bits"))
+    rows = docs.withColumn("near_bucket", bucket).join(F.broadcast(near), F.bitmap_bucket_number("near_bucket") == F.col("near_part"), "left")
+    spot = F.bitmap_bit_position("near_bucket")
+    byte = F.conv(F.hex(F.substring("near_bits", F.shiftright(spot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("1") == F.floor(byte / F.pow(F.lit(2), F.pmod(spot, F.lit(8)))) % 2, F.lit(False))
+    return rows.filter(hit if found else ~hit).select(*[F.col(f"`{c}`") for c in names])
+
+
 def maybe_named(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key may be among ids (one column id): others stay out of later shuffles.
 
-    What is broadcast are hash buckets, BUCKETS rows at most whatever the corpus.
+    What is broadcast is a bitmap of fixed size whatever the corpus.
     """
-    return _near(docs, ids, key, "left_semi")
+    return _near(docs, ids, key, True)
 
 
-def unnamed(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose key is not among ids (one column id). Only rows of a shared bucket are shuffled."""
-    sure = _near(docs, ids, key, "left_anti")
-    return sure.unionByName(maybe_named(docs, ids, key).join(ids.hint("merge"), F.col(key) == F.col("id"), "left_anti"))
+def unnamed(docs: DataFrame, ids: DataFrame, key: str = "doc_id", also: str | None = None) -> DataFrame:
+    """The rows whose key (and column `also`) is not among ids (id, and `also`). Only rows of a shared bucket are shuffled."""
+    sure, rest = _near(docs, ids, key, False), _near(docs, ids, key, True)
+    on = F.col(key) == F.col("id")
+    if also:
+        ids = ids.withColumnRenamed(also, "id_also")
+        on = on & (F.col(also) == F.col("id_also"))
+    return sure.unionByName(rest.join(ids.hint("merge"), on, "left_anti"))
 
 
 def fresh(name: str, taken: list[str]) -> str:

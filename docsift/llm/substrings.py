@@ -7,20 +7,23 @@ steps find and group these suffixes:
    windows have equal anchors. Only anchors (about a fifth of all positions) are shuffled; an anchor
    that stands in one document only rules out all its windows, without loss.
 2. Suffixes. The windows around shared anchors become suffix keys: 128 bits whose leading bits hash
-   the first word, then the first two, four and all thirteen words, so that sorted keys are the leaves
-   of a suffix tree cut at the window's depth. Prefixes (the first four words) are dealt to
-   partitions, and each partition is read in key order in memory-sized groups, cut where neighbouring
-   suffixes share the shortest prefix, so the prefix of a group is as long as its crowding demands.
-3. In each group's subtree the internal nodes at full depth are the repeated windows; all their
-   leaves but those of the smallest document are marked and merged into maximal repeats.
+   the first word, then the first two, four, eight and all thirteen words, so that sorted keys are the
+   leaves of a suffix tree cut at the window's depth, its nodes read at these depths.
+3. Prefixes of variable length. One pass counts the suffixes by their first four and first eight words, in
+   buckets of fixed number. A suffix is dealt by its first four words, by eight where the shorter prefix
+   holds more than GROUP_ROWS suffixes, and by all thirteen where that does, too. A partition is read in key
+   order in groups of about GROUP_ROWS leaves, cut where neighbours share the shortest prefix.
+4. In each group's subtree the internal nodes are the runs of leaves that share a prefix. Those at full
+   depth are the repeated windows; all their leaves but those of the smallest document are marked, and
+   marks that overlap are one maximal repeat (passages() returns these spans).
 
 Equal documents are one class before all this: the windows of every copy but the first are repeats.
 Hot repeats are combined before the shuffle: within a batch, only the rows of the smallest document
 of a node (or, for anchors, one row) go to its partition; the others are decided on the spot.
 
 Edge cases: null texts have no words; documents shorter than a window lose nothing; a repeat within
-one document alone is kept; rows that repeat an id are one document for the comparison and are each
-returned; null ids are never removed from and remove nothing; an empty table gives an empty result.
+one document alone is kept; rows that repeat an id are one document for the comparison, their texts
+are searched and cut each on its own, and each row is returned; null ids are never removed from and remove nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +41,9 @@ from . import _shared, _text
 
 WINDOW, GRAM, GROUP_ROWS = 13, 6, 200_000
 #: (words, bits) of the nested prefix hashes in the first half of a key
-LEVELS = ((1, 12), (2, 12), (4, 12), (13, 28))
+LEVELS = ((1, 10), (2, 10), (4, 12), (8, 12), (13, 20))
+PREFIXES = ((4, 32), (8, 20))  # words, and the bits of a key behind them
+PREFIX_BUCKETS, TEXT_BITS = 1 << 12, (1 << 31) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -77,7 +82,7 @@ def suffix_keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, all_sha256 (of all words joined by single spaces)."""
+    """doc_id, text_key (a hash of the text), n_words, all_sha256 (of all words joined by single spaces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +91,9 @@ def base(docs: DataFrame) -> DataFrame:
                 words = t.encode().split() if t else []
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "all_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "text_key", "n_words", "all_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, all_sha256 string")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id bigint, text_key bigint, n_words bigint, all_sha256 string")
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -156,12 +161,8 @@ def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.repartition("route").sortWithinPartitions("value", "doc_id").mapInArrow(decide, "doc_id bigint, position int")
 
 
-def subtree(key: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Depth (in LEVELS) that each suffix of a sorted group shares with the one before; its node's first leaf.
-
-    Internal nodes of the subtree are the runs of equal depth; those at full depth are repeats, and
-    as leaves are sorted by document within a node, its first leaf belongs to the smallest document.
-    """
+def subtree(key: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """How many LEVELS each suffix of a sorted group shares with the one before."""
     depth = np.zeros(len(key), np.int8)
     if len(key) > 1:
         differ = key[1:] ^ key[:-1]
@@ -170,35 +171,93 @@ def subtree(key: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
             bits -= own
             depth[1:][(differ >> np.uint64(bits)) == 0] = k
         depth[1:][(depth[1:] == len(LEVELS)) & (tail[1:] != tail[:-1])] = len(LEVELS) - 1
-    leaf = np.where(depth == len(LEVELS), 0, np.arange(len(key)))
-    return depth, np.maximum.accumulate(leaf)
+    return depth
+
+
+def internal_nodes(depth: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last leaf of the subtree's internal nodes at a level: runs of two leaves and more that share it."""
+    inside = np.append(depth >= level, False)
+    inside[0] = False
+    first = np.flatnonzero(~inside[:-1] & inside[1:])
+    return first, np.flatnonzero(inside[:-1] & ~inside[1:])
+
+
+def behind_first(key: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document of each leaf's deepest node, the leaf's own if it is in none at full depth.
+
+    Leaves are sorted by document within a node, so a node's first leaf belongs to its smallest document.
+    """
+    first, last = internal_nodes(subtree(key, tail), len(LEVELS)) if len(key) else (np.zeros(0, np.int64),) * 2
+    least, size = doc.copy(), last - first + 1
+    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    least[at] = np.repeat(doc[first], size)
+    return least
+
+
+def _suffixes(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, tail, doc_id, start) of the windows around the listed spots of (doc_id, text, spots, text_key), sorted.
+
+    start holds 31 bits of the text's hash above the position, which tells texts of one id apart.
+    """
+    ids, lists, texts = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
+    for a, b, data, off in _text.slices(batch.column(1)):
+        hashes, first, starts, at, _ = anchors(data, off, window, gram)
+        own = lists.slice(a, b - a)
+        n_spots = own.value_lengths().to_numpy(zero_copy_only=False)
+        spot = own.flatten().to_numpy() + np.repeat(first[:-1], n_spots)
+        spot = spot[spot < np.repeat(first[1:], n_spots)]  # rows that repeat an id may be shorter
+        chosen = np.zeros(len(hashes) + 1, bool)
+        chosen[spot] = True
+        starts = starts[chosen[at]]
+        key, tail = suffix_keys(hashes, starts, window)
+        owner = np.searchsorted(first, starts, side="right") - 1
+        doc, start = ids[a:b][owner], starts - first[owner] + ((texts[a:b][owner] & TEXT_BITS) << 32)
+        order = np.lexsort((doc, tail, key))
+        yield key[order], tail[order], doc[order], start[order]
+
+
+def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return (_text.mix(key >> np.uint64(bits)) & np.uint64(PREFIX_BUCKETS - 1)).astype(np.int64)
+
+
+def crowded_prefixes(rows: DataFrame, window: int, gram: int, group_rows: int) -> list[np.ndarray]:
+    """For each of PREFIXES which buckets hold more than group_rows suffixes: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(PREFIXES), PREFIX_BUCKETS), np.int64)
+        for batch in batches:
+            for key, tail, doc, _ in _suffixes(batch, window, gram):
+                key = key[doc <= behind_first(key, tail, doc)]
+                for k, (_, bits) in enumerate(PREFIXES):
+                    total[k] += np.bincount(_bucket(key, bits), minlength=PREFIX_BUCKETS)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.ravel()[own])], ["bucket", "n"])
+
+    told = rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > group_rows).collect()
+    out = np.zeros((len(PREFIXES), PREFIX_BUCKETS), bool)
+    for r in told:  # PREFIX_BUCKETS for each prefix length at most
+        out[divmod(r["bucket"], PREFIX_BUCKETS)] = True
+    return list(out)
 
 
 def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_rows: int) -> DataFrame:
-    """(doc_id, start) of the windows that also start in a smaller document."""
+    """(doc_id, start) of the windows that also start in a smaller document; start as in _suffixes."""
+    spots = spots.groupBy(F.col("doc_id").alias("spot_doc")).agg(F.collect_set("position").alias("spots"))
+    docs = _shared.maybe_named(docs, spots.select(F.col("spot_doc").alias("id")))
+    rows = _shared.stored(docs.join(spots, F.col("doc_id") == F.col("spot_doc")).select("doc_id", "text", "spots", "text_key"), "substring-rows")
+    crowded = crowded_prefixes(rows, window, gram, group_rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
-            for a, b, data, off in _text.slices(batch.column(1)):
-                hashes, first, starts, at, _ = anchors(data, off, window, gram)
-                own = lists.slice(a, b - a)
-                n_spots = own.value_lengths().to_numpy(zero_copy_only=False)
-                spot = own.flatten().to_numpy() + np.repeat(first[:-1], n_spots)
-                spot = spot[spot < np.repeat(first[1:], n_spots)]  # rows that repeat an id may be shorter
-                chosen = np.zeros(len(hashes) + 1, bool)
-                chosen[spot] = True
-                starts = starts[chosen[at]]
-                key, tail = suffix_keys(hashes, starts, window)
-                owner = np.searchsorted(first, starts, side="right") - 1
-                doc, start = ids[a:b][owner], starts - first[owner]
-                order = np.lexsort((doc, tail, key))
-                key, tail, doc, start = key[order], tail[order], doc[order], start[order]
-                _, leaf = subtree(key, tail, doc)
-                known = doc > doc[leaf] if len(doc) else np.zeros(0, bool)
+            for key, tail, doc, start in _suffixes(batch, window, gram):
                 # leaves behind the slice's smallest document are repeats already; they go anywhere
-                cell = np.where(known, _text.mix(tail + np.arange(len(tail), dtype=np.uint64)), _text.mix(key >> np.uint64(28))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key.astype(np.int64)), pa.array(tail.astype(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(known)], ["cell", "key", "tail", "doc_id", "start", "known"])
+                known = doc > behind_first(key, tail, doc)
+                cell, longer = _text.mix(key >> np.uint64(PREFIXES[0][1])), np.ones(len(key), bool)
+                for (_, bits), full, deeper in zip(PREFIXES, crowded, [*[b for _, b in PREFIXES[1:]], None]):
+                    longer &= full[_bucket(key, bits)]
+                    cell = np.where(longer, _text.mix(tail) if deeper is None else _text.mix(key >> np.uint64(deeper)), cell)
+                cell = np.where(known, _text.mix(tail + np.arange(len(tail), dtype=np.uint64)), cell).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key.astype(np.int64)), pa.array(tail.astype(np.int64)), pa.array(doc), pa.array(start), pa.array(known)], ["cell", "key", "tail", "doc_id", "start", "known"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -207,13 +266,12 @@ def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_row
             nonlocal last
             key, tail, doc, start = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
             key, tail = key.astype(np.uint64), tail.astype(np.uint64)
-            _, leaf = subtree(key, tail, doc)
-            least = doc[leaf]
+            least = behind_first(key, tail, doc)
             if last and len(key) and last[:2] == (key[0], tail[0]):  # a node that an earlier group began
-                least = np.where(leaf == 0, last[2], least)
+                least[(key == key[0]) & (tail == tail[0])] = last[2]
             out = doc > least
             last = (key[-1], tail[-1], least[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out].astype(np.int32))], ["doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out])], ["doc_id", "start"])
 
         for batch in batches:
             known = batch.column(5)
@@ -223,8 +281,7 @@ def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_row
                 held.append(batch)
             if sum(x.num_rows for x in held) >= group_rows:
                 table = pa.Table.from_batches(held)
-                key = table.column(1).to_numpy().astype(np.uint64)
-                depth, _ = subtree(key, table.column(2).to_numpy().astype(np.uint64), table.column(3).to_numpy())
+                depth = subtree(table.column(1).to_numpy().astype(np.uint64), table.column(2).to_numpy().astype(np.uint64))
                 half = len(depth) // 2
                 cut = half + int(np.argmin(depth[half:]))  # where neighbours share the shortest prefix
                 yield from solve(table.slice(0, cut))
@@ -232,25 +289,42 @@ def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_row
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    spots = spots.groupBy(F.col("doc_id").alias("spot_doc")).agg(F.collect_set("position").alias("spots"))
-    docs = _shared.maybe_named(docs, spots.select(F.col("spot_doc").alias("id")))
-    rows = docs.join(spots, F.col("doc_id") == F.col("spot_doc")).select("doc_id", "text", "spots").mapInArrow(emit, "cell bigint, key bigint, tail bigint, doc_id bigint, start int, known boolean")
-    return rows.repartition("cell").sortWithinPartitions("key", "tail", "doc_id").mapInArrow(trees, "doc_id bigint, start int")
+    suffixes = rows.mapInArrow(emit, "cell bigint, key bigint, tail bigint, doc_id bigint, start bigint, known boolean")
+    return suffixes.repartition("cell").sortWithinPartitions("key", "tail", "doc_id").mapInArrow(trees, "doc_id bigint, start bigint")
 
 
-def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text: the kept words joined by one space)."""
-    docs = docs.select("doc_id", "text")
+def searched(docs: DataFrame, window: int, gram: int, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text, text_key), their facts, the copies (copy_doc, copy_text) and the marks (mark_doc, mark_text, starts)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     facts = _shared.stored(base(docs), "substring-base")
     heads = facts.filter("doc_id is not null").groupBy("all_sha256").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"))
-    heads = _shared.stored(heads, "substring-heads")
-    copies = facts.join(heads.filter("head < last"), "all_sha256").filter("doc_id > head").select(F.col("doc_id").alias("copy_doc"), F.col("all_sha256").alias("copy_sha")).distinct()
+    copies = facts.join(heads.filter("head < last"), "all_sha256").filter("doc_id > head").select(F.col("doc_id").alias("copy_doc"), F.col("text_key").alias("copy_text")).distinct()
     copies = _shared.stored(copies, "substring-copies")
-    first = _shared.unnamed(docs.filter("doc_id is not null"), copies.select(F.col("copy_doc").alias("id")).distinct())
+    first = _shared.unnamed(docs.filter("doc_id is not null"), copies.select(F.col("copy_doc").alias("id"), F.col("copy_text").alias("text_key")), also="text_key")
     spots = _shared.stored(shared_anchors(first, window, gram), "substring-spots")
     found = _shared.stored(repeats(first, spots, window, gram, group_rows).distinct(), "substring-repeats")
-    # maximal repeats: overlapping windows merge when the words they cover are removed
-    marks = found.groupBy(F.col("doc_id").alias("mark_doc")).agg(F.collect_list("start").alias("starts"))
+    marks = found.groupBy(F.col("doc_id").alias("mark_doc"), F.shiftright("start", 32).alias("mark_text")).agg(F.collect_list(F.col("start").bitwiseAND(F.lit((1 << 32) - 1))).alias("starts"))
+    return docs, facts, copies, marks
+
+
+def passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, start, n_words): the maximal runs of words that repeat passages of smaller documents; copies as a whole."""
+    docs, facts, copies, marks = searched(docs, window, gram, group_rows)
+    starts = F.array_sort("starts")
+    runs = F.aggregate(
+        starts, F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)"),
+        lambda told, x: F.when((F.size(told) > 0) & (F.element_at(told, -1).getField("b") >= x), F.concat(F.slice(told, 1, F.greatest(F.size(told) - 1, F.lit(0))), F.array(F.struct(F.element_at(told, -1).getField("a").alias("a"), (x + window).alias("b")))))
+        .otherwise(F.concat(told, F.array(F.struct(x.alias("a"), (x + window).alias("b"))))),
+    )
+    spans = marks.select(F.col("mark_doc").alias("doc_id"), F.explode(runs).alias("run")).select("doc_id", F.col("run.a").alias("start"), (F.col("run.b") - F.col("run.a")).alias("n_words"))
+    whole = facts.filter(F.col("n_words") >= window).join(copies, (F.col("doc_id") == F.col("copy_doc")) & (F.col("text_key") == F.col("copy_text")), "left_semi")
+    return spans.unionByName(whole.select("doc_id", F.lit(0).cast("bigint").alias("start"), "n_words"))
+
+
+def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text: the kept words joined by one space)."""
+    docs, facts, copies, marks = searched(docs, window, gram, group_rows)
+    marks = _shared.stored(marks, "substring-marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,14 +337,18 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_rows:
                 n.append(len(words)), gone.append(int(drop.sum())), sha.append(hashlib.sha256(kept).hexdigest()), kept_text.append(kept.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    touched = _shared.maybe_named(docs, found.select(F.col("doc_id").alias("id")).distinct()).join(marks, F.col("doc_id") == F.col("mark_doc")).select("doc_id", "text", "starts").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    rest = facts.join(found.select(F.col("doc_id").alias("mark_doc")).distinct(), F.col("doc_id") == F.col("mark_doc"), "left_anti").join(
-        copies, (F.col("doc_id") == F.col("copy_doc")) & (F.col("all_sha256") == F.col("copy_sha")), "left"
+    def own(key: str):
+        return (F.col("doc_id") == F.col("mark_doc")) & (F.col(key).bitwiseAND(F.lit(TEXT_BITS)) == F.col("mark_text"))
+
+    near = _shared.maybe_named(docs, marks.select(F.col("mark_doc").alias("id")))
+    touched = near.join(marks, own("text_key")).select("doc_id", "text", "starts").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    rest = facts.join(marks.select("mark_doc", "mark_text"), own("text_key"), "left_anti").join(
+        copies, (F.col("doc_id") == F.col("copy_doc")) & (F.col("text_key") == F.col("copy_text")), "left"
     )
     whole = F.col("copy_doc").isNotNull() & (F.col("n_words") >= window)
-    rest = rest.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.col("all_sha256")).alias("kept_sha256"))
+    rest = rest.select("doc_id", "text_key", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.col("all_sha256")).alias("kept_sha256"))
     if with_text:
-        plain = docs.select(F.col("doc_id").alias("text_doc"), F.array_join(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""), " ").alias("plain")).dropDuplicates(["text_doc"])
-        rest = rest.join(plain, F.col("doc_id") == F.col("text_doc"), "left").select("doc_id", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, "").otherwise(F.coalesce("plain", F.lit(""))).alias("kept_text"))
-        return touched.unionByName(rest)
-    return touched.drop("kept_text").unionByName(rest)
+        plain = docs.select(F.col("doc_id").alias("text_doc"), F.col("text_key").alias("plain_key"), F.array_join(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""), " ").alias("plain")).dropDuplicates(["text_doc", "plain_key"])
+        rest = rest.join(plain, F.col("doc_id").eqNullSafe(F.col("text_doc")) & (F.col("text_key") == F.col("plain_key")), "left")
+        return touched.unionByName(rest.select("doc_id", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, "").otherwise(F.coalesce("plain", F.lit(""))).alias("kept_text")))
+    return touched.drop("kept_text").unionByName(rest.drop("text_key"))
