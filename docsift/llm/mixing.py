@@ -1,18 +1,21 @@
 """Soft-membership mixing to target weights, in DataFrame and SQL functions only.
 
-1. A classifier fitted on the label table (naive Bayes over hashed words, a bounded sample of labelled
-   documents) gives every document a posterior over the domains poor, toxic and good. Posteriors are
-   part of the model in steps of 1 / STEPS, so documents share a bounded number of distinct ones.
+1. A classifier fitted on the label table (a bounded sample of labelled documents) gives every document a
+   posterior over the domains poor, toxic and good. Log likelihood ratios of hashed words, fitted on most of
+   the sample, give a document's evidence for each domain: their sum over the root of the length, and the
+   strongest word. A softmax regression on the rest of the sample, which the ratios never saw, calibrates
+   this evidence. Posteriors are part of the model in steps of 1 / STEPS, so documents share a bounded
+   number of distinct ones.
 2. Nonnegative rates minimise the squared distance between expected domain token totals and their
    targets. With tokens as weights a document's gradient step depends on its posterior alone, so
    projected gradient runs over the table of distinct posteriors (at most (STEPS + 1) * (STEPS + 2) / 2
    rows, whatever the corpus) and only the three totals of an iteration reach the driver.
 3. Each document gets its posterior's rate; copies = floor(rate + u) with u from a hash of the id.
 
-Edge cases: null and empty texts have no tokens and get the prior as posterior; null labels are left
+Edge cases: null and empty texts have no tokens and get the domains' shares in the sample as posterior; null labels are left
 out; without labels every document is good; a domain without mass cannot reach its target, the others
 still do; repeated rows are separate documents with the same rate; an empty table gives an empty
-result. Other columns are ignored (mix() keeps them).
+result. Other columns are ignored; mix() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,46 +49,79 @@ def bucket(word: Column) -> Column:
     return F.pmod(F.hash(word), F.lit(BUCKETS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, list[float]]:
-    """Log likelihood ratios against `good` by bucket; the domains' log priors."""
+def evidence(rows: DataFrame, weights: DataFrame, *keep: str) -> DataFrame:
+    """keep, n (words), m (how many equal rows), and for poor and toxic s0, s1 (sum over root of n), t0, t1 (strongest, 0 at least).
+
+    rows hold text beside the columns to keep. Words meet the weights by a broadcast of BUCKETS rows and
+    are summed before anything is shuffled, so a document costs one narrow row. Equal rows share a group
+    and are counted apart afterwards.
+    """
+    rows = rows.select(*keep, words().alias("words"))
+    rows = rows.select(*keep, F.when(F.element_at("words", 1) == "", 0).otherwise(F.size("words")).alias("n"), F.explode("words").alias("word"))
+    rows = rows.select(*keep, "n", bucket(F.col("word")).alias("w_bucket")).join(F.broadcast(weights), "w_bucket", "left")
+    rows = rows.select(*keep, "n", *[F.when(F.col("n") > 0, F.coalesce(f"r{k}", F.lit(0.0))).otherwise(0.0).alias(f"r{k}") for k in (0, 1)])
+    sums = rows.groupBy(*keep, "n").agg(F.count(F.lit(1)).alias("words"), *[f(f"r{k}").alias(f"{name}{k}") for k in (0, 1) for name, f in (("s", F.sum), ("t", F.max))])
+    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
+    m = F.round(F.col("words") / n).cast("int")
+    return sums.select(*keep, F.col("n").cast("bigint").alias("n"), m.alias("m"), *[(F.col(f"s{k}") / m / F.sqrt(n)).alias(f"s{k}") for k in (0, 1)], *[F.greatest(F.col(f"t{k}"), F.lit(0.0)).alias(f"t{k}") for k in (0, 1)])
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Coefficients (2, features) of the log odds of poor and toxic against good: Newton's method, drawn to start."""
+    w = start.copy()
+    hits = np.stack([y == 0, y == 1]).astype(float)
+    for _ in range(50):
+        z = np.clip(w @ x.T, -30, 30)
+        p = np.exp(z) / (1 + np.exp(z).sum(0))
+        slope = (p - hits) @ x + penalty * (w - start)
+        d = x.shape[1]
+        bend = penalty * np.eye(2 * d)
+        for i in range(2):
+            for j in range(2):
+                bend[i * d : (i + 1) * d, j * d : (j + 1) * d] += (x.T * (p[i] * ((i == j) - p[j]))) @ x
+        move = np.linalg.solve(bend, slope.ravel()).reshape(2, d)
+        w -= move * min(1.0, 2.0 / max(1e-9, float(np.abs(move).max())))
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """Log likelihood ratios against `good` by bucket; the calibration's coefficients; the domains' log odds in the sample."""
     picked = _shared.labelled_sample(docs.select("doc_id", "text"), labels.withColumn("domain", domain()).select("doc_id", "domain"), ["domain"], max_rows)
-    sizes = {r["label_domain"]: r["count"] for r in picked.groupBy("label_domain").count().collect()}
-    total = sum(sizes.values())
-    prior = [float(np.log((sizes.get(k, 0) + 1e-6) / (total + 3e-6))) if total else (0.0 if k == 2 else -20.0) for k in range(3)]
+    picked = _shared.stored(picked.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0), "mix-sample")
+    sizes = {k: {r["label_domain"]: r["count"] for r in picked.filter(x).groupBy("label_domain").count().collect()} for k, x in (("all", F.lit(True)), ("fit", ~F.col("held")))}
+    total = sum(sizes["all"].values())
+    prior = [float(np.log((sizes["all"].get(k, 0) + 0.5) / (sizes["all"].get(2, 0) + 0.5))) if total else -20.0 for k in range(2)]
     # presence of a word's bucket in a document, not its count, so that one long document decides little
-    seen = picked.select("label_domain", F.explode(F.array_distinct(F.transform(words(), bucket))).alias("bucket"))
+    seen = picked.filter("not held").select("label_domain", F.explode(F.array_distinct(F.transform(words(), bucket))).alias("bucket"))
     counts = seen.groupBy("bucket").agg(*[F.count(F.when(F.col("label_domain") == k, 1)).alias(f"c{k}") for k in range(3)])
-    # each word's own share of a domain, drawn to the prior by SHRINK documents
-    base = [max(sizes.get(k, 0), 1) / max(total, 1) for k in range(3)]
+    # each word's own share of a domain, drawn to the sample's by SHRINK documents
+    base = [max(sizes["fit"].get(k, 0), 1) / max(sum(sizes["fit"].values()), 1) for k in range(3)]
     n = F.col("c0") + F.col("c1") + F.col("c2")
     share = [(F.col(f"c{k}") + SHRINK * base[k]) / (n + SHRINK) for k in range(3)]
     ratios = [(F.log(share[k] / share[2]) - float(np.log(base[k] / base[2]))).alias(f"r{k}") for k in (0, 1)]
     # at most BUCKETS rows
-    return _shared.stored(counts.select(F.col("bucket").alias("w_bucket"), *ratios), "mix-weights"), prior
-
-
-def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]]) -> DataFrame:
-    """doc_id, mix_hash (of the text), n_tokens and p_poor, p_toxic, p_good in steps of 1 / STEPS; a row for each of docs.
-
-    Words meet the weights by a broadcast of BUCKETS rows and are summed before anything is shuffled,
-    so a document costs one narrow row. Equal rows share a group and are counted apart afterwards.
-    """
-    weights, prior = model
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("mix_hash"), words().alias("mix_words"))
-    rows = rows.select("doc_id", "mix_hash", F.when(F.element_at("mix_words", 1) == "", 0).otherwise(F.size("mix_words")).alias("n"), F.explode("mix_words").alias("word"))
-    rows = rows.select("doc_id", "mix_hash", "n", bucket(F.col("word")).cast("bigint").alias("w_bucket"))
-    rows = rows.join(F.broadcast(weights.withColumn("w_bucket", F.col("w_bucket").cast("bigint"))), "w_bucket", "left")
-    rows = rows.select("doc_id", "mix_hash", "n", *[F.when(F.col("n") > 0, F.coalesce(f"r{k}", F.lit(0.0))).otherwise(0.0).alias(f"r{k}") for k in (0, 1)])
-    sums = rows.groupBy("doc_id", "mix_hash", "n").agg(F.count(F.lit(1)).alias("words"), *[f(f"r{k}").alias(f"{name}{k}") for k in (0, 1) for name, f in (("s", F.sum), ("t", F.max))])
-    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
-    sums = sums.withColumn("m", F.round(F.col("words") / n).cast("int"))  # how many equal rows there are
-    # the strongest single piece of evidence where it is beyond chance; for `poor`, which shows in all
-    # words alike, also the mean evidence, growing with the square root of the length
-    strong = [4.0 * F.greatest(F.col(f"t{k}") - 2.0, F.lit(0.0)) + (prior[k] - prior[2]) for k in (0, 1)]
-    z = [F.col("s0") / F.col("m") / F.sqrt(n) + strong[0], strong[1] - 1.5]
-    e = [F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x))) for x in z]
-    sums = sums.select("doc_id", "mix_hash", "m", F.col("n").cast("bigint").alias("n_tokens"), e[0].alias("a"), e[1].alias("b"))
+    weights = _shared.stored(counts.select(F.col("bucket").alias("w_bucket"), *ratios), "mix-weights")
+    # a quarter of at most max_rows narrow rows
+    held = evidence(picked.filter("held").select("doc_id", "label_domain", "text"), weights, "doc_id", "label_domain").collect()
+    start = np.array([[prior[0], 1.0, 0.0, 0.0, 0.0], [prior[1], 0.0, 1.0, 0.0, 0.0]])
+    if held and total:
+        x = np.array([[1.0, r["s0"], r["s1"], r["t0"], r["t1"]] for r in sorted(held, key=lambda r: r["doc_id"])])
+        start = calibrate(x, np.array([r["label_domain"] for r in sorted(held, key=lambda r: r["doc_id"])]), start)
+    _shared.forget(picked)
+    return weights, start, prior
+
+
+def posteriors(docs: DataFrame, model: tuple[DataFrame, np.ndarray, list[float]]) -> DataFrame:
+    """doc_id, mix_hash (of the text), n_tokens and p_poor, p_toxic, p_good in steps of 1 / STEPS; a row for each of docs."""
+    weights, coefficients, prior = model
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mix_hash"), "text")
+    sums = evidence(rows, weights, "doc_id", "mix_hash")
+    x = [F.lit(1.0), F.col("s0"), F.col("s1"), F.col("t0"), F.col("t1")]
+    z = [F.when(F.col("n") == 0, F.lit(prior[k])).otherwise(sum((float(c) * v for c, v in zip(coefficients[k], x)), F.lit(0.0))) for k in (0, 1)]
+    e = [F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), v))) for v in z]
+    sums = sums.select("doc_id", "mix_hash", "m", F.col("n").alias("n_tokens"), e[0].alias("a"), e[1].alias("b"))
     whole = 1.0 + F.col("a") + F.col("b")
     sums = sums.withColumn("p_poor", F.floor(F.col("a") / whole * STEPS + 0.5) / STEPS)
     sums = sums.withColumn("p_toxic", F.least(F.floor(F.col("b") / whole * STEPS + 0.5) / STEPS, 1.0 - F.col("p_poor")))
@@ -166,9 +202,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     scored = _shared.stored(posteriors(docs, fit(docs, labels, max_rows)), "mix-posteriors")
     cells = _shared.stored(scored.groupBy(*[f"p_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     by_cell = rates(cells, targets, max_rate)[0].drop("tokens")
-    taken = scored.join(F.broadcast(by_cell), [f"p_{d}" for d in DOMAINS]).withColumn("mix_copies", copies()).filter("mix_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("mix_hash").alias("mix_text"), "mix_copies").distinct()
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mix_text")))
+    taken = scored.join(F.broadcast(by_cell), [f"p_{d}" for d in DOMAINS]).withColumn("copies", copies()).filter("copies > 0")
+    key, text, times = (_shared.fresh(name, docs.columns) for name in ("mix_id", "mix_text", "mix_copies"))
+    taken = taken.select(F.col("doc_id").alias(key), F.col("mix_hash").alias(text), F.col("copies").alias(times)).distinct()
+    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text)))
     if max_rate > 1:
-        out = out.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return out.select(*[out[c] for c in docs.columns])
+        out = out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
