@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -181,23 +184,13 @@ def test_capacity_tree_and_best_fit():
     assert len(left) == 2 and sorted(left) == [0, 0] and into == [0, 1, 0, 1, 1]
 
 
-def test_token_ids_equal_the_other_library():
+def test_token_ids_are_those_of_single_texts():
     from tokenizers import Tokenizer
 
-    other = Tokenizer.from_file(packing.vocabulary_path())
-    texts = [t for t in TEXTS if t] + ["It's  fine\n\n  now 123,45 — ça va? 中文 \U0001f600\t x", "The Thinhe of thedble's"]
-    mine = packing.encoder(packing.vocabulary_path())
-    assert [mine.encode_ordinary(t) for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
-
-
-def test_token_ids_of_added_tokens_equal_the_other_library():
-    from tokenizers import Tokenizer
-
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext", "a <| b |> c"]
-    want = [e.ids for e in Tokenizer.from_file(packing.vocabulary_path()).encode_batch(texts, add_special_tokens=False)]
-    assert 50256 in want[0]
-    mine = packing.encoder(packing.vocabulary_path())
-    assert [mine.encode(t, allowed_special="all") for t in texts] == want
+    tool = Tokenizer.from_file(packing.vocabulary_path())
+    texts = [t for t in TEXTS if t] + ["It's  fine\n\n  now 123,45 — ça va? 中文 \U0001f600\t x", "The Thinhe of thedble's", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext", "a <| b |> c"]
+    mine = packing.encode(texts, packing.vocabulary_path())
+    assert [x.tolist() for x in mine] == [tool.encode(t, add_special_tokens=False).ids for t in texts] and mine[0].dtype == np.dtype("<u4")
 
 
 def test_quanta_carry_deficits_and_empty_all_queues():
@@ -229,8 +222,123 @@ def test_minima_and_subtree():
     for width in (1, 2, 3, 8):
         assert substrings._minima(v, width).tolist() == [i + int(np.argmin(v[i : i + width])) for i in range(len(v) - width + 1)]
     key, tail, doc = np.array([1, 1, 1, 2], np.uint64), np.array([5, 5, 6, 6], np.uint64), np.array([3, 9, 1, 1])
-    depth, leaf = substrings.subtree(key, tail, doc)
-    assert depth.tolist()[1] == len(substrings.LEVELS) and leaf.tolist() == [0, 0, 2, 3]
+    assert substrings.subtree(key, tail).tolist()[1] == len(substrings.LEVELS)
+    assert substrings.behind_first(key, tail, doc).tolist() == [3, 3, 1, 1]
+    first, last = substrings.internal_nodes(np.array([0, 3, 2, 0, 1, 3, 3]), 2)
+    assert first.tolist() == [0, 4] and last.tolist() == [2, 6]
+
+
+def test_binomial_bound_of_any_size():
+    assert rules.log_cdf(1_900_000, 200_000_000, 0.01) == pytest.approx(-2571, rel=0.01)  # about -z * z / 2 - log(z sqrt(2 pi)), z = 71
+    assert rules.log_cdf(25_000_000, 2_400_000_000, 0.01) > -1e-6
+    for n in (10, 500, 3000):
+        k = rules.most_rejected(n, 0.02, math.log(1e-4))
+        assert (k < 0 or rules.log_cdf(k, n, 0.02) <= math.log(1e-4)) and rules.log_cdf(k + 1, n, 0.02) > math.log(1e-4)
+
+
+def test_joint_setting_against_all_settings():
+    r = np.random.default_rng(2)
+    shape = (3, 3, 2)
+    cells = np.array(list(itertools.product(*map(range, shape))))
+    for seed in range(5):
+        good = r.poisson(np.where(cells.sum(1) == 0, 4000, 1.5))
+        poor = r.poisson(3, len(cells))
+        at = rules.choose(cells, good, poor, shape, 0.01, math.log(1e-3))
+        n, best = int(good.sum()), None
+        for setting in itertools.product(*map(range, shape)):
+            over = (cells > np.array(setting)).any(1)
+            lost, caught = int(good[over].sum()), int(poor[over].sum())
+            if setting == tuple(x - 1 for x in shape) or rules.log_cdf(lost, n, 0.01) <= math.log(1e-3):
+                best = min(best or (math.inf,), (-caught, lost, -sum(setting), setting))
+        assert (best[0], best[1]) == (-int(poor[(cells > np.array(at)).any(1)].sum()), int(good[(cells > np.array(at)).any(1)].sum()))
+
+
+def test_joint_verdict_keeps_its_promise():
+    """Settings chosen on random holdouts lose more than alpha of good documents in at most delta of the trials."""
+    r = np.random.default_rng(3)
+    shape, broken = (7, 7, 7, 7), 0
+    for _ in range(60):
+        cells = np.minimum(r.geometric(0.985, (3000, 4)) - 1, 6)
+        at = rules.choose(cells, np.ones(3000, np.int64), np.zeros(3000, np.int64), shape, 0.01, math.log(0.05 / 7**4))
+        new = np.minimum(r.geometric(0.985, (100_000, 4)) - 1, 6)
+        broken += (new > np.array(at)).any(1).mean() > 0.01
+    assert broken <= 3
+
+
+WORDS_AROUND = ["see", "(", ")", ",", ".", ":", ";", "x1", "№", "é", "\n", "\t", "3", "no. 7", "v1.2"]
+
+
+def test_planted_values_are_found_whole_and_nothing_else():
+    r = random.Random(12)
+
+    def card():
+        body = "".join(r.choices("0123456789", k=15))
+        return body + next(c for c in "0123456789" if pii.luhn(body + c))
+
+    def grouped():
+        c = card()
+        return "-".join(c[i : i + 4] for i in range(0, 16, 4))
+
+    kinds = {
+        "email": lambda: f"{r.choice('abz')}{r.randrange(99)}.q_{r.randrange(9)}@site{r.randrange(50)}.example.org", "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "card": lambda: r.choice([card, grouped])(),
+        "ssn": lambda: f"{r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", "date": lambda: f"{r.randrange(1950, 2050)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", "phone": lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}",
+        "secret": lambda: "ghp_" + "".join(r.choices("abcdefXYZ", k=16)),
+    }
+    for _ in range(400):
+        parts, want = [], []
+        for _ in range(r.randrange(1, 6)):
+            parts += [*r.choices(WORDS_AROUND, k=r.randrange(1, 4)), "|"]
+            kind = r.choice(list(kinds))
+            want.append((kind, kinds[kind]()))
+            parts += [want[-1][1], "|"]
+        text, counts = " ".join(parts), [0] * len(pii.KINDS)
+        new = pii.replace(text, b"k", counts)
+        told = new
+        for kind, value in want:  # each planted value became its pseudonym, in order, and the rest is as before
+            assert value in text
+            told = told.replace(pii.pseudonym(kind, value, b"k")[1], value, 1)
+        assert told == text and sum(counts) == len(want), (text, new)
+
+
+def test_search_time_grows_with_the_text_alone():
+    for text in ("a" * 400_000 + "1", "a1" * 200_000, "a.b" * 100_000 + "@", "1 " * 200_000, "a@" * 150_000, "1." * 200_000, "+1 22 " * 60_000, "token=" * 60_000):
+        began = time.process_time()
+        pii.replace(text, b"k", [0] * len(pii.KINDS))
+        assert time.process_time() - began < 15, text[:10]
+
+
+def test_prefilter_misses_nothing():
+    r = random.Random(8)
+    pieces = ["ghp_abcdefghijklmnop", "sk-", "abcdefghijkl", "xoxb-", "@", "a.b", ".com", "Token", " = ", "'", '"', "hunter22", "abcdef" * 6, "٣", "1", "Passwd:", "API_KEY=", " "]
+    for _ in range(3000):
+        text = "".join(r.choices(pieces, k=r.randrange(1, 7)))
+        if pii.replace(text, b"k", [0] * len(pii.KINDS)) != text:
+            assert pii._MAYBE.search(text), text
+
+
+def test_scores_equal_a_plain_network():
+    """The vectorised network and the ordinal model, against loops over words."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["vile", "fine", "word", "other", "things", "Foulest"], k=r.randrange(1, 9))) for _ in range(200)]
+    net = toxicity.train(texts, np.array(["vile" in t for t in texts]), ["en"] * 200)
+    for _, _, data, off in _text.slices(pa.array(texts[:20])):
+        ids, first = toxicity.word_ids(data, off)
+        got = net.margins(ids, first)
+        for d in range(20):
+            x = [sum(net.emb[i] for i in row) for row in ids[first[d] : first[d + 1]]]
+            pooled = []
+            for k, w in enumerate(toxicity.WIDTHS):
+                for f in range(toxicity.FILTERS):
+                    responses = [sum(float(x[i + j] @ net.conv[k][j][:, f]) for j in range(w) if i + j < len(x)) for i in range(len(x))]
+                    pooled.append(max(0.0, max(responses) + net.conv_b[k * toxicity.FILTERS + f]))
+            assert got[d] == pytest.approx(float(np.dot(pooled, net.out)) + net.bias, abs=1e-3)
+    model = grades.train(texts, np.array([2 * ("fine" in t) for t in texts]))
+    for _, _, data, off in _text.slices(pa.array(texts[:20])):
+        got = model.margins(data, off)
+        for d in range(20):
+            one = np.frombuffer(texts[d].encode(), np.uint8)
+            want = sum(grades.SCALE * np.mean([model.weights[i] for i in ids]) for ids, _ in grades.features(one, np.array([0, len(one)])) if len(ids))
+            assert got[d] == pytest.approx(want, abs=1e-4)
 
 
 def test_small_models():
