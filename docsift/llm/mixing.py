@@ -9,7 +9,8 @@
 2. Nonnegative rates minimise the squared distance between expected domain token totals and their
    targets. With tokens as weights a document's gradient step depends on its posterior alone, so
    projected gradient runs over the table of distinct posteriors (at most (STEPS + 1) * (STEPS + 2) / 2
-   rows, whatever the corpus) and only the three totals of an iteration reach the driver.
+   rows, whatever the corpus), which is one row of arrays; a job takes CHUNK steps, and then only the
+   totals reach the driver.
 3. Each document gets its posterior's rate; copies = floor(rate + u) with u from a hash of the id.
 
 Edge cases: null and empty texts have no tokens and get the domains' shares in the sample as posterior; null labels are left
@@ -30,7 +31,7 @@ from . import _shared
 
 DOMAINS = ("poor", "toxic", "good")
 TARGETS = {"poor": 0.05, "toxic": 0.01, "good": 0.94}
-BUCKETS, STEPS, ROUNDS, MAX_ROWS, MAX_RATE, SHRINK = 1 << 16, 64, 2_000, 10_000, 4.0, 20.0
+BUCKETS, STEPS, ROUNDS, CHUNK, MAX_ROWS, MAX_RATE, SHRINK = 1 << 16, 64, 20_000, 250, 10_000, 4.0, 20.0
 SPLIT = "[ \\t-\\r]+"
 
 
@@ -129,8 +130,39 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, np.ndarray, list[float]]
     return sums.withColumn("m", F.explode(F.sequence(F.lit(1), F.col("m")))).drop("m", "a", "b")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def steps(chunk: int, goal: np.ndarray, scale: np.ndarray, eta: float, max_rate: float) -> Column:
+    """The state (at: rate and extrapolated rate of each of cells; momentum; last) after that many accelerated projected gradient steps."""
+    axes = range(len(goal))
+
+    def step(state: Column, _: Column) -> Column:
+        rows = F.zip_with("cells", state["at"], lambda c, x: F.struct(*[c[f"p{k}"].alias(f"p{k}") for k in axes], c["tokens"].alias("tokens"), x["r"].alias("r"), x["a"].alias("a")))
+        none = F.struct(*[F.lit(0.0).alias(f"{x}{k}") for x in "ra" for k in axes])
+        totals = F.aggregate(rows, none, lambda t, x: F.struct(*[(t[f"{v}{k}"] + x["tokens"] * x[v] * x[f"p{k}"]).alias(f"{v}{k}") for v in "ra" for k in axes]))
+
+        def told(t: Column) -> Column:
+            value = sum(((t[f"r{k}"] - float(goal[k])) * (t[f"r{k}"] - float(goal[k])) / float(scale[k]) for k in axes), F.lit(0.0))
+            momentum = F.when(value > state["last"], 1.0).otherwise(state["momentum"])  # a worse step starts the acceleration anew
+            return F.struct(value.alias("value"), momentum.alias("m"), ((1 + F.sqrt(1 + 4 * momentum * momentum)) / 2).alias("further"), *[(float(eta / scale[k]) * (float(goal[k]) - t[f"a{k}"])).alias(f"d{k}") for k in axes])
+
+        def moved(s: Column) -> Column:
+            def cell(x: Column) -> Column:
+                new = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), x["a"] + sum((x[f"p{k}"] * s[f"d{k}"] for k in axes), F.lit(0.0))))
+                return bound(new, lambda n: F.struct(n.alias("r"), (n + (s["m"] - 1) / s["further"] * (n - x["r"])).alias("a")))
+
+            return F.struct(F.transform(rows, cell).alias("at"), s["further"].alias("momentum"), s["value"].alias("last"))
+
+        return bound(bound(totals, told), moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(chunk)), F.col("state"), step)
+
+
 def rates(cells: DataFrame, targets: dict[str, float], max_rate: float, rounds: int = ROUNDS) -> tuple[DataFrame, list[dict]]:
-    """cells (p_*, tokens) with the fitted rate, and the totals by iteration.
+    """cells (p_*, tokens) with the fitted rate, and the totals after each chunk of rounds.
 
     Accelerated projected gradient: a step from the extrapolated rates, cut to 0 .. max_rate. It ends where
     the targets are met, or where the duality gap shows that no rates come nearer; rounds is a guard, with
@@ -139,10 +171,9 @@ def rates(cells: DataFrame, targets: dict[str, float], max_rate: float, rounds:
     p = [F.col(f"p_{d}") for d in DOMAINS]
     tokens = F.col("tokens")
     grams = cells.agg(F.sum("tokens").alias("n"), *[F.sum(tokens * p[i] * p[j]).alias(f"g{i}{j}") for i in range(3) for j in range(3)]).first()
-    start = F.lit(1.0) if max_rate >= 1 else F.lit(float(max_rate))
-    state = cells.withColumn("rate", start).withColumn("ahead", start)
+    start = min(1.0, float(max_rate))
     if not grams["n"]:
-        return state.drop("ahead"), []
+        return cells.withColumn("rate", F.lit(start)), []
     gram = np.array([[grams[f"g{i}{j}"] for j in range(3)] for i in range(3)], float)
     mass = gram.sum(1)
     goal = np.array([max(targets.get(d, 0.0), 1e-9) for d in DOMAINS])
@@ -152,34 +183,30 @@ def rates(cells: DataFrame, targets: dict[str, float], max_rate: float, rounds:
     scale = np.maximum(goal, mass)  # equations are scaled, so that rare and common domains move alike
     eta = 1.0 / max(np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale))).max(), 1e-12)
     near = 1e-4 * goal.sum()
-    told, momentum, last = [], 1.0, np.inf
-    state = _shared.stored(state.coalesce(1), "mix-cells")
-    for k in range(rounds):
-        now = state.agg(*[F.sum(tokens * F.col("ahead") * x).alias(f"a_{d}") for d, x in zip(DOMAINS, p)], *[F.sum(tokens * F.col("rate") * x).alias(d) for d, x in zip(DOMAINS, p)]).first()
-        told.append({d: float(now[d]) for d in DOMAINS} | {"goal": goal.tolist()})
+    # a bounded number of distinct posteriors: one row of arrays
+    fields = [F.col(f"p_{d}").cast("double").alias(f"p{k}") for k, d in enumerate(DOMAINS)]
+    state = cells.agg(F.sort_array(F.collect_list(F.struct(*fields, tokens.cast("double").alias("tokens")))).alias("cells"))
+    first = F.transform("cells", lambda c: F.struct(F.lit(start).alias("r"), F.lit(start).alias("a")))
+    state = _shared.stored(state.withColumn("state", F.struct(first.alias("at"), F.lit(1.0).alias("momentum"), F.lit(1e300).alias("last"))), "mix-state")
+    told, done = [], 0
+    while True:
+        flat = state.select(F.explode(F.zip_with("cells", "state.at", lambda c, x: F.struct(*[c[f"p{k}"].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], c["tokens"].alias("tokens"), x["r"].alias("rate")))).alias("x")).select("x.*")
+        now = flat.agg(*[F.sum(tokens * F.col("rate") * x).alias(d) for d, x in zip(DOMAINS, p)]).first()
+        told.append({d: float(now[d]) for d in DOMAINS} | {"goal": goal.tolist(), "rounds": done})
         if max(abs(now[d] - g) for d, g in zip(DOMAINS, goal)) < near:
             break
-        off = [float((now[d] - g) / c) for d, g, c in zip(DOMAINS, goal, scale)]
-        if k % 10 == 9:
-            slope = sum((x * o for x, o in zip(p, off)), F.lit(0.0))
-            gap = state.agg(F.sum(tokens * slope * (F.col("rate") - F.when(slope > 0, 0.0).otherwise(float(max_rate))))).first()[0]
-            if gap <= near**2 / (2 * scale.max()):  # then every total is within `near` of the best one
-                break
-        value = sum(o * o * c for o, c in zip(off, scale))
-        momentum, last = (1.0 if value > last else momentum), value  # a worse step starts the acceleration anew
-        move = [float(eta * (g - now[f"a_{d}"]) / c) for d, g, c in zip(DOMAINS, goal, scale)]
-        further = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        push, momentum = (momentum - 1) / further, further
-        new = F.col("ahead")
-        for x, m in zip(p, move):
-            new = new + x * m
-        new = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), new))
-        state = state.withColumn("new", new).select(*cells.columns, F.col("new").alias("rate"), (F.col("new") + push * (F.col("new") - F.col("rate"))).alias("ahead"))
-        if k % 5 == 4:
-            state = _shared.stored(state.coalesce(1), "mix-cells")
-    else:
-        warnings.warn(f"mixing rates are not settled after {rounds} rounds", stacklevel=2)
-    return _shared.stored(state.drop("ahead"), "mix-rates"), told
+        slope = sum((x * float((now[d] - g) / c) for x, d, g, c in zip(p, DOMAINS, goal, scale)), F.lit(0.0))
+        gap = flat.agg(F.sum(tokens * slope * (F.col("rate") - F.when(slope > 0, 0.0).otherwise(float(max_rate))))).first()[0]
+        if gap <= near**2 / (2 * scale.max()):  # then every total is within `near` of the best one
+            break
+        if done >= rounds:
+            warnings.warn(f"mixing rates are not settled after {done} rounds", stacklevel=2)
+            break
+        before, chunk = state, min(CHUNK, rounds - done)
+        state = _shared.stored(state.select("cells", steps(chunk, goal, scale, eta, max_rate).alias("state")), "mix-state")
+        _shared.forget(before)
+        done += chunk
+    return _shared.stored(flat, "mix-rates"), told
 
 
 def weigh(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE, max_rows: int = MAX_ROWS) -> DataFrame:
