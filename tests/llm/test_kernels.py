@@ -189,8 +189,17 @@ def test_token_ids_are_those_of_single_texts():
 
     tool = Tokenizer.from_file(packing.vocabulary_path())
     texts = [t for t in TEXTS if t] + ["It's  fine\n\n  now 123,45 — ça va? 中文 \U0001f600\t x", "The Thinhe of thedble's", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext", "a <| b |> c"]
-    mine = packing.encode(texts, packing.vocabulary_path())
-    assert [x.tolist() for x in mine] == [tool.encode(t, add_special_tokens=False).ids for t in texts] and mine[0].dtype == np.dtype("<u4")
+    r = random.Random(21)
+    parts = ["a", "word", "It's", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u180e", "\u200b", "\u2003", "\u2028", "\u3000", "\ufeff", "é", "e\u0301", "漢字", "🙂", "12", "²", "_", "<|endoftext|>", "<|", ".", "!?", "'", "'s", "\x00", "-" * 70]
+    texts += ["".join(r.choices(parts, k=r.randrange(1, 14))) for _ in range(20_000)]
+    mine = packing.Encoder(packing.vocabulary_path())
+    got = [x.tolist() for at in range(0, len(texts), 500) for x in mine(texts[at : at + 500])]
+    assert got == [tool.encode(t, add_special_tokens=False).ids for t in texts] and mine.fast is not None
+    every = [f"a{c}b 1{c}2 {c} x{c}{c}  {c}y\n{c}" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF][::7]
+    assert [x.tolist() for x in mine(every)] == [x.ids for x in tool.encode_batch_fast(every, add_special_tokens=False)]
+    wrong = packing.Encoder(packing.vocabulary_path())
+    wrong.fast = type("Other", (), {"encode": lambda self, text, allowed_special: [0]})()
+    assert wrong(["two words"])[0].tolist() == tool.encode("two words").ids and wrong.fast is None
 
 
 def test_quanta_carry_deficits_and_empty_all_queues():
