@@ -55,6 +55,7 @@ def encoder(path: str):
     import tiktoken
     import tokenizers
 
+    tool = tokenizers.Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     model, split, added = file["model"], file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
@@ -69,8 +70,8 @@ def encoder(path: str):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in names and all(c in back for c in token)}
-        fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in added})
-    return tokenizers.Tokenizer.from_file(path), fast
+        fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={x.content: i for i, x in tool.get_added_tokens_decoder().items()})
+    return tool, fast
 
 
 class Encoder:
@@ -92,7 +93,10 @@ class Encoder:
 
 
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, row (a number of its own), n_tokens (with the end token), ids (32-bit little-endian, without it)."""
+    """doc_id, source, row (a number of its own), n_tokens (with the end token), ids (little-endian, without it).
+
+    A document's ids are held in 16 bits each where all of them fit, else in 32.
+    """
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,7 @@ def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
                     end += 1
                 own, ids = batch.slice(at, end - at), encode(texts[at:end])
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(np.arange(row, row + len(ids))), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [own.column(0), own.column(1), pa.array(np.arange(row, row + len(ids))), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([(x if x.max(initial=0) > 0xFFFF else x.astype("<u2")).tobytes() for x in ids], pa.binary())],
                     ["doc_id", "source", "row", "n_tokens", "ids"],
                 )
                 row, at = row + len(ids), end
@@ -198,7 +202,8 @@ def pack(docs: DataFrame, weights: dict | None = None, path: str | None = None,
         for q, d, at, n, position in plan_part([lengths[a:b] for a, b in zip(cuts, cuts[1:])], share, start["carried"].to_numpy(float), window, sequence):
             k = cuts[q] + d
             whole = int(lengths[k])
-            own = ids[k][4 * at : 4 * min(at + n, whole - 1)] + END_ID.to_bytes(4, "little") * (at + n == whole)
+            width = 4 if len(ids[k]) == 4 * (whole - 1) else 2
+            own = np.frombuffer(ids[k][width * at : width * min(at + n, whole - 1)], f"<u{width}").astype("<u4").tobytes() + END_ID.to_bytes(4, "little") * (at + n == whole)
             out.append((doc_ids[k], at, n, zlib.crc32(own), whole, first + position // sequence, position % sequence, names[q]))
         out = list(zip(*out)) if out else [[]] * 8
         kinds = ["Int64", "int64", "int64", "int64", "int64", "int64", "int64", object]
