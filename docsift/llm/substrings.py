@@ -9,10 +9,11 @@ steps find and group these suffixes:
 2. Suffixes. The windows around shared anchors become suffix keys: 128 bits whose leading bits hash
    the first word, then the first two, four, eight and all thirteen words, so that sorted keys are the
    leaves of a suffix tree cut at the window's depth, its nodes read at these depths.
-3. Prefixes of variable length. One pass counts the suffixes by their first four and first eight words, in
-   buckets of fixed number. A suffix is dealt by its first four words, by eight where the shorter prefix
-   holds more than GROUP_ROWS suffixes, and by all thirteen where that does, too. A partition is read in key
-   order in groups of about GROUP_ROWS leaves, cut where neighbours share the shortest prefix.
+3. Prefixes of variable length. Shared anchors are counted in buckets of fixed number. A suffix is dealt by
+   its first four words, by eight where the bucket of its anchor holds more than GROUP_ROWS anchors, and by
+   all thirteen where it holds eight times as many; equal windows have equal anchors, so they meet. A
+   partition is read in key order in groups of about GROUP_ROWS leaves, cut where neighbours share the
+   shortest prefix.
 4. In each group's subtree the internal nodes are the runs of leaves that share a prefix. Those at full
    depth are the repeated windows; all their leaves but those of the smallest document are marked, and
    marks that overlap are one maximal repeat (passages() returns these spans).
@@ -42,8 +43,8 @@ from . import _shared, _text
 WINDOW, GRAM, GROUP_ROWS = 13, 6, 200_000
 #: (words, bits) of the nested prefix hashes in the first half of a key
 LEVELS = ((1, 10), (2, 10), (4, 12), (8, 12), (13, 20))
-PREFIXES = ((4, 32), (8, 20))  # words, and the bits of a key behind them
-PREFIX_BUCKETS, TEXT_BITS = 1 << 12, (1 << 31) - 1
+PREFIX_BITS = (32, 20)  # bits of a key behind the first four and the first eight words
+ANCHOR_BUCKETS, TEXT_BITS = 1 << 12, (1 << 31) - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -97,7 +98,7 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, position) of the anchors that stand in two documents or more."""
+    """(doc_id, position, value) of the anchors that stand in two documents or more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,11 +155,11 @@ def shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     waiting, origin = [], do[lo[end]]
                 value, first_doc, shared = vo[-1], origin, bool(many[end])
                 if not shared:
-                    waiting.append(pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], ["doc_id", "position"]).take(pa.array(at[group == end])))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], ["doc_id", "position"]).filter(pa.array(decided))
+                    waiting.append(pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1)], ["doc_id", "position", "value"]).take(pa.array(at[group == end])))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1)], ["doc_id", "position", "value"]).filter(pa.array(decided))
 
     rows = docs.select("doc_id", "text").mapInArrow(emit, "route bigint, value bigint, doc_id bigint, position int, known boolean, tells boolean")
-    return rows.repartition("route").sortWithinPartitions("value", "doc_id").mapInArrow(decide, "doc_id bigint, position int")
+    return rows.repartition("route").sortWithinPartitions("value", "doc_id").mapInArrow(decide, "doc_id bigint, position int, value bigint")
 
 
 def subtree(key: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -194,69 +195,44 @@ def behind_first(key: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> np.ndarr
     return least
 
 
-def _suffixes(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, tail, doc_id, start) of the windows around the listed spots of (doc_id, text, spots, text_key), sorted.
-
-    start holds 31 bits of the text's hash above the position, which tells texts of one id apart.
-    """
-    ids, lists, texts = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
-    for a, b, data, off in _text.slices(batch.column(1)):
-        hashes, first, starts, at, _ = anchors(data, off, window, gram)
-        own = lists.slice(a, b - a)
-        n_spots = own.value_lengths().to_numpy(zero_copy_only=False)
-        spot = own.flatten().to_numpy() + np.repeat(first[:-1], n_spots)
-        spot = spot[spot < np.repeat(first[1:], n_spots)]  # rows that repeat an id may be shorter
-        chosen = np.zeros(len(hashes) + 1, bool)
-        chosen[spot] = True
-        starts = starts[chosen[at]]
-        key, tail = suffix_keys(hashes, starts, window)
-        owner = np.searchsorted(first, starts, side="right") - 1
-        doc, start = ids[a:b][owner], starts - first[owner] + ((texts[a:b][owner] & TEXT_BITS) << 32)
-        order = np.lexsort((doc, tail, key))
-        yield key[order], tail[order], doc[order], start[order]
-
-
-def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
-    return (_text.mix(key >> np.uint64(bits)) & np.uint64(PREFIX_BUCKETS - 1)).astype(np.int64)
-
-
-def crowded_prefixes(rows: DataFrame, window: int, gram: int, group_rows: int) -> list[np.ndarray]:
-    """For each of PREFIXES which buckets hold more than group_rows suffixes: a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(PREFIXES), PREFIX_BUCKETS), np.int64)
-        for batch in batches:
-            for key, tail, doc, _ in _suffixes(batch, window, gram):
-                key = key[doc <= behind_first(key, tail, doc)]
-                for k, (_, bits) in enumerate(PREFIXES):
-                    total[k] += np.bincount(_bucket(key, bits), minlength=PREFIX_BUCKETS)
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.ravel()[own])], ["bucket", "n"])
-
-    told = rows.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > group_rows).collect()
-    out = np.zeros((len(PREFIXES), PREFIX_BUCKETS), bool)
-    for r in told:  # PREFIX_BUCKETS for each prefix length at most
-        out[divmod(r["bucket"], PREFIX_BUCKETS)] = True
-    return list(out)
+def crowded_anchors(spots: DataFrame, group_rows: int) -> np.ndarray:
+    """How much longer than four words the prefix of each bucket of anchors is: 0, 1 (eight words) or 2 (all)."""
+    bucket = F.col("value").bitwiseAND(F.lit(ANCHOR_BUCKETS - 1))
+    out = np.zeros(ANCHOR_BUCKETS, np.int8)
+    for r in spots.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") > group_rows).collect():  # ANCHOR_BUCKETS rows at most
+        out[r["bucket"]] = 1 + (r["n"] > 8 * group_rows)
+    return out
 
 
 def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_rows: int) -> DataFrame:
-    """(doc_id, start) of the windows that also start in a smaller document; start as in _suffixes."""
-    spots = spots.groupBy(F.col("doc_id").alias("spot_doc")).agg(F.collect_set("position").alias("spots"))
-    docs = _shared.maybe_named(docs, spots.select(F.col("spot_doc").alias("id")))
-    rows = _shared.stored(docs.join(spots, F.col("doc_id") == F.col("spot_doc")).select("doc_id", "text", "spots", "text_key"), "substring-rows")
-    crowded = crowded_prefixes(rows, window, gram, group_rows)
+    """(doc_id, start) of the windows that also start in a smaller document.
+
+    start holds 31 bits of the text's hash above the position, which tells texts of one id apart.
+    """
+    longer = crowded_anchors(spots, group_rows)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, tail, doc, start in _suffixes(batch, window, gram):
+            ids, lists, texts = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
+            for a, b, data, off in _text.slices(batch.column(1)):
+                hashes, first, starts, at, value = anchors(data, off, window, gram)
+                own = lists.slice(a, b - a)
+                n_spots = own.value_lengths().to_numpy(zero_copy_only=False)
+                spot = own.flatten().to_numpy() + np.repeat(first[:-1], n_spots)
+                spot = spot[spot < np.repeat(first[1:], n_spots)]  # rows that repeat an id may be shorter
+                chosen = np.zeros(len(hashes) + 1, bool)
+                chosen[spot] = True
+                kept = chosen[at]
+                starts, value = starts[kept], value[kept]
+                key, tail = suffix_keys(hashes, starts, window)
+                owner = np.searchsorted(first, starts, side="right") - 1
+                doc, start = ids[a:b][owner], starts - first[owner] + ((texts[a:b][owner] & TEXT_BITS) << 32)
+                order = np.lexsort((doc, tail, key))
+                key, tail, doc, start = key[order], tail[order], doc[order], start[order]
+                more = longer[(value[order] & np.uint64(ANCHOR_BUCKETS - 1)).astype(np.int64)]
                 # leaves behind the slice's smallest document are repeats already; they go anywhere
                 known = doc > behind_first(key, tail, doc)
-                cell, longer = _text.mix(key >> np.uint64(PREFIXES[0][1])), np.ones(len(key), bool)
-                for (_, bits), full, deeper in zip(PREFIXES, crowded, [*[b for _, b in PREFIXES[1:]], None]):
-                    longer &= full[_bucket(key, bits)]
-                    cell = np.where(longer, _text.mix(tail) if deeper is None else _text.mix(key >> np.uint64(deeper)), cell)
-                cell = np.where(known, _text.mix(tail + np.arange(len(tail), dtype=np.uint64)), cell).astype(np.int64)
+                cell = np.select([known, more == 0, more == 1], [_text.mix(tail + np.arange(len(tail), dtype=np.uint64)), *[_text.mix(key >> np.uint64(bits)) for bits in PREFIX_BITS]], _text.mix(key ^ tail)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key.astype(np.int64)), pa.array(tail.astype(np.int64)), pa.array(doc), pa.array(start), pa.array(known)], ["cell", "key", "tail", "doc_id", "start", "known"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +265,9 @@ def repeats(docs: DataFrame, spots: DataFrame, window: int, gram: int, group_row
         if held:
             yield from solve(pa.Table.from_batches(held))
 
+    spots = spots.groupBy(F.col("doc_id").alias("spot_doc")).agg(F.collect_set("position").alias("spots"))
+    docs = _shared.maybe_named(docs, spots.select(F.col("spot_doc").alias("id")))
+    rows = docs.join(spots, F.col("doc_id") == F.col("spot_doc")).select("doc_id", "text", "spots", "text_key")
     suffixes = rows.mapInArrow(emit, "cell bigint, key bigint, tail bigint, doc_id bigint, start bigint, known boolean")
     return suffixes.repartition("cell").sortWithinPartitions("key", "tail", "doc_id").mapInArrow(trees, "doc_id bigint, start bigint")
 

@@ -355,6 +355,23 @@ def test_packing_keeps_the_ids_of_tokenizers(spark):
     assert tool.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
+def test_packing_with_another_file(spark, tmp_path):
+    """A file with one more added token, whose id the library chooses."""
+    import json
+    import tokenizers
+
+    with open(packing.vocabulary_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    file["added_tokens"].append(file["added_tokens"][0] | {"id": 70_001, "content": "<|wide|>"})
+    path = str(tmp_path / "wide.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    ids = tokenizers.Tokenizer.from_file(path).encode("a <|wide|> b", add_special_tokens=False).ids
+    assert len(ids) == 4
+    rows = packing.pack(spark.createDataFrame([(1, "a <|wide|> b", "s"), (2, "a b", "s")], "doc_id bigint, text string, source string"), path=path).collect()
+    assert [r["ids_crc32"] for r in rows if r["doc_id"] == 1] == [zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*ids, 0]))]
+
+
 def test_packing_deals_rows_without_id_apart(spark):
     docs = spark.createDataFrame([(None, "same words here", "s")] * 3000, "doc_id bigint, text string, source string").repartition(4)
     rows = packing.pack(docs, window=2048, part_tokens=1000).collect()
