@@ -36,14 +36,33 @@ def casefold_nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def evidence_normal(c: Column | str, general: bool = False) -> Column:
-    """Folded and without white space, so layout cannot hide a match."""
-    return F.regexp_replace(casefold_nfkc(col(c)) if general else casefold(c), rf"(?U){WHITE}+", "")
+#: A character that the compatibility form or full case folding may change, beyond what casefold() does.
+SPECIAL = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0410-\u044f\u3001\u3002\u3400-\u4dbf\u4e00-\u9fff‐‒–—−“”‘’]"
 
 
-def tokens(c: Column | str, general: bool = False) -> Column:
+def folded(c: Column | str) -> Column:
+    """Compatibility normal form, case folded. Only texts with a special character go to Python."""
+    c = col(c)
+    return F.coalesce(casefold_nfkc(F.when(c.rlike(SPECIAL), c)), casefold(c))
+
+
+def evidence_normal(c: Column | str, general: bool = True) -> Column:
+    """Folded and without white space, so layout cannot hide a match. general=False: for texts in normal form, as inside lambdas."""
+    return F.regexp_replace(folded(c) if general else casefold(c), rf"(?U){WHITE}+", "")
+
+
+def evidence_normals(texts: Column | str) -> Column:
+    """evidence_normal() of each of an array of texts, in one pass."""
+    texts = col(texts)
+    return F.when(F.size(texts) > 0, F.split(evidence_normal(F.array_join(texts, "\x01", "")), "\x01")).otherwise(F.when(texts.isNotNull(), F.array().cast("array<string>")))
+
+
+def tokens(c: Column | str) -> Column:
     """Identifiers kept whole; runs of CJK characters give single characters and adjacent pairs."""
-    folded = casefold_nfkc(col(c)) if general else casefold(c)
+    return token_list(folded(c))
+
+
+def token_list(folded: Column) -> Column:
     found = F.regexp_extract_all(F.translate(folded, DASHES, "-" * len(DASHES)), F.lit(TOKEN), F.lit(0))
 
     def spread(t: Column) -> Column:
@@ -56,12 +75,11 @@ def tokens(c: Column | str, general: bool = False) -> Column:
 
 
 def readable(c: Column | str) -> Column:
-    """Inline payloads and control characters dropped, line ends and blanks normalised."""
-    out = F.regexp_replace(col(c), r"data:[A-Za-z0-9.+/-]+;base64,[A-Za-z0-9+/=]+", "")
+    """Inline payloads become a blank and characters that do not print are dropped; line ends and blanks are normalised."""
+    out = F.regexp_replace(col(c), r"(?i)data:image/[^\s<>\"']+|base64,[A-Za-z0-9+/=_-]+", " ")
+    out = F.regexp_replace(out, r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^\n\r\t ]]", "")
     out = F.regexp_replace(out, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    return strip(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(out, r"[\t ]+", " "), r" *\n *", "\n"))
 
 
 def char_tokens(c: Column | str) -> Column:

@@ -10,8 +10,8 @@ MAX_STEPS, MAX_SEARCH, MAX_LOOKUP = 12, 4, 6
 #: Statuses of older traces and the ones used here.
 LEGACY = {"supported": "evidence_found", "no_candidates": "no_evidence_found", "insufficient_evidence": "insufficient_scope"}
 DIMENSIONS = ("object_or_field", "value", "unit", "condition_or_applicability")
-#: Prices for a million tokens: cached input, other input, output.
-PRICES = (0.2, 2.0, 3.0)
+#: Prices for a million tokens: cached input, other input, output (fixed values).
+PRICES = (0.04, 2.0, 8.0)
 
 
 def canonical_status(status: Column) -> Column:
@@ -44,6 +44,10 @@ def validate_actions(rows: DataFrame, raw: str = "raw") -> DataFrame:
         lambda o: _bounded(o["scope"], 64) & F.when(o["status"] == "evidence_found", ids(o).isNotNull() & F.size(ids(o)).between(1, 3) & (F.size(F.array_distinct(ids(o))) == F.size(ids(o))) & F.forall(ids(o), lambda e: _bounded(e, 100)))
         .when(o["status"].isin("insufficient_scope", "no_evidence_found"), ids(o).isNull()).otherwise(False),
     )
+    # an outcome names its scope and status, and ids where evidence is found: nothing else
+    fields = F.transform(F.try_variant_get("_v", "$.outcomes", "array<map<string,variant>>"), lambda o: F.array_sort(F.map_keys(o)))
+    told = F.forall(F.arrays_zip(outcomes.alias("o"), fields.alias("f")), lambda x: F.when(x["o"]["status"] == "evidence_found", x["f"] == F.array(*[F.lit(n) for n in ("evidence_ids", "scope", "status")])).otherwise(x["f"] == F.array(F.lit("scope"), F.lit("status"))))
+    good = good & told
     names = F.transform(outcomes, lambda o: o["scope"])
     violation = (
         F.when(F.col("_v").isNull(), "invalid_json").when(~F.coalesce(right, F.lit(False)), "unexpected_fields")
@@ -124,11 +128,13 @@ def consistent_v2() -> Column:
 
 
 def decimal_equal(a: Column, b: Column) -> Column:
-    """Plain signed decimals of equal value and equal sign, a zero's sign included; other text is never equal."""
-    plain = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"
-    both = a.rlike(plain) & b.rlike(plain)
-    negative = lambda x: F.startswith(x, F.lit("-"))
-    return F.coalesce(both & (F.try_to_number(F.lit("0"), F.lit("9")).isNotNull()) & (a.try_cast("decimal(38,12)") == b.try_cast("decimal(38,12)")) & (negative(a) == negative(b)), F.lit(False))
+    """Plain signed decimals of equal value and equal sign, a zero's sign included; other text is never equal.
+
+    Compared as texts without the trailing zeros of the fraction, so any number of digits counts.
+    """
+    plain = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?$"
+    shortest = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0*$", "")).otherwise(x)
+    return F.coalesce(a.rlike(plain) & b.rlike(plain) & (shortest(a) == shortest(b)), F.lit(False))
 
 
 def cost(prompt: Column, cached: Column, completion: Column, prices: tuple = PRICES) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from docsift.functions import text as T
 
-TEXT_TYPES = ("text", "title", "list", "paragraph", "header", "footer", "page_number", "ref_text")
+#: Types whose content is running text (fixed values).
+TEXT_TYPES = ("text", "paragraph_title", "doc_title", "list", "header", "footer", "page_number", "ref_text", "aside_text")
 VISUAL_TYPES = ("table", "chart", "image")
 BODY_TYPES = ("table_body", "chart_body", "image_body")
 MIDDLE_SCHEMA = "pages array<struct<page_idx int, blocks array<struct<type string, index int, bbox array<double>, sub_type string, continues_prev boolean, content string>>>>"

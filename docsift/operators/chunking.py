@@ -42,7 +42,10 @@ def chunk(docs: DataFrame, doc: str = "doc_id", keys: list[str] | None = None, t
     found = found.withColumn("text", strip(F.substring(F.col("section"), F.col("at") + 1, F.lit(max_chars)))).filter("text != ''")
     number = F.row_number().over(Window.partitionBy(doc).orderBy("section_no", "at")) - 1
     found = found.withColumn("chunk_id", number)
-    return found.select(*keys, "chunk_id", (F.col(doc) * PER_DOCUMENT + F.col("chunk_id")).cast("bigint").alias("position"), "text")
+    # numbers in reading order where both parts fit; beyond that, as for hashed ids, a hash of both
+    fits = (F.abs(F.col(doc).cast("decimal(20,0)")) < 9_000_000_000_000) & (F.col("chunk_id") < PER_DOCUMENT)
+    position = F.when(fits, F.when(fits, F.col(doc)).otherwise(0) * PER_DOCUMENT + F.col("chunk_id")).otherwise(F.xxhash64(doc, "chunk_id"))
+    return found.select(*keys, "chunk_id", position.cast("bigint").alias("position"), "text")
 
 
 def ordinals(chunks: DataFrame, order: list[str], name: str = "ordinal", parts: int | None = None) -> DataFrame:

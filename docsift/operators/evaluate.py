@@ -46,8 +46,8 @@ def cases(results: DataFrame, qa: DataFrame, arms: list[str], top_k: int = TOP_K
     Results of a question are few (a candidate pool), so they are gathered once by question and arm;
     questions without any result stay.
     """
-    item = F.struct("rank", "source", "page", "text")
-    pools = results.groupBy("arm", "qid").agg(F.array_sort(F.collect_list(item)).alias("pool"))
+    item = F.struct("rank", "source", "page", "text", "normal")
+    pools = results.withColumn("normal", T.evidence_normal("text")).groupBy("arm", "qid").agg(F.array_sort(F.collect_list(item)).alias("pool"))
     all_arms = qa.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     rows = all_arms.join(pools, ["arm", "qid"], "left").withColumn("pool", F.coalesce("pool", F.array().cast(pools.schema["pool"].dataType)))
 
@@ -61,10 +61,10 @@ def cases(results: DataFrame, qa: DataFrame, arms: list[str], top_k: int = TOP_K
     page = lambda rs: F.exists(rs, lambda r: (r["page"] == F.col("expected_page")) & (F.col("expected_source").isNull() | (r["source"] == F.col("expected_source"))))
     has_source, has_page, has_words = F.col("expected_source").isNotNull(), F.col("expected_page").isNotNull(), F.size("keywords") > 0
     whole = T.casefold(F.array_join(own_texts, "\n"))
-    normal = F.transform(own_texts, lambda t: T.evidence_normal(t))
-    kw = F.transform("keywords", lambda k: T.evidence_normal(k))
+    normal = F.transform(F.filter(top, scoped), lambda r: r["normal"])
+    kw = T.evidence_normals("keywords")
     scoped_pool = F.filter("pool", scoped)
-    ranks = F.transform(kw, lambda k: F.array_min(F.transform(F.filter(scoped_pool, lambda r: F.contains(T.evidence_normal(r["text"]), k)), lambda r: r["rank"])))
+    ranks = F.transform(kw, lambda k: F.array_min(F.transform(F.filter(scoped_pool, lambda r: F.contains(r["normal"], k)), lambda r: r["rank"])))
     return rows.select(
         "arm", "qid", "category", "review_required", "expected_source", "expected_page", "keywords", "question",
         F.when(has_source, F.coalesce(source(first), F.lit(False))).alias("top1_source_hit"), F.when(has_source, F.coalesce(source(top), F.lit(False))).alias("top3_source_hit"),
@@ -101,17 +101,17 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
 def evidence_in(texts: DataFrame, qa: DataFrame, name: str) -> DataFrame:
     """qid, <name>_in_scope, <name>_evidence: whether texts (source, page, text) of a question's scope exist and hold its keywords.
 
-    Questions are the small, stated side. Each text reports the keywords it holds, so a partial
-    aggregate of two bit sets is all that is shuffled.
+    Questions with a source meet the texts of that source by an equi-join; only those without one meet all
+    texts. Each text reports the numbers of the keywords it holds, which are made distinct before the shuffle.
     """
-    q = qa.select("qid", "expected_source", "expected_page", F.transform("keywords", lambda k: T.evidence_normal(k)).alias("kw"))
+    q = qa.select("qid", "expected_source", "expected_page", T.evidence_normals("keywords").alias("kw"))
     t = texts.select("source", "page", T.evidence_normal("text").alias("normal"))
-    hit = t.join(F.broadcast(q), in_scope(F.col("source"), F.col("page")))
-    mask = F.aggregate(F.transform("kw", lambda k, i: F.when(F.contains(F.col("normal"), k), F.pow(F.lit(2), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
-    found = hit.select("qid", mask.alias("mask")).groupBy("qid").agg(F.bit_or("mask").alias("mask"))
-    every = F.pow(F.lit(2), F.size("kw")).cast("bigint") - 1
+    page = F.col("expected_page").isNull() | (F.col("expected_page") == F.col("page"))
+    hit = t.join(q, (F.col("source") == F.col("expected_source")) & page).unionByName(t.join(q.filter("expected_source is null"), page))
+    held = F.filter(F.transform("kw", lambda k, i: F.when(F.contains(F.col("normal"), k), i)), lambda i: i.isNotNull())
+    found = hit.select("qid", F.explode_outer(held).alias("i")).distinct().groupBy("qid").agg(F.count("i").alias("n_held"))
     out = q.join(found, "qid", "left")
-    return out.select("qid", F.col("mask").isNotNull().alias(f"{name}_in_scope"), F.coalesce(F.col("mask") == every, F.lit(False)).alias(f"{name}_evidence"))
+    return out.select("qid", F.col("n_held").isNotNull().alias(f"{name}_in_scope"), F.coalesce(F.col("n_held") == F.size("kw"), F.lit(False)).alias(f"{name}_evidence"))
 
 
 def diagnose(rows: DataFrame, documents: DataFrame, chunks: DataFrame, qa: DataFrame, top_k: int = TOP_K) -> DataFrame:

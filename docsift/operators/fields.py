@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as T
 
-#: Pairs of characters that recognition confuses (fixed values).
-CONFUSABLE = ("O0", "I1", "l1", "S5", "B8", "Z2")
-FULL_WIDTH, PLAIN = "，；：（）／－", ",;:()/-"
-DIAMETER = r"^\s*[ΦφØ⌀]?\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|m)\s*$"
+# Fixed values.
+#: Pairs of characters that recognition confuses.
+CONFUSABLE = ("O0", "I1", "l1", "B8", "S5")
+#: Full-width punctuation and what it is read as.
+PUNCTUATION = {"（": "(", "）": ")", "［": "[", "］": "]", "｛": "{", "｝": "}", "，": ",", "、": ",", "；": ";", "：": ":"}
+LIST_SEPARATORS = "[；、;,，]"
+#: A diameter: its sign, a number, a unit.
+DIAMETER = r"(?i)^\s*\$?\s*(?:¢|φ|Φ|Ø|\\phi)\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|m)\s*\$?\s*$"
 
 
 def normal(value: Column, field_type: Column) -> Column:
     """Full-width delimiters folded; list separators unified and lone slashes dropped where the type says so; no white space."""
-    out = F.translate(F.coalesce(value, F.lit("")), FULL_WIDTH, PLAIN)
-    out = F.when(field_type == "port_config", F.regexp_replace(out, r"[,;、]+", ";")).otherwise(out)
+    out = F.translate(F.coalesce(value, F.lit("")), "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
+    out = F.when(field_type == "port_config", F.regexp_replace(out, LIST_SEPARATORS, ";")).otherwise(out)
     out = F.when(field_type.isin("model", "port_config"), F.regexp_replace(out, r"(?U)\s+/\s+", " ")).otherwise(out)
     return F.regexp_replace(out, r"(?U)\s+", "")
 

@@ -93,12 +93,20 @@ def agt_legacy_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "customer").select("c_custkey", A.canonical_status(old).alias("status"))
 
 
-RAW = """CASE c_custkey % 10 WHEN 0 THEN '{"action":"SEARCH","query":"q","scopes":["S1"]}' WHEN 1 THEN '{"action":"SEARCH","query":"q","scopes":[]}' WHEN 2 THEN '{"action":"LOOKUP","evidence_id":"ev_' || c_custkey || '"}' WHEN 3 THEN '{"action":"LOOKUP"}'
+RAW = """CASE c_custkey % 12 WHEN 0 THEN '{"action":"SEARCH","query":"q","scopes":["S1"]}' WHEN 1 THEN '{"action":"SEARCH","query":"q","scopes":[]}' WHEN 2 THEN '{"action":"LOOKUP","evidence_id":"ev_' || c_custkey || '"}' WHEN 3 THEN '{"action":"LOOKUP"}'
 WHEN 4 THEN '{"action":"CLARIFY","question":" "}' WHEN 5 THEN '{"action":"FINISH","outcomes":[{"scope":"a","status":"evidence_found","evidence_ids":["e"]},{"scope":"b","status":"no_evidence_found"}]}' WHEN 6 THEN '{"action":"FINISH","outcomes":[{"scope":"a","status":"no_evidence_found"},{"scope":"a","status":"no_evidence_found"}]}'
-WHEN 7 THEN '{"action":"FINISH","outcomes":[{"scope":"a","status":"evidence_found","evidence_ids":["e","e"]}]}' WHEN 8 THEN '{"action":' ELSE '{"action":"FINISH","outcomes":[{"scope":"a","status":"maybe"}]}' END"""
-
-
-@query("""SELECT c_custkey, ['', 'invalid_search', '', 'unexpected_fields', 'invalid_clarify', '', 'duplicate_scope', 'invalid_outcomes', 'invalid_json', 'invalid_outcomes'][c_custkey % 10 + 1] AS violation FROM customer""")
+WHEN 7 THEN '{"action":"FINISH","outcomes":[{"scope":"a","status":"evidence_found","evidence_ids":["e","e"]}]}' WHEN 8 THEN '{"action":' WHEN 9 THEN '{"action":"FINISH","outcomes":[{"scope":"a","status":"maybe"}]}'
+WHEN 10 THEN '{"action":"FINISH","outcomes":[{"scope":"a","status":"no_evidence_found","note":"x"}]}' ELSE '{"action":"FINISH","outcomes":[{"scope":"a","status":"evidence_found","evidence_ids":["e1","e2","e3","e4"]}]}' END"""
+
+
+@query(f"""WITH r AS (SELECT c_custkey, CASE WHEN json_valid(raw) THEN raw::JSON END AS v FROM (SELECT c_custkey, {RAW} AS raw FROM customer)),
+f AS (SELECT *, v ->> '$.action' AS action, list_sort(json_keys(v)) AS k, (v -> '$.scopes')::VARCHAR[] AS scopes, (v -> '$.outcomes')::JSON[] AS outcomes FROM r),
+o AS (SELECT c_custkey, bool_and(coalesce(length(trim(x ->> '$.scope')) BETWEEN 1 AND 64 AND CASE x ->> '$.status' WHEN 'evidence_found' THEN list_sort(json_keys(x)) = ['evidence_ids', 'scope', 'status'] AND len(ids) BETWEEN 1 AND 3 AND len(list_distinct(ids)) = len(ids)
+ WHEN 'insufficient_scope' THEN list_sort(json_keys(x)) = ['scope', 'status'] WHEN 'no_evidence_found' THEN list_sort(json_keys(x)) = ['scope', 'status'] ELSE false END, false)) AS good, count(DISTINCT x ->> '$.scope') < count(*) AS twice, count(*) AS n
+ FROM (SELECT c_custkey, x, (x -> '$.evidence_ids')::VARCHAR[] AS ids FROM (SELECT c_custkey, unnest(outcomes) AS x FROM f)) GROUP BY c_custkey)
+SELECT c_custkey, CASE WHEN v IS NULL THEN 'invalid_json' WHEN NOT coalesce(k = CASE action WHEN 'SEARCH' THEN ['action', 'query', 'scopes'] WHEN 'LOOKUP' THEN ['action', 'evidence_id'] WHEN 'CLARIFY' THEN ['action', 'question'] WHEN 'FINISH' THEN ['action', 'outcomes'] END, false) THEN 'unexpected_fields'
+ WHEN action = 'SEARCH' AND NOT (length(trim(v ->> '$.query')) BETWEEN 1 AND 4000 AND len(scopes) = 1) THEN 'invalid_search' WHEN action = 'LOOKUP' AND length(trim(v ->> '$.evidence_id')) NOT BETWEEN 1 AND 100 THEN 'invalid_lookup' WHEN action = 'CLARIFY' AND length(trim(v ->> '$.question')) NOT BETWEEN 1 AND 500 THEN 'invalid_clarify'
+ WHEN action = 'FINISH' AND NOT coalesce(good AND n <= 4, false) THEN 'invalid_outcomes' WHEN action = 'FINISH' AND twice THEN 'duplicate_scope' ELSE '' END AS violation FROM f LEFT JOIN o USING (c_custkey)""")
 def agt_action_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.validate_actions(C.table(spark, sf_dir, "customer").select("c_custkey", F.expr(RAW).alias("raw")))
     return rows.select("c_custkey", F.coalesce("violation", F.lit("")).alias("violation"))
@@ -128,15 +136,18 @@ def sem_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgements(spark).select("verdict", "basis", *A.DIMENSIONS, A.consistent_v1().alias("consistent_v1"), A.consistent_v2().alias("consistent_v2"))
 
 
-@query("""SELECT c_custkey, c_custkey % 5 IN (0, 3) AS equal FROM customer""")
+DECIMALS = """CASE c_custkey % 8 WHEN 0 THEN c_custkey || '.50' WHEN 1 THEN c_custkey || '' WHEN 2 THEN '-0' WHEN 3 THEN '-' || c_custkey WHEN 4 THEN c_custkey || ' mm' WHEN 5 THEN c_custkey || '.000000000000000001' WHEN 6 THEN '0' || c_custkey ELSE '+' || c_custkey END""", """CASE c_custkey % 8 WHEN 0 THEN c_custkey || '.5' WHEN 1 THEN c_custkey || '1' WHEN 2 THEN '0' WHEN 3 THEN '-' || c_custkey || '.0' WHEN 4 THEN c_custkey || ' mm' WHEN 5 THEN c_custkey || '.000000000000000002' WHEN 6 THEN '0' || c_custkey ELSE '+' || c_custkey END"""
+PLAIN_SQL = r"'^-?(0|[1-9][0-9]*)(\.[0-9]+)?$'"
+
+
+@query(f"""WITH v AS (SELECT c_custkey, {DECIMALS[0]} AS a, {DECIMALS[1]} AS b FROM customer)
+SELECT c_custkey, CASE WHEN regexp_matches(a, {PLAIN_SQL}) AND regexp_matches(b, {PLAIN_SQL}) THEN try_cast(a AS DECIMAL(38, 20)) = try_cast(b AS DECIMAL(38, 20)) AND starts_with(a, '-') = starts_with(b, '-') ELSE false END AS equal FROM v""")
 def mth_decimal_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal values in two notations, other values, signed zeros, and texts that are no plain decimals."""
-    a = F.expr("CASE c_custkey % 5 WHEN 0 THEN c_custkey || '.50' WHEN 1 THEN c_custkey || '' WHEN 2 THEN '-0' WHEN 3 THEN '-' || c_custkey ELSE c_custkey || ' mm' END")
-    b = F.expr("CASE c_custkey % 5 WHEN 0 THEN c_custkey || '.5' WHEN 1 THEN c_custkey || '1' WHEN 2 THEN '0' WHEN 3 THEN '-' || c_custkey || '.0' ELSE c_custkey || ' mm' END")
-    return C.table(spark, sf_dir, "customer").select("c_custkey", A.decimal_equal(a, b).alias("equal"))
+    """Equal values in two notations, other values in the first and the last digits, signed zeros, and texts that are no plain decimals."""
+    return C.table(spark, sf_dir, "customer").select("c_custkey", A.decimal_equal(*[F.expr(x) for x in DECIMALS]).alias("equal"))
 
 
-@query(f"""WITH {EVENTS_SQL} SELECT event_type, round(sum(CASE WHEN tokens >= 0 THEN (CASE WHEN event_id % 3 = 0 THEN (tokens // 2) * 0.2 + (tokens - tokens // 2) * 2.0 ELSE tokens * 2.0 END + 10 * 3.0) / 1000000 END), 6) AS cost FROM e GROUP BY event_type""")
+@query(f"""WITH {EVENTS_SQL} SELECT event_type, round(sum(CASE WHEN tokens >= 0 THEN (CASE WHEN event_id % 3 = 0 THEN (tokens // 2) * 0.04 + (tokens - tokens // 2) * 2.0 ELSE tokens * 2.0 END + 10 * 8.0) / 1000000 END), 6) AS cost FROM e GROUP BY event_type""")
 def use_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached = F.when(F.col("event_id") % 3 == 0, F.floor(F.col("tokens") / 2))
     return events(spark, sf_dir).groupBy("event_type").agg(F.round(F.sum(A.cost(F.col("tokens"), cached, F.lit(10))), 6).alias("cost"))

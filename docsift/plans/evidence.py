@@ -69,11 +69,20 @@ def evd_parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("position", "status", "context_type", "pair_tokens", F.md5("expanded").alias("digest"))
 
 
-@query()
+# points before blanks become chr(1), as the regular expressions of DuckDB do not look ahead
+REFERENCE_SQL = rf"""{PLACE_SQL}, w AS (SELECT *, pos + length(child) AS fin, regexp_replace(parent, '\.([\s\x0b\x1c-\x1f])', chr(1) || '\1', 'g') AS marked FROM pl),
+m AS (SELECT position, unnest(string_split_regex(marked, '[。！？!?；;][\s\x0b\x1c-\x1f]*|\n+|\x01')) AS piece, unnest(list_append(regexp_extract_all(marked, '[。！？!?；;][\s\x0b\x1c-\x1f]*|\n+|\x01'), '')) AS mark, generate_subscripts(string_split_regex(marked, '[。！？!?；;][\s\x0b\x1c-\x1f]*|\n+|\x01'), 1) AS i FROM w WHERE uniq AND pos >= 0),
+e AS (SELECT position, mark, sum(length(piece) + length(mark)) OVER (PARTITION BY position ORDER BY i) AS stop, sum(length(piece) + length(mark)) OVER (PARTITION BY position ORDER BY i) - length(mark) AS start FROM m),
+s AS (SELECT w.position, (list(stop ORDER BY stop DESC) FILTER (WHERE mark <> '' AND stop <= pos))[2] AS before, min(stop) FILTER (WHERE mark <> '' AND start >= fin AND start < least(length(parent), fin + 200)) AS after FROM w JOIN e USING (position) GROUP BY w.position),
+x AS (SELECT w.position, child, uniq AND pos >= 0 AS ok, CASE WHEN uniq AND pos >= 0 THEN substr(parent, a + 1, coalesce(after, least(length(parent), fin + 200))::BIGINT - a) ELSE child END AS excerpt FROM (SELECT w.*, s.after, CASE WHEN s.before >= greatest(0, pos - 200) THEN s.before ELSE greatest(0, pos - 200) END::BIGINT AS a FROM w LEFT JOIN s USING (position)) w)"""
+
+
+@query(f"""WITH {REFERENCE_SQL} SELECT position, CASE WHEN length(child) > 1200 THEN 'child_over_bound' WHEN ok THEN 'text_context' ELSE 'child_only_ambiguous' END AS kind,
+CASE WHEN length(child) <= 1200 THEN sha256(excerpt) END AS excerpt_sha256, CASE WHEN length(child) <= 1200 THEN greatest(0, length(excerpt) - length(child)) END AS context_chars FROM x""")
 def evd_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence-bounded references of every chunk; no SQL form."""
+    """Sentence-bounded references of every chunk."""
     rows = V.references(V.attach_parents(children(spark, sf_dir), parents(spark, sf_dir)).filter("n_parents = 1"))
-    return rows.select("position", F.col("span.kind").alias("kind"), "excerpt_sha256", "context_chars")
+    return rows.select("position", F.col("span.kind").alias("kind"), "excerpt_sha256", F.when(F.col("span.excerpt").isNotNull(), F.col("context_chars")).alias("context_chars"))
 
 
 @query(f"""WITH {C.CHUNKS_SQL}, p AS (SELECT source, doc_id % 50 AS k, count(*) AS n FROM documents GROUP BY ALL)
@@ -88,7 +97,7 @@ def evd_parent_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- blocks: conversation turns as the blocks of a page --------------------------------------------------
 
-KIND = "CASE WHEN turn % 4 = 3 THEN 'table' WHEN turn % 3 = 1 THEN 'title' ELSE 'text' END"
+KIND = "CASE WHEN turn % 4 = 3 THEN 'table' WHEN turn % 3 = 1 THEN 'paragraph_title' ELSE 'text' END"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,13 +204,18 @@ def str_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", "wanted", T.bounded_contains(F.expr("'value ' || s_suppkey || ' mm, ' || s_suppkey || '.5 and x' || s_suppkey"), F.col("wanted").cast("string")).alias("found"))
 
 
-PARSER = "CASE p_partkey % 6 WHEN 0 THEN 'AB-' || p_partkey WHEN 1 THEN 'A0' || p_partkey WHEN 2 THEN 'Ø ' || p_size || ' mm' WHEN 3 THEN 'X' || p_partkey WHEN 4 THEN 'I' || p_size ELSE 'A' END"
-NATIVE = "CASE p_partkey % 6 WHEN 0 THEN 'AB - ' || p_partkey WHEN 1 THEN 'AO' || p_partkey WHEN 2 THEN 'φ' || p_size || 'mm' WHEN 3 THEN 'Y' || p_partkey WHEN 4 THEN '1' || p_size ELSE ' ' END"
+PARSER = "CASE p_partkey % 8 WHEN 0 THEN 'AB-' || p_partkey WHEN 1 THEN 'A0' || p_partkey WHEN 2 THEN 'Ø ' || p_size || ' mm' WHEN 3 THEN 'X' || p_partkey WHEN 4 THEN 'I' || p_size WHEN 5 THEN 'Z' || p_size WHEN 6 THEN '¢' || p_size || 'mm' ELSE 'A' END"
+NATIVE = "CASE p_partkey % 8 WHEN 0 THEN 'AB - ' || p_partkey WHEN 1 THEN 'AO' || p_partkey WHEN 2 THEN 'φ' || p_size || 'mm' WHEN 3 THEN 'Y' || p_partkey WHEN 4 THEN '1' || p_size WHEN 5 THEN '2' || p_size WHEN 6 THEN '$\\\\Phi ' || p_size || ' MM$' ELSE ' ' END"
+DIAMETER_SQL = r"'(?i)^\s*\$?\s*(?:¢|φ|Φ|Ø|\\phi)\s*([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|m)\s*\$?\s*$'"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {PARSER} AS a, {NATIVE} AS b, p_partkey % 4 < 3 AS reliable FROM part)
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'normalized_equal' WHEN 1 THEN CASE WHEN reliable THEN 'unique_native_o_zero_candidate' ELSE 'confusable_without_deterministic_resolution' END WHEN 2 THEN 'contextual_diameter_symbol_equivalence' WHEN 3 THEN 'critical_difference' WHEN 4 THEN 'confusable_without_deterministic_resolution' ELSE 'native_text_missing' END AS comparison,
-CASE p_partkey % 6 WHEN 0 THEN a WHEN 1 THEN CASE WHEN reliable THEN b END WHEN 2 THEN a END AS resolved_value FROM p""")
+@query(rf"""WITH p AS (SELECT p_partkey, {PARSER} AS a, {NATIVE.replace(chr(92) * 2, chr(92))} AS b, p_partkey % 4 < 3 AS reliable FROM part),
+n AS (SELECT *, regexp_replace(a, '\s', '', 'g') AS x, regexp_replace(b, '\s', '', 'g') AS y FROM p),
+d AS (SELECT *, list_filter(list_transform(range(1, greatest(length(x), length(y)) + 1), lambda i: substr(x, i, 1) || substr(y, i, 1)), lambda z: length(z) < 2 OR z[1] <> z[2]) AS pairs FROM n),
+c AS (SELECT *, len(pairs) > 0 AND len(list_filter(pairs, lambda z: z NOT IN ('O0', '0O', 'I1', '1I', 'l1', '1l', 'B8', '8B', 'S5', '5S'))) = 0 AS confusable, len(list_filter(pairs, lambda z: z <> '0O')) = 0 AS zero,
+ regexp_extract(a, {DIAMETER_SQL}, 1) || lower(regexp_extract(a, {DIAMETER_SQL}, 2)) AS da, regexp_extract(b, {DIAMETER_SQL}, 1) || lower(regexp_extract(b, {DIAMETER_SQL}, 2)) AS db FROM d),
+r AS (SELECT *, CASE WHEN y = '' THEN 'native_text_missing' WHEN x = y THEN 'normalized_equal' WHEN da <> '' AND da = db THEN 'contextual_diameter_symbol_equivalence' WHEN confusable AND reliable AND zero THEN 'unique_native_o_zero_candidate' WHEN confusable THEN 'confusable_without_deterministic_resolution' ELSE 'critical_difference' END AS comparison FROM c)
+SELECT p_partkey, comparison, CASE comparison WHEN 'unique_native_o_zero_candidate' THEN b WHEN 'normalized_equal' THEN a WHEN 'contextual_diameter_symbol_equivalence' THEN a END AS resolved_value FROM r""")
 def crt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "part").select("p_partkey", F.expr(PARSER).alias("a"), F.expr(NATIVE).alias("b"), (F.col("p_partkey") % 4 < 3).alias("reliable"))
     out = rows.withColumn("c", fields.check(F.col("a"), F.col("b"), F.lit("model"), F.col("reliable"), F.lit(True)))

@@ -118,7 +118,7 @@ def qlt_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "tokens", "chars", "n", F.round(t / n, 6).alias("ratio"), Q.significant(t, c, n).alias("is_significant"), Q.significant(t, c, n, "image").alias("image_significant"))
 
 
-BLOCK_TYPE = "CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'chart' WHEN 2 THEN 'image' ELSE 'text' END"
+BLOCK_TYPE = "CASE doc_id % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'chart' WHEN 2 THEN 'image' WHEN 3 THEN 'list' ELSE 'text' END"
 GATE_SQL = rf"""g AS (SELECT doc_id, source, {BLOCK_TYPE} AS block_type, length({C.TRIM.format('text')}) AS text_chars, doc_id % 7 <> 0 AS ok FROM documents),
 gate AS (SELECT *, CASE WHEN block_type = 'text' THEN 'unsupported_block_type' WHEN NOT ok THEN 'invalid_bbox' WHEN text_chars < 128 THEN 'short_structured_text' ELSE 'structured_text_not_short' END AS reason FROM g)"""
 
@@ -195,8 +195,8 @@ def lay_union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey, p_size * 60.0 AS w, p_retailprice * 2.0 AS h FROM part),
 it AS (SELECT p_partkey, w, h, 0.0::DOUBLE AS lo, 300.0::DOUBLE AS hi, 0 AS n FROM p UNION ALL
- SELECT p_partkey, w, h, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, n + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, ceil(w * ((lo + hi) / 2) / 72.0) * ceil(h * ((lo + hi) / 2) / 72.0) <= 40e6 AND ceil(w * ((lo + hi) / 2) / 72.0) <= 10000 AND ceil(h * ((lo + hi) / 2) / 72.0) <= 10000 AS ok FROM it WHERE n < 50)),
-f AS (SELECT *, ceil(w * 300 / 72.0) * ceil(h * 300 / 72.0) <= 40e6 AND ceil(w * 300 / 72.0) <= 10000 AND ceil(h * 300 / 72.0) <= 10000 AS all_ok FROM it WHERE n = 50)
+ SELECT p_partkey, w, h, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, n + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, ceil(w * ((lo + hi) / 2) / 72.0) * ceil(h * ((lo + hi) / 2) / 72.0) <= 5e7 AND ceil(w * ((lo + hi) / 2) / 72.0) <= 30000 AND ceil(h * ((lo + hi) / 2) / 72.0) <= 30000 AS ok FROM it WHERE n < 50)),
+f AS (SELECT *, ceil(w * 300 / 72.0) * ceil(h * 300 / 72.0) <= 5e7 AND ceil(w * 300 / 72.0) <= 30000 AND ceil(h * 300 / 72.0) <= 30000 AS all_ok FROM it WHERE n = 50)
 SELECT p_partkey, CASE WHEN CASE WHEN all_ok THEN 300 ELSE lo END >= 72 THEN round(CASE WHEN all_ok THEN 300 ELSE lo END, 4) END AS dpi FROM f""")
 def mth_safe_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "part").select("p_partkey", F.round(L.safe_dpi(F.col("p_size") * 60.0, F.col("p_retailprice") * 2.0), 4).alias("dpi"))

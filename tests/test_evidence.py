@@ -36,7 +36,20 @@ def test_references(spark):
     rows = spark.createDataFrame([("One. Two. Three child here. Four.", "child", "text", None), ("h\nr1\nr2", "r2", "table", [0]), ("x x", "x", "text", None)], "parent_text string, text string, block_type string, table_header_rows array<int>")
     out = [r["span"] for r in evidence.references(rows).collect()]
     assert [s["kind"] for s in out] == ["text_context", "table_rows_with_header", "child_only_ambiguous"]
-    assert "child" in out[0]["excerpt"] and out[1]["excerpt"] == "h\nr2"
+    assert out[0]["excerpt"] == " Two. Three child here." and out[1]["excerpt"] == "h\nr2"
+    assert [(r["start"], r["stop"]) for r in out[1]["ranges"]] == [(0, 2), (5, 7)]
+
+
+def test_reference_bounds(spark):
+    far, lines = "x" * 300, "\n".join(f"row {i} " + "c" * 40 for i in range(60))
+    rows = spark.createDataFrame(
+        [(far + "CHILD" + far, "CHILD", "text", None), ("一。二！ 三 child 四？\n五", "child", "text", None), (lines, lines[100:1300], "table", None), (lines, "row 5 ", "table", [0, 1]), (lines, "row 7 ", "table", None), (None, "a", "text", None), ("p", "q" * 1300, "text", None), ("absent", "", "table", None)],
+        "parent_text string, text string, block_type string, table_header_rows array<int>",
+    )
+    out = [r["span"] for r in evidence.references(rows).collect()]
+    assert [s and s["kind"] for s in out] == ["text_context", "text_context", "child_only_row_too_long", "table_rows_with_header", "table_rows", None, "child_over_bound", "child_only_ambiguous"]
+    assert out[0]["excerpt"] == "x" * 200 + "CHILD" + "x" * 200 and out[1]["excerpt"] == "二！ 三 child 四？\n" and out[6]["excerpt"] is None
+    assert out[3]["excerpt"].splitlines() == [lines.splitlines()[i] for i in (0, 1, 5)] and out[4]["excerpt"] == lines.splitlines()[7] + "\n"
 
 
 def test_null_hits_are_no_misses_and_evidence_does_not_join_chunks(spark):
@@ -103,3 +116,20 @@ def test_fields_routing_patch_and_cache(spark):
     edits = spark.createDataFrame([(1, "a", "A"), (2, "zzz", "B")], "k int, before string, after string")
     done, conflicts = inventory.patch(base, edits, ["k"], "v")
     assert sorted(map(tuple, done.collect())) == [(1, "A"), (2, "b")] and conflicts.first()["k"] == 2
+
+
+def test_compatibility_characters_keywords_and_large_ids(spark):
+    from docsift.functions import text as T
+    from docsift.operators import chunking
+
+    rows = spark.createDataFrame([("Ｐ１０１ ﬁne ﬃ",), ("Straße P‑1",), ("İ Σς ſ",), (None,), ("",)], "t string").select(T.tokens("t").alias("t")).collect()
+    assert [r["t"] for r in rows[:2]] == [["p101", "fine", "ffi"], ["strasse", "p-1"]] and rows[3]["t"] is None and rows[4]["t"] == []
+    data = "see DATA:image/png;base64,AAAA== and base64,QUJD\r\n\r\n\r\nend\u200b\x07 x \t y"
+    assert spark.createDataFrame([(data,)], "t string").select(T.readable("t")).first()[0] == "see and\n\n\nend x y"
+    words = [f"k{i:02}x" for i in range(70)]
+    qa = spark.createDataFrame([(1, None, None, words), (2, "s", None, [*words, "absent"]), (3, None, None, [])], "qid bigint, expected_source string, expected_page int, keywords array<string>")
+    texts = spark.createDataFrame([("s", 1, " ".join(words[:40])), ("s", 2, " ".join(words[40:]))], "source string, page int, text string")
+    assert {r["qid"]: (r["d_in_scope"], r["d_evidence"]) for r in evaluate.evidence_in(texts, qa, "d").collect()} == {1: (True, True), 2: (True, False), 3: (True, True)}
+    docs = spark.createDataFrame([(9 * 10**18, "one text"), (7, "two texts")], "doc_id bigint, text string")
+    at = {r["doc_id"]: r["position"] for r in chunking.chunk(docs).collect()}
+    assert at[7] == 7_000_000 and len(set(at.values())) == 2
