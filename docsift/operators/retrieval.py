@@ -207,6 +207,9 @@ def rrf(lists: dict[str, DataFrame], top_k: int = 20, k: float = RRF_K, key: str
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    # Spark 4.1 takes a union of lists that are dealt by question as dealt by question, too, though their
+    # partitions differ; later windows then see parts of a question. Its own setting turns that off.
+    next(iter(lists.values())).sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     parts = []
     for number, (name, rows) in enumerate(lists.items()):
         first = rows.groupBy("qid", key).agg(F.min(F.struct("rank", "score")).alias("first"))
@@ -221,6 +224,81 @@ def rrf(lists: dict[str, DataFrame], top_k: int = 20, k: float = RRF_K, key: str
     return fused.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= top_k).drop("found")
 
 
+HASH_DIMENSIONS = "0123456789abcdef"
+
+
+def hashed_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """A deterministic stand-in for an embedding model: counts of tokens by a hexadecimal digit of their hash."""
+    digits = F.transform(F.col("_tokens"), lambda t: F.substring(F.md5(t), 4, 1))
+    rows = rows.select(key, tokens(text).alias("_tokens")).select(key, digits.alias("_digits"))
+    counts = [F.array_size(F.array_remove(F.transform("_digits", lambda x: F.when(x == digit, x).otherwise("")), "")).cast("double") for digit in HASH_DIMENSIONS]
+    return rows.select(key, F.array(*counts).alias("embedding"))
+
+
+def encode(rows: DataFrame, model: Callable | None = None, key: str = "position", text: str = "text") -> DataFrame:
+    """key and embedding of each row: model maps the text's Column to an array, such as an iterator pandas UDF that loads its model once a worker."""
+    return hashed_embedding(rows, key, text) if model is None else rows.select(key, model(F.col(text)).alias("embedding"))
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, model: Callable | None = None, k: int = 20, vectors: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """qid, rank, position, score and the arms' ranks and scores: k dense and k BM25 candidates of each query, fused to k.
+
+    vectors and index may be given where they are stored already.
+    """
+    near = dense(vectors if vectors is not None else encode(chunks, model), encode(queries, model, "qid", "query"), k)
+    return rrf({"dense": near, "bm25": bm25(index or build(chunks), queries, k)}, k)
+
+
+def search(chunks: DataFrame, queries: DataFrame, known: list[str], retriever: str = "hybrid", score: Callable[[Column, Column], Column] | None = None, top_k: int = 3, model: Callable | None = None) -> DataFrame:
+    """qid, status and results (rank, position, score) of queries (qid, query, scopes) over chunks of their scopes only.
+
+    status: invalid_scope, error (an empty query or one over 4,000 characters), no_evidence or ok. Queries are
+    grouped by their resolved scopes, of which a corpus has few; each group has the statistics of its own scopes.
+    """
+    from docsift.functions.text import strip
+    from docsift.operators.scoring import resolve_scopes
+
+    if retriever not in ("dense", "hybrid") or not 1 <= top_k <= 3:
+        raise ValueError("retriever is dense or hybrid, top_k 1 to 3")
+    names = F.array(*[F.lit(x) for x in known])
+    asked = queries.select("qid", "query", resolve_scopes(F.col("scopes"), names).alias("scopes"))
+    bad = F.coalesce(strip("query"), F.lit("")) == ""
+    asked = asked.withColumn("status", F.when(F.col("scopes").isNull(), "invalid_scope").when(bad | (F.length("query") > 4000), "error"))
+    fine, found = asked.filter("status is null"), None
+    for row in fine.select("scopes").distinct().collect():  # sets of known sources, at most one a query
+        own = chunks.filter(F.col("source").isin(*row["scopes"]))
+        ask = fine.filter(F.array_join("scopes", "\x01") == "\x01".join(row["scopes"])).select("qid", "query")
+        pool = hybrid(own, ask, model) if retriever == "hybrid" else dense(encode(own, model), encode(ask, model, "qid", "query"), 20 if score else top_k)
+        if score is not None:
+            pool = rerank(pool.join(own.select("position", "text"), "position").join(ask, "qid"), score, top_k).drop("score").withColumnRenamed("reranker_score", "score")
+        pool = pool.filter(F.col("rank") <= top_k).select("qid", F.struct("rank", "position", "score").alias("r"))
+        found = pool if found is None else found.unionByName(pool)
+    if found is None:
+        return asked.select("qid", "status", F.array().cast("array<struct<rank:int,position:bigint,score:double>>").alias("results"))
+    lists = found.groupBy("qid").agg(F.array_sort(F.collect_list("r")).alias("results"))  # top_k rows a query
+    out = asked.join(lists, "qid", "left")
+    return out.select("qid", F.coalesce("status", F.when(F.col("results").isNull(), "no_evidence").otherwise("ok")).alias("status"), F.coalesce("results", F.array().cast(lists.schema["results"].dataType)).alias("results"))
+
+
+def rerank_expanded(candidates: DataFrame, score: Callable[[Column, Column], Column], k: int = 3) -> DataFrame:
+    """Candidates with `expanded` ranked by the score of the expanded text; the rows returned hold the child's own text."""
+    return rerank(candidates, score, k, text="expanded").drop("expanded")
+
+
+def arms(chunks: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], k: int = 3, model: Callable | None = None) -> DataFrame:
+    """arm, qid, rank, position: dense, bm25, hybrid and the first and last reranked, over pools that are made once."""
+    near, words = dense(encode(chunks, model), encode(queries, model, "qid", "query"), 20), bm25(build(chunks), queries, 20)
+    pools = {"dense": near, "bm25": words, "hybrid": rrf({"dense": near, "bm25": words}, 20)}
+    out = None
+    for name, pool in pools.items():
+        plain = pool.filter(F.col("rank") <= k).select(F.lit(name).alias("arm"), "qid", "rank", "position")
+        out = plain if out is None else out.unionByName(plain)
+        if name != "bm25":
+            again = rerank(pool.select("qid", "rank", "position").join(chunks.select("position", "text"), "position").join(queries, "qid"), score, k)
+            out = out.unionByName(again.select(F.lit(f"{name}_rerank").alias("arm"), "qid", "rank", "position"))
+    return out
+
+
 def rerank(candidates: DataFrame, score: Callable[[Column, Column], Column], k: int = 3, query: str = "query", text: str = "text") -> DataFrame:
     """Scores the supplied candidates only and keeps k; ties keep the order they came in.
 

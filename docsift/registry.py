@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.plans import agent, evaluate, evidence, quality, retrieval
+from docsift.plans import agent, evaluate, evidence, quality, retrieval, scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (retrieval, quality, evaluate, evidence, agent):
+for _plan in (retrieval, quality, evaluate, evidence, agent, scoring):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -97,3 +97,13 @@ def test_repartitioning_changes_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = chunking.chunk(docs.select("doc_id", "text")).select(F.sum(F.xxhash64("position", "text").cast("decimal(38,0)"))).first()[0]
     assert chunking.chunk(docs.repartition(7).select("doc_id", "text")).select(F.sum(F.xxhash64("position", "text").cast("decimal(38,0)"))).first()[0] == one
+
+
+def test_scoped_search_and_its_status(spark):
+    rows = spark.createDataFrame([(0, "a", "red pump"), (1, "b", "red valve"), (2, "a", "blue pump")], "position bigint, source string, text string")
+    ask = spark.createDataFrame([(1, "red", ["a"]), (2, "red", None), (3, "red", ["a", "a"]), (4, " ", ["a"]), (5, "red", ["z"]), (6, "x" * 4001, None)], "qid bigint, query string, scopes array<string>")
+    out = {r["qid"]: r for r in retrieval.search(rows, ask, ["a", "b", "c"], score=lambda q, t: -F.length(t)).collect()}
+    assert [out[i]["status"] for i in range(1, 7)] == ["ok", "ok", "invalid_scope", "error", "invalid_scope", "error"]
+    assert {x["position"] for x in out[1]["results"]} == {0, 2} and [x["position"] for x in out[2]["results"]] == [0, 1, 2]
+    none = retrieval.search(rows, spark.createDataFrame([(1, "red", ["c"])], "qid bigint, query string, scopes array<string>"), ["a", "b", "c"]).first()
+    assert (none["status"], none["results"]) == ("no_evidence", [])
