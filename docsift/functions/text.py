@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -40,10 +40,20 @@ def casefold_nfkc(texts: pd.Series) -> pd.Series:
 SPECIAL = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0410-\u044f\u3001\u3002\u3400-\u4dbf\u4e00-\u9fff‐‒–—−“”‘’]"
 
 
+def special(c: Column | str) -> Column:
+    """Whether a text holds a SPECIAL character; ASCII is taken away first, which is the cheaper test."""
+    return F.coalesce(F.regexp_replace(col(c), r"[\x00-\x7f]+", "").rlike(SPECIAL), F.lit(False))
+
+
 def folded(c: Column | str) -> Column:
     """Compatibility normal form, case folded. Only texts with a special character go to Python."""
     c = col(c)
-    return F.coalesce(casefold_nfkc(F.when(c.rlike(SPECIAL), c)), casefold(c))
+    return F.coalesce(casefold_nfkc(F.when(special(c), c)), casefold(c))
+
+
+def fold_column(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the text folded in place: rows with a special character pass through Python, the others never leave the JVM."""
+    return rows.filter(~special(text)).withColumn(text, casefold(text)).unionByName(rows.filter(special(text)).withColumn(text, casefold_nfkc(text)))
 
 
 def evidence_normal(c: Column | str, general: bool = True) -> Column:

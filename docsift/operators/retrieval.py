@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsift.functions.text import tokens
+from docsift.functions.text import fold_column, token_list, tokens
 
 K1, B, RRF_K, SCORE_DIGITS, QUERY_BLOCK = 1.2, 0.75, 60, 6, 512
 
@@ -31,7 +31,7 @@ class Index:
 def build(chunks: DataFrame, scope: str | None = None, position: str = "position", text: str = "text") -> Index:
     by = [scope] if scope else []
     # dealt by position once: term counts and scores of a chunk then need no further shuffle
-    found = chunks.select(*by, F.col(position).alias("position"), text).repartition("position").select(*by, "position", tokens(text).alias("_tokens"))
+    found = fold_column(chunks.select(*by, F.col(position).alias("position"), F.col(text).alias("_text")), "_text").repartition("position").select(*by, "position", token_list(F.col("_text")).alias("_tokens"))
     lengths = found.select(*by, "position", F.size("_tokens").alias("len"))
     stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     postings = (
@@ -230,7 +230,7 @@ HASH_DIMENSIONS = "0123456789abcdef"
 def hashed_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
     """A deterministic stand-in for an embedding model: counts of tokens by a hexadecimal digit of their hash."""
     digits = F.transform(F.col("_tokens"), lambda t: F.substring(F.md5(t), 4, 1))
-    rows = rows.select(key, tokens(text).alias("_tokens")).select(key, digits.alias("_digits"))
+    rows = fold_column(rows.select(key, F.col(text).alias("_text")), "_text").select(key, token_list(F.col("_text")).alias("_tokens")).select(key, digits.alias("_digits"))
     counts = [F.array_size(F.array_remove(F.transform("_digits", lambda x: F.when(x == digit, x).otherwise("")), "")).cast("double") for digit in HASH_DIMENSIONS]
     return rows.select(key, F.array(*counts).alias("embedding"))
 
