@@ -111,7 +111,7 @@ def qlt_multiset_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RESIDUAL_SQL}, den AS (SELECT doc_id, count(*) AS n FROM nt GROUP BY doc_id)
-SELECT doc_id, tokens, chars, n, round(tokens / n::DOUBLE, 6) AS ratio, tokens >= 30 AND chars >= 80 AND tokens / n::DOUBLE >= 0.35 AS is_significant, tokens >= 20 AND chars >= 60 AND tokens / n::DOUBLE >= 0.5 AS image_significant FROM agg JOIN den USING (doc_id)""")
+SELECT doc_id, tokens, chars, n, round(tokens / n::DOUBLE, 6) AS ratio, tokens >= 30 AND chars >= 80 AND tokens / n::DOUBLE >= 0.35 AS is_significant, n >= 25 AND tokens >= 20 AND chars >= 60 AND tokens / n::DOUBLE >= 0.5 AS image_significant FROM agg JOIN den USING (doc_id)""")
 def qlt_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _residual(spark, sf_dir).join(pages(spark, sf_dir).select("doc_id", F.size(T.word_tokens("native")).alias("n")), "doc_id")
     t, c, n = F.col("tokens"), F.col("chars"), F.col("n")

@@ -1,15 +1,16 @@
-"""Every query that has SQL, against DuckDB on the smallest tables."""
+"""Every query that has SQL, against DuckDB on the smallest tables, or on those of DOCSIFT_TEST_DATA."""
 
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
 
 from docsift import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("DOCSIFT_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
