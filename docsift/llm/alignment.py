@@ -2,7 +2,8 @@
 
 Tokens of both tokenizers are exploded with their positions; windowed cumulative lengths give each token's
 end byte; both token lists meet in a full equi-join on document and end, written as one aggregate over their
-union so that tokens are shuffled at most once (as id and length in 32 bits, before they are exploded).
+union so that tokens are shuffled once, as arrays of 16-bit ids (32 where a vocabulary is larger) before they are
+exploded; their lengths are looked up in the vocabulary.
 Between two consecutive ends lies a stretch that exactly one token of either side covers, so every link is one
 joined row: the nearest end at or after it on the other side names the partner, a running match instead of a
 join of all tokens of a group, and no group is too long for it. Ends of both sides are cuts; running cut counts
@@ -34,8 +35,8 @@ from pyspark.sql.window import Window
 from . import _shared, vocabularies
 
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-HOT_PAIRS, PART_BYTES, BATCH_CHARS = 250_000, 8_000_000, 1_000_000
-ID_BITS = 20  # of a packed token: id, then the side, then the length
+HOT_PAIRS, PART_BYTES, MAX_PARTS, BATCH_CHARS = 250_000, 2_000_000, 100_000, 1_000_000
+ID_BITS = 20  # of an id in a packed pair
 
 
 @lru_cache(maxsize=2)
@@ -49,7 +50,7 @@ def pieces(path: str):
 
 
 class Pair:
-    """Packed tokens of both sides of a text."""
+    """Token ids of both sides of a text."""
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         spelled, self.fast = vocabularies.byte_level(byte_path)
@@ -62,19 +63,17 @@ class Pair:
     def byte_ids(self, text: str) -> np.ndarray:
         return self.fast.encode_to_numpy(text, disallowed_special=()) if self.agreed(text) else np.array(self.slow.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        none = np.zeros(0, np.int32)
         held = self.pieces.encode([t or "" for t in texts], num_threads=1)
         for text, b in zip(texts, held):
             want = f" {text}".encode() if text else b""
             if not text or b"".join(map(self.piece_of.__getitem__, b)) != want:
-                yield np.zeros(0, np.int32)
+                yield none, none
                 continue
-            a, b = self.byte_ids(f" {text}").astype(np.int32), np.array(b, np.int32)
-            if self.byte_lens[a].sum() != len(want):  # byte-level tokens spell the text in order, so only their length is open
-                yield np.zeros(0, np.int32)
-                continue
-            side = np.int32(1 << ID_BITS)
-            yield np.concatenate([a | (self.byte_lens[a] << (ID_BITS + 1)), b | side | (self.piece_lens[b] << (ID_BITS + 1))])
+            a = self.byte_ids(f" {text}")
+            # byte-level tokens spell the text in order, so only their length is open
+            yield (a, np.array(b, np.int32)) if self.byte_lens[a].sum() == len(want) else (none, none)
 
 
 @lru_cache(maxsize=2)
@@ -83,7 +82,9 @@ def pair(byte_path: str, piece_path: str) -> Pair:
 
 
 def tokenise(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """row (a number of its own), doc_id, tokens (packed; those of the first side come first)."""
+    """row (a number of its own), doc_id, n_a, ids (those of the first side come first; 16 bits each where both vocabularies fit)."""
+    n = max(len(vocabularies.byte_level(byte_path)[0]), len(pieces(piece_path)[1]))
+    kind, name = (np.int16, "smallint") if n <= 1 << 16 else (np.int32, "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = pair(byte_path, piece_path), TaskContext.get().partitionId() << 33
@@ -94,27 +95,39 @@ def tokenise(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 while end < len(texts) and (end == at or held + len(texts[end] or "") <= BATCH_CHARS):
                     held += len(texts[end] or "")
                     end += 1
-                tokens = list(encode(texts[at:end]))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+                both = list(encode(texts[at:end]))
+                offsets = np.concatenate([[0], np.cumsum([len(a) + len(b) for a, b in both])]).astype(np.int32)
+                ids = np.concatenate([x.astype(kind) for ab in both for x in ab])  # the upper half of 16 bits turns negative
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(tokens))), batch.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))], ["row", "doc_id", "tokens"]
+                    [pa.array(np.arange(row, row + len(both))), batch.column(0).slice(at, end - at), pa.array([len(a) for a, _ in both], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
+                    ["row", "doc_id", "n_a", "ids"],
                 )
-                row, at = row + len(tokens), end
+                row, at = row + len(both), end
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id bigint, n_a int, ids array<{name}>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, tokens array<int>")
+def _lengths(lens: np.ndarray, id_: Column) -> Column:
+    """The byte length of an id: a constant array of the vocabulary's size."""
+    return F.get(F.split(F.lit(",".join(map(str, lens.tolist()))), ",").cast("array<int>"), id_)
 
 
-def links(tokens: DataFrame, parts: int) -> DataFrame:
-    """One row a link: row, group (1 for the last of the document), end, a, b, a_ends, b_ends (whether a token of the side ends there)."""
-    side, size = F.shiftright("token", ID_BITS).bitwiseAND(F.lit(1)), F.shiftright("token", ID_BITS + 1)
-    each = tokens.repartition(parts, "row").sortWithinPartitions("row").select("row", F.posexplode("tokens").alias("pos", "token"))
+def links(tokens: DataFrame, parts: int, byte_path: str, piece_path: str) -> DataFrame:
+    """One row a link: row, doc_id, group (1 for the last of the document), end, a, b, a_ends, b_ends (whether a token of the side ends there).
+
+    A document without tokens has one row whose end is null.
+    """
+    byte_lens, piece_lens = pair(byte_path, piece_path).byte_lens, pieces(piece_path)[2]
+    each = tokens.repartition(parts, "row").sortWithinPartitions("row").select("row", "doc_id", "n_a", F.posexplode_outer("ids").alias("pos", "id"))
+    each = each.withColumn("id", F.col("id").cast("int").bitwiseAND(F.lit(0xFFFF)) if dict(tokens.dtypes)["ids"] == "array<smallint>" else F.col("id"))
+    each = each.select("row", "doc_id", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "id")
     lengths = Window.partitionBy("row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.select("row", "pos", side.alias("side"), F.col("token").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("id"), size.alias("size")).withColumn("end", F.sum("size").over(lengths))
-    met = each.groupBy("row", "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("own_a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("own_b"))
+    each = each.withColumn("end", F.sum(F.when(F.col("side") == 0, _lengths(byte_lens, F.col("id"))).otherwise(_lengths(piece_lens, F.col("id")))).over(lengths))
+    met = each.groupBy("row", "doc_id", "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("own_a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("own_b"))
     later = Window.partitionBy("row").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(F.col("own_a").isNotNull() & F.col("own_b").isNotNull(), 1).otherwise(0)
     return met.select(
-        "row", F.sum(cut).over(later).alias("group"), "end", F.last("own_a", True).over(later).alias("a"), F.last("own_b", True).over(later).alias("b"),
+        "row", "doc_id", F.sum(cut).over(later).alias("group"), "end", F.last("own_a", True).over(later).alias("a"), F.last("own_b", True).over(later).alias("b"),
         F.col("own_a").isNotNull().alias("a_ends"), F.col("own_b").isNotNull().alias("b_ends"),
     )
 
@@ -142,30 +155,31 @@ def spell(end: np.ndarray, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_e
     return str(ids[0]) + "".join([f"{',|;'[m]}{i}" for m, i in zip(before.tolist(), ids[1:].tolist())])
 
 
+FIELDS = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
+
+
 def _digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        held = {"groups_sha256": [], "pairs": [], "times": []}
+        spelled, pairs, times = [], [], []
         for k in range(batch.num_rows):
-            place, pair = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+            place, pair = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (6, 7))
             a, b = pair >> ID_BITS, pair & ((1 << ID_BITS) - 1)
-            text = spell(place >> 2, a, b, (place & 2) > 0, (place & 1) > 0)
-            pairs, times = np.unique(pair, return_counts=True)
-            for name, value in zip(held, (hashlib.sha256(text.encode()).hexdigest(), pairs, times)):
-                held[name].append(value)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(held["groups_sha256"], pa.string()), pa.array(held["pairs"], pa.list_(pa.int64())), pa.array(held["times"], pa.list_(pa.int64()))],
-            ["row", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
-        )
-
-
-def documents(tokens: DataFrame, parts: int) -> DataFrame:
-    """One row a document with tokens: row, n_groups, n_links, groups_sha256, pairs (a and b in one number) with times."""
+            spelled.append(hashlib.sha256(spell(place >> 2, a, b, (place & 2) > 0, (place & 1) > 0).encode()).hexdigest() if len(pair) else "")
+            own, n = np.unique(pair, return_counts=True)
+            pairs.append(own)
+            times.append(n.astype(np.int32))
+        made = [pa.array(spelled, pa.string()), pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(6)], *made], [x.split()[0] for x in FIELDS.split(", ")])
+
+
+def documents(links: DataFrame) -> DataFrame:
+    """One row a document: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (a and b in one number) with times."""
     place = F.col("end") * 4 + F.col("a_ends").cast("int") * 2 + F.col("b_ends").cast("int")
-    rows = links(tokens, parts).groupBy("row").agg(
-        F.max("group").alias("n_groups"), F.count("*").alias("n_links"), F.collect_list(place).alias("place"),
+    rows = links.groupBy("row", "doc_id").agg(
+        F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.max("group").cast("bigint").alias("n_groups"), F.count("end").alias("n_links"), F.collect_list(place).alias("place"),
         F.collect_list(F.shiftleft(F.col("a").cast("bigint"), ID_BITS).bitwiseOR(F.col("b").cast("bigint"))).alias("pair"),
     )
-    return rows.mapInArrow(_digest, "row bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>")
+    return rows.mapInArrow(_digest, FIELDS)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -179,12 +193,8 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
     """One row a document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     byte_path, piece_path = byte_path or vocabularies.place(BYTE_FILE), piece_path or vocabularies.place(PIECE_FILE)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / part_bytes))
-    n_a = F.size(F.filter("tokens", lambda t: F.shiftright(t, ID_BITS).bitwiseAND(F.lit(1)) == 0))
-    tokens = _shared.stored(tokenise(docs, byte_path, piece_path), "align-tokens")
-    aligned = _shared.stored(documents(tokens.select("row", "tokens"), parts), "align-documents")
-    heads = _shared.stored(tokens.select("row", "doc_id", n_a.cast("bigint").alias("n_a"), F.size("tokens").cast("bigint").alias("n")), "align-heads")
-    _shared.forget(tokens)
+    parts = min(max(1, math.ceil(size / part_bytes)), MAX_PARTS)
+    aligned = _shared.stored(documents(links(tokenise(docs, byte_path, piece_path), parts, byte_path, piece_path)), "align-documents")
     counts = _shared.stored(pair_counts(aligned), "align-pairs")
     often = math.ceil((aligned.agg(F.sum(F.size("pairs"))).first()[0] or 0) / hot_pairs)
     each = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("own"), F.col("x.times").alias("times"))
@@ -192,8 +202,6 @@ def align(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
     rest = hot.filter("pair is null").select("row", "own", "times").join(counts.filter(F.col("held") < often), F.col("own") == F.col("pair"))
     cols = ["row", "times", "held", "best"]
     sums = hot.filter("pair is not null").select(*cols).unionByName(rest.select(*cols)).groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("held") * F.col("times")).alias("count_sum"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return (
-        heads.join(aligned.select("row", "n_groups", "n_links", "groups_sha256"), "row", "left").join(sums, "row", "left")
-        .select("doc_id", "n_a", (F.col("n") - F.col("n_a")).alias("n_b"), *[zero(c) for c in ("n_groups", "n_links", "n_best", "count_sum")], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
-    )
+    out = aligned.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "row", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_best", "count_sum")]
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")

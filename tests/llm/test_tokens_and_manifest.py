@@ -167,7 +167,7 @@ def test_alignment_of_a_table(spark):
 
 
 def test_links_are_relational(spark, odd):
-    plan = alignment.links(alignment.tokenise(odd, BYTES, PIECES), 3)._jdf.queryExecution().optimizedPlan().toString()
+    plan = alignment.links(alignment.tokenise(odd, BYTES, PIECES), 3, BYTES, PIECES)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Generate posexplode" in plan and "Join" not in plan
 
 
