@@ -25,14 +25,18 @@ def _bounded(v: Column, most: int) -> Column:
     return v.isNotNull() & (F.length(F.trim(v)) > 0) & (F.length(v) <= most)
 
 
-def validate_actions(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """rows with action and violation (null where the action is valid). Duplicate keys and NaN make no JSON."""
+def validate_actions(rows: DataFrame, raw: str = "raw", contract: str = "evidence_reference") -> DataFrame:
+    """rows with action and violation (null where the action is valid). Duplicate keys and NaN make no JSON.
+
+    The contract says how an action ends: with outcomes for scopes, or (`copied_quote`) with quoted findings.
+    """
+    ending = "findings" if contract == "copied_quote" else "outcomes"
     v = F.try_parse_json(F.when(F.length(raw) <= 32_000, F.col(raw)))
     rows = rows.withColumn("_v", v)
     text = lambda path: F.try_variant_get("_v", path, "string")
     keys = F.array_sort(F.map_keys(F.try_variant_get("_v", "$", "map<string,variant>")))
     action = text("$.action")
-    expect = {"SEARCH": ["action", "query", "scopes"], "LOOKUP": ["action", "evidence_id"], "CLARIFY": ["action", "question"], "FINISH": ["action", "outcomes"]}
+    expect = {"SEARCH": ["action", "query", "scopes"], "LOOKUP": ["action", "evidence_id"], "CLARIFY": ["action", "question"], "FINISH": ["action", ending]}
     right = F.lit(False)
     for name, names in expect.items():
         right = right | ((action == name) & (keys == F.array(*[F.lit(n) for n in names])))
@@ -49,12 +53,17 @@ def validate_actions(rows: DataFrame, raw: str = "raw") -> DataFrame:
     told = F.forall(F.arrays_zip(outcomes.alias("o"), fields.alias("f")), lambda x: F.when(x["o"]["status"] == "evidence_found", x["f"] == F.array(*[F.lit(n) for n in ("evidence_ids", "scope", "status")])).otherwise(x["f"] == F.array(F.lit("scope"), F.lit("status"))))
     good = good & told
     names = F.transform(outcomes, lambda o: o["scope"])
+    quoted = F.try_variant_get("_v", "$.findings", "array<map<string,string>>")
+    quotes = F.forall(quoted, lambda f: F.coalesce((F.array_sort(F.map_keys(f)) == F.array(F.lit("evidence_id"), F.lit("quote"), F.lit("scope"))) & _bounded(f["scope"], 64) & _bounded(f["evidence_id"], 100) & _bounded(f["quote"], 1000), F.lit(False)))
     violation = (
         F.when(F.col("_v").isNull(), "invalid_json").when(~F.coalesce(right, F.lit(False)), "unexpected_fields")
         .when((action == "SEARCH") & ~F.coalesce(_bounded(text("$.query"), 4000) & (F.size(scopes) == 1) & _bounded(F.get(scopes, 0), 64), F.lit(False)), "invalid_search")
         .when((action == "LOOKUP") & ~_bounded(text("$.evidence_id"), 100), "invalid_lookup").when((action == "CLARIFY") & ~_bounded(text("$.question"), 500), "invalid_clarify")
-        .when((action == "FINISH") & ~F.coalesce(F.size(outcomes).between(1, 4) & good, F.lit(False)), "invalid_outcomes").when((action == "FINISH") & (F.size(F.array_distinct(names)) < F.size(names)), "duplicate_scope")
     )
+    if contract == "copied_quote":
+        violation = violation.when((action == "FINISH") & ~F.coalesce((F.size(quoted) <= 6) & quotes, F.lit(False)), "invalid_findings")
+    else:
+        violation = violation.when((action == "FINISH") & ~F.coalesce(F.size(outcomes).between(1, 4) & good, F.lit(False)), "invalid_outcomes").when((action == "FINISH") & (F.size(F.array_distinct(names)) < F.size(names)), "duplicate_scope")
     return rows.select(*[c for c in rows.columns if c != "_v"], action.alias("action"), violation.alias("violation"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.plans import agent, evaluate, evidence, native, quality, retrieval, scoring
+from docsift.plans import agent, contract, evaluate, evidence, native, quality, retrieval, scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (retrieval, quality, evaluate, evidence, agent, scoring, native):
+for _plan in (retrieval, quality, evaluate, evidence, agent, scoring, native, contract):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
