@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment as relational steps.
 
 Tokens of both tokenizers are exploded with their positions; windowed cumulative lengths give each token's
-end byte; both token lists meet in a full equi-join on document and end, written as one aggregate over their
-union so that tokens are shuffled once, as arrays of 16-bit ids (32 where a vocabulary is larger) before they are
-exploded; their lengths are looked up in the vocabulary.
+end byte; both token lists meet in a full equi-join on document and end: a merge of their sorted union in which
+equal ends are neighbours, so that tokens are shuffled once, as arrays of 16-bit ids (32 where a vocabulary is
+larger) before they are exploded; their lengths are looked up in the vocabulary.
 Between two consecutive ends lies a stretch that exactly one token of either side covers, so every link is one
 joined row: the nearest end at or after it on the other side names the partner, a running match instead of a
 join of all tokens of a group, and no group is too long for it. Ends of both sides are cuts; running cut counts
@@ -123,13 +123,15 @@ def links(tokens: DataFrame, parts: int, byte_path: str, piece_path: str) -> Dat
     each = each.select("row", "doc_id", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "id")
     lengths = Window.partitionBy("row", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.when(F.col("side") == 0, _lengths(byte_lens, F.col("id"))).otherwise(_lengths(piece_lens, F.col("id")))).over(lengths))
-    met = each.groupBy("row", "doc_id", "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("own_a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("own_b"))
-    later = Window.partitionBy("row").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.when(F.col("own_a").isNotNull() & F.col("own_b").isNotNull(), 1).otherwise(0)
-    return met.select(
-        "row", "doc_id", F.sum(cut).over(later).alias("group"), "end", F.last("own_a", True).over(later).alias("a"), F.last("own_b", True).over(later).alias("b"),
-        F.col("own_a").isNotNull().alias("a_ends"), F.col("own_b").isNotNull().alias("b_ends"),
-    )
+    ends = Window.partitionBy("row").orderBy(F.desc("end"), "side")  # both sides' lists merged: equal ends are neighbours
+    later = ends.rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda side: F.last(F.when(F.col("side") == side, F.col("id")), True).over(later)
+    met = each.select("row", "doc_id", "end", "side", own(0).alias("a"), own(1).alias("b"), F.lag("end").over(ends).alias("before"), F.lead("end").over(ends).alias("after"))
+    met = met.filter("after IS NULL OR after <> end")  # one row an end: its last, which has seen both sides
+    both = F.coalesce(F.col("before") == F.col("end"), F.lit(False))
+    rows = met.select("row", "doc_id", "end", "a", "b", (both | (F.col("side") == 0)).alias("a_ends"), (both | (F.col("side") == 1)).alias("b_ends"))
+    cuts = Window.partitionBy("row").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("group", F.sum(F.when(F.col("a_ends") & F.col("b_ends"), 1).otherwise(0)).over(cuts))
 
 
 @lru_cache(maxsize=1)
@@ -176,7 +178,7 @@ def documents(links: DataFrame) -> DataFrame:
     """One row a document: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (a and b in one number) with times."""
     place = F.col("end") * 4 + F.col("a_ends").cast("int") * 2 + F.col("b_ends").cast("int")
     rows = links.groupBy("row", "doc_id").agg(
-        F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.max("group").cast("bigint").alias("n_groups"), F.count("end").alias("n_links"), F.collect_list(place).alias("place"),
+        F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.count_if(F.col("a_ends") & F.col("b_ends")).alias("n_groups"), F.count("end").alias("n_links"), F.collect_list(place).alias("place"),
         F.collect_list(F.shiftleft(F.col("a").cast("bigint"), ID_BITS).bitwiseOR(F.col("b").cast("bigint"))).alias("pair"),
     )
     return rows.mapInArrow(_digest, FIELDS)
