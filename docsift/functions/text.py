@@ -36,6 +36,12 @@ def casefold_nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+@F.pandas_udf(S.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility normal form of any text."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 #: A character that the compatibility form or full case folding may change, beyond what casefold() does.
 SPECIAL = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0410-\u044f\u3001\u3002\u3400-\u4dbf\u4e00-\u9fff‐‒–—−“”‘’]"
 
@@ -45,6 +51,12 @@ def special(c: Column | str) -> Column:
     return F.coalesce(F.regexp_replace(col(c), r"[\x00-\x7f]+", "").rlike(SPECIAL), F.lit(False))
 
 
+def compatible(c: Column | str) -> Column:
+    """Compatibility normal form. Only texts with a special character go to Python."""
+    c = col(c)
+    return F.coalesce(nfkc(F.when(special(c), c)), c)
+
+
 def folded(c: Column | str) -> Column:
     """Compatibility normal form, case folded. Only texts with a special character go to Python."""
     c = col(c)
