@@ -2,8 +2,9 @@
 
 Documents are tokenised once and dealt by a hash of their row to parts of about PART_TOKENS tokens. The ids
 are those of tokenizers; for a plain byte-level file they are computed by tiktoken from the same file, at a
-quarter of the CPU time, and every task compares its first texts with tokenizers, which does the rest where
-they differ. In a part every source has a queue; for each window of WINDOW_TOKENS tokens a source's quantum is its
+quarter of the CPU time. Both split a text by the classes of its characters, so each worker has both encode
+every character it meets, among neighbours of each class; texts with a character on which they differ go to
+tokenizers. In a part every source has a queue; for each window of WINDOW_TOKENS tokens a source's quantum is its
 target share plus the deficit it carries, and exactly that many tokens are taken from its queue, so
 documents may be cut at window and sequence ends. A part starts with the deficits that all earlier
 parts leave behind (prefix sums over the parts), so the proportions hold across parts, too. An
@@ -33,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, vocabularies
 
 SEQUENCE, WINDOW_TOKENS, PART_TOKENS, END_ID = 1024, 64 * 1024, 2_000_000, 0
-BATCH_BYTES, COMPARED = 1_000_000, 50  # characters encoded at once; texts of a task that are compared
+BATCH_BYTES = 1_000_000  # characters encoded at once
 VOCABULARY = "byte_bpe_50k.json"
 #: The pre-tokenising pattern of byte-level files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,17 +80,14 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tool, self.fast = encoder(path)
-        self.compared = 0
+        self.agreed = vocabularies.Agreed(lambda probe: self.fast.encode(probe, allowed_special="all") == self.tool.encode(probe, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.fast is not None:
-            ids = [self.fast.encode(t, allowed_special="all") for t in texts]
-            own = slice(0, max(0, COMPARED - self.compared))
-            self.compared += len(texts)
-            if [x.ids for x in self.tool.encode_batch_fast(texts[own], add_special_tokens=False)] == ids[own]:
-                return [np.asarray(x, "<u4") for x in ids]
-            self.fast = None
-        return [np.asarray(x.ids, "<u4") for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [self.fast.encode(t, allowed_special="all") if self.fast is not None and self.agreed(t) else None for t in texts]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(rest, self.tool.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            ids[k] = x.ids
+        return [np.asarray(x, "<u4") for x in ids]
 
 
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
