@@ -6,7 +6,7 @@
    path so far selects, so two documents stay together with a probability equal to their similarity.
 2. Documents with equal sets become one class; only its smallest id takes part in the join.
 3. Nodes that hold more than NODE_ROWS documents branch further, on one or two positions (1 / threshold
-   on average), up to MAX_DEPTH levels; what is still larger then is cut to pieces that share one document.
+   on average), up to MAX_DEPTH levels; what is still larger then is left to step 5.
 4. Small nodes are compared exhaustively, inside one streaming task each, on the byte sketches, and the
    candidates confirmed on the full sets of both texts. A node where many pairs look similar (a crowd)
    gives only a star around its medoid and each member's best partner; once these are confirmed, the
@@ -28,9 +28,9 @@ far nodes branch: a pair that met in a node too large to compare is found by ste
 the node's children.
 
 Edge cases: null texts and texts without words have an empty set and are linked with nothing; a text
-with fewer words than a shingle has the whole sequence as its one shingle; repeated rows and equal
-texts share a component; a null id takes no part and has a null component; an empty table gives an
-empty result. Other columns are ignored.
+with fewer words than a shingle has the whole sequence as its one shingle; repeated rows, equal texts and
+the texts of one id share a component, with all the links of each of these texts; a null id takes no part
+and has a null component; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,11 +100,11 @@ def roots(mins: np.ndarray, trees: int, depth: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, digest (null without shingles), nodes, mins."""
+    """doc_id, text_key (tells texts of one id apart), n_shingles, digest (null without shingles), nodes, mins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in _text.slices(batch.column(1)):
+            for a, b, data, off in _text.slices(batch.column(2)):
                 hashes, bounds = shingles(data, off, size)
                 mins = minwise(hashes, bounds)
                 nodes = roots(mins, trees, depth).astype(np.int64)
@@ -114,11 +114,11 @@ def sketch(docs: DataFrame, size: int, trees: int = TREES, depth: int = DEPTH) -
                     count[i] = len(own)
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(count), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in nodes], pa.binary()), pa.array([x.tobytes() for x in mins], pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "nodes", "mins"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(count), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in nodes], pa.binary()), pa.array([x.tobytes() for x in mins], pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "digest", "nodes", "mins"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, nodes binary, mins binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, nodes binary, mins binary")
 
 
 def _bytes_column(column: pa.Array, dtype, width: int) -> np.ndarray:
@@ -172,12 +172,7 @@ def leaves(reps: DataFrame, trees: int, percent: int, node_rows: int, max_depth:
             break
         hot = big.select("rid").distinct() if hot is None else hot
         if level == max_depth - 1:
-            # documents that agree at every chosen position: pieces of the node, each with its smallest id
-            head = big.groupBy("node").agg(F.min("rid").alias("head"))
-            piece = F.xxhash64("node", F.pmod(F.xxhash64("rid", "node"), F.ceil(F.col("n") / (node_rows // 2))))
-            big = big.join(head, "node").select(piece.alias("node"), "rid", "head")
-            found = found.unionByName(big.select("node", F.explode(F.array("rid", "head")).alias("rid")).distinct())
-            break
+            break  # what is still larger is left to the join of the hot documents
         rows = _deeper(big.select("node", "rid").join(reps.select("rid", "mins"), "rid"), percent)
     return found, hot
 
@@ -386,11 +381,12 @@ def blocks(rows: DataFrame, node_rows: int, node_bytes: int = NODE_BYTES) -> Dat
     return small.unionByName(cut.select(F.xxhash64("node", "i", "j").alias("node"), "rid", "label"))
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rid, text) of the documents named in ids (rid, distinct), one row each."""
-    texts = docs.select(F.col("doc_id").alias("rid"), "text").filter("rid is not null")
-    texts = _shared.maybe_named(texts, ids.select(F.col("rid").alias("id")), "rid")
-    return texts.join(ids.hint("merge"), "rid", "left_semi").dropDuplicates(["rid"])
+def texts_of(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rid, text) of the classes named in ids (rid, distinct), one row each."""
+    named = _shared.stored(reps.select("rid", F.col("doc_id").alias("id"), "text_key").join(ids.hint("merge"), "rid", "left_semi"), "neardup-named")
+    texts = _shared.maybe_named(docs.select("doc_id", "text"), named.select("id").distinct())
+    texts = texts.join(named.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("text_key")))
+    return texts.select("rid", "text").dropDuplicates(["rid"])
 
 
 def word_set(text: str, size: int) -> frozenset:
@@ -401,7 +397,7 @@ def word_set(text: str, size: int) -> frozenset:
     return frozenset(zip(*[words[i:] for i in range(size)])) if len(words) >= size else frozenset([tuple(words)])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +410,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = _shared.stored(texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()), "neardup-texts")
+    texts = _shared.stored(texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), reps), "neardup-texts")
     both = (
         pairs.select("a", "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -457,7 +453,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     told = before = None
     while True:
         now = _shared.stored(small_star(edges), "neardup-edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v", "parent").cast("decimal(38,0)"))).first()
         if before is not None:
             _shared.forget(before)
         if state == told:  # all stars: another round would change nothing
@@ -467,17 +463,41 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         edges = now.join(parents, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).unionByName(parents.select(F.col("w").alias("u"), F.col("m").alias("v")))
 
 
-def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, size: int, percent: int, trees: int, depth: int, node_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sketches; classes (digest, rid, doc_id and text_key of one member, ...); labels (rid, label) by similar texts.
+
+    A class of equal sets is called by its smallest id. Where an id has several texts, its further classes get
+    numbers above all ids, so that no two classes share a name.
+    """
     drawn = _shared.stored(sketch(docs, size, trees, depth), "neardup-sketch")
     named = drawn.filter("digest is not null and doc_id is not null")
-    reps = _shared.stored(
-        named.groupBy("digest").agg(F.min(F.struct("doc_id", "nodes", "mins", "n_shingles")).alias("least"))
-        .select("digest", F.col("least.doc_id").alias("rid"), F.col("least.nodes").alias("nodes"), F.col("least.mins").alias("mins"), F.col("least.n_shingles").alias("n_shingles")), "neardup-classes"
-    )
+    least = F.min(F.struct("doc_id", "text_key", "nodes", "mins", "n_shingles")).alias("least")
+    reps = _shared.stored(named.groupBy("digest").agg(least).select("digest", F.col("least.doc_id").alias("rid"), "least.*"), "neardup-classes")
+    several = reps.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select("rid")
+    if not several.isEmpty():
+        further = reps.select("rid", "digest").join(several, "rid").withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy("digest"))).filter("n > 1")
+        above = reps.agg(F.max("rid")).first()[0] + 1
+        further = _shared.stored(further.select(F.col("digest").alias("d"), (F.lit(above) + F.monotonically_increasing_id()).alias("other")), "neardup-further")
+        columns = [c for c in reps.columns if c != "rid"]
+        reps = _shared.stored(reps.join(further, F.col("digest") == F.col("d"), "left").select(F.coalesce("other", "rid").alias("rid"), *columns), "neardup-classes")
     nodes, hot = leaves(reps, trees, percent, node_rows, MAX_DEPTH)
-    labels = link(_shared.stored(nodes, "neardup-leaves"), hot, reps, docs, size, percent, node_rows)
+    return drawn, reps, link(_shared.stored(nodes, "neardup-leaves"), hot, reps, docs, size, percent, node_rows)
+
+
+def _same_id(drawn: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): classes that share a document, because its id has several texts."""
+    named = drawn.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y").select("doc_id")
+    rows = named.join(several, "doc_id", "left_semi").distinct().join(reps.select("digest", "rid"), "digest")
+    return rows.select(F.col("rid").alias("a"), F.min("rid").over(Window.partitionBy("doc_id")).alias("b")).filter("a > b")
+
+
+def classes(docs: DataFrame, size: int, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, node_rows: int = NODE_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs. The texts of one id are one document and lie in one component."""
+    drawn, reps, labels = _classes(docs.select("doc_id", "text"), size, percent, trees, depth, node_rows)
+    same = _shared.stored(_same_id(drawn, reps), "neardup-same")
+    if not same.isEmpty():
+        labels = components(same, labels)
     by_digest = reps.select("digest", "rid").join(labels, "rid", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rid").alias("label"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     columns = ["doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")]
@@ -494,7 +514,7 @@ def link(rows: DataFrame, hot: DataFrame | None, reps: DataFrame, docs: DataFram
     def confirmed(pairs: DataFrame) -> None:
         nonlocal labels
         if not pairs.isEmpty():
-            add(confirm(pairs.select("a", "b").distinct(), docs, size, percent))
+            add(confirm(pairs.select("a", "b").distinct(), docs, reps, size, percent))
 
     def add(links: DataFrame) -> None:
         nonlocal labels
@@ -506,7 +526,7 @@ def link(rows: DataFrame, hot: DataFrame | None, reps: DataFrame, docs: DataFram
         rows = _shared.stored(blocks(_shared.stored(rows.select("node", "rid", "label", "n_shingles"), "neardup-mixed"), node_rows), "neardup-blocks")
         if not rows.isEmpty():
             if sets is None:
-                sets = full_sets(texts_of(docs, rows.select("rid").distinct()).withColumnRenamed("rid", "doc_id"), size)
+                sets = full_sets(texts_of(docs, rows.select("rid").distinct(), reps).withColumnRenamed("rid", "doc_id"), size)
             add(crowd_links(rows.join(sets.select("rid", "set"), "rid"), percent))
 
     pairs = _shared.stored(candidates(rows.withColumn("label", F.col("rid")).join(sketches, "rid"), percent), "neardup-pairs")
@@ -516,7 +536,7 @@ def link(rows: DataFrame, hot: DataFrame | None, reps: DataFrame, docs: DataFram
         known = reps.select("rid", "n_shingles").join(labels, "rid", "left").select("rid", "n_shingles", F.coalesce("label", "rid").alias("label"))
         compare_sets(mixed(rows.join(crowds, "node", "left_semi").join(known, "rid")), None)
     if hot is not None:
-        sets = _shared.stored(full_sets(texts_of(docs, hot).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
+        sets = _shared.stored(full_sets(texts_of(docs, hot, reps).withColumnRenamed("rid", "doc_id"), size), "neardup-hot")
         rows = _shared.stored(mixed(_shared.stored(postings(sets, labels, percent), "neardup-postings")), "neardup-mixed")
         pairs = _shared.stored(candidates(rows.filter(F.col("n") <= node_rows).join(sketches, "rid"), percent), "neardup-pairs")
         confirmed(pairs)
@@ -526,11 +546,15 @@ def link(rows: DataFrame, hot: DataFrame | None, reps: DataFrame, docs: DataFram
 
 
 def unique(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One row of docs, all columns, of each component; rows without an id all stay.
+    """One row of docs, all columns, of each component of similar texts; rows without an id all stay.
 
-    Of rows that repeat an id one stays. Rows without words and with an id are no duplicates and stay, too.
+    Of rows with equal id and text one stays; texts of one id that are not similar all stay. Rows without words
+    and with an id are no duplicates of other ids and stay, too.
     """
-    name = _shared.fresh("kept_id", docs.columns)
-    marked = classes(docs, size, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(marked, F.col("doc_id") == F.col(name), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    drawn, reps, labels = _classes(docs.select("doc_id", "text"), size, percent, TREES, DEPTH, NODE_ROWS)
+    first = reps.join(labels, "rid", "left").filter(F.coalesce("label", "rid") == F.col("rid")).select("doc_id", "text_key")
+    wordless = drawn.filter("digest is null and doc_id is not null").select("doc_id", "text_key").distinct()
+    kept_id, kept_key, key = (_shared.fresh(c, docs.columns) for c in ("kept_id", "kept_key", "text_key"))
+    marked = first.unionByName(wordless).select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
+    kept = docs.withColumn(key, F.xxhash64("text")).join(marked, (F.col("doc_id") == F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.filter("doc_id is null"))

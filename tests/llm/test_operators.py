@@ -552,3 +552,64 @@ def test_pipeline_stages_and_native_plan(spark):
     plan = queries.op10_soft_mixing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def linked(rows, size, percent=80):
+    """doc_id -> smallest id reachable, over rows (doc_id, text), by comparing all pairs."""
+    sets = [(i, neardup.word_set(t or "", size)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i, _ in sets}
+
+
+def test_texts_of_one_id_keep_their_links_and_rows(spark):
+    r = random.Random(4)
+    a, b = (" ".join(f"{x}{r.randrange(500)}" for _ in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (3, b + " tail"), (7, a + " tail"), (9, "a b c"), (9, "x y z"), (9, "x y z"), (8, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x["doc_id"]: x["component_id"] for x in neardup.classes(docs, 2).collect()} == {3: 3, 5: 3, 7: 3, 8: 8, 9: 8}
+    kept = sorted((x["doc_id"], x["text"]) for x in neardup.unique(docs, 2).collect())
+    assert kept == sorted([(3, b + " tail"), (5, a), (8, "x y z"), (9, "a b c")])
+
+
+def test_repeated_ids_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") % 50)
+    want = linked([(x["doc_id"], x["text"]) for x in docs.collect()], 2)
+    got = {}
+    for x in neardup.classes(docs, 2).collect():
+        assert got.setdefault(x["doc_id"], x["component_id"]) == x["component_id"] or x["n_shingles"] == 0
+    wordless = {x["doc_id"] for x in docs.collect() if not (x["text"] or "").split()}
+    assert {i: c for i, c in got.items() if i not in wordless} == {i: c for i, c in want.items() if i not in wordless}
+
+
+def test_components_go_on_until_no_parent_changes(spark):
+    """A star whose centre learns its own parent a round late."""
+    known = spark.createDataFrame([(7, 5), (10, 3)], "rid bigint, label bigint")
+    links = spark.createDataFrame([(10, 5)], "a bigint, b bigint")
+    assert {x["rid"]: x["label"] for x in neardup.components(links, known).collect()} == {5: 3, 7: 3, 10: 3}
+    for seed in range(4):
+        r = random.Random(seed)
+        edges = [tuple(r.sample(range(60), 2)) for _ in range(45)]
+        parent = list(range(60))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in edges:
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        half = [spark.createDataFrame(e, "a bigint, b bigint") for e in (edges[:20], edges[20:])]
+        told = {x["rid"]: x["label"] for x in neardup.components(half[1], neardup.components(half[0])).collect()}
+        assert all(told.get(i, i) == root(i) for i in range(60))
