@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docsift.plans import agent, contract, evaluate, evidence, matching, native, quality, retrieval, scoring
+from docsift.plans import agent, contract, evaluate, evidence, matching, native, quality, retrieval, scoring, selection
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (retrieval, quality, evaluate, evidence, agent, scoring, native, contract, matching):
+for _plan in (retrieval, quality, evaluate, evidence, agent, scoring, native, contract, matching, selection):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
