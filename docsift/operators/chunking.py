@@ -33,8 +33,13 @@ def window_starts(length: Column, max_chars: int = MAX_CHARS, overlap: int = OVE
     return F.when(length <= max_chars, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, F.lit(step)))
 
 
-def chunk(docs: DataFrame, doc: str = "doc_id", keys: list[str] | None = None, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """One row a chunk: doc, keys, chunk_id (from 0 within the document), position, text."""
+def chunk(docs: DataFrame, doc: str = "doc_id", keys: list[str] | None = None, text: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, numbered: bool = False) -> DataFrame:
+    """One row a chunk: doc, keys, chunk_id (from 0 within the document), position, text.
+
+    Positions follow the reading order: the document's id times PER_DOCUMENT and the chunk's. Ids of 9e12 and
+    more, or more than PER_DOCUMENT chunks, do not fit and raise an error; numbered=True gives gapless numbers
+    in the same order instead, for ids of any size and kind.
+    """
     keys = [doc, *(k for k in keys or [] if k != doc)]
     # dealt by document first: the numbering below then needs no shuffle of its own
     found = sections(docs.select(*keys, text).repartition(doc), keys, text)
@@ -42,9 +47,10 @@ def chunk(docs: DataFrame, doc: str = "doc_id", keys: list[str] | None = None, t
     found = found.withColumn("text", strip(F.substring(F.col("section"), F.col("at") + 1, F.lit(max_chars)))).filter("text != ''")
     number = F.row_number().over(Window.partitionBy(doc).orderBy("section_no", "at")) - 1
     found = found.withColumn("chunk_id", number)
-    # numbers in reading order where both parts fit; beyond that, as for hashed ids, a hash of both
+    if numbered:
+        return ordinals(found.select(*keys, "chunk_id", "text"), [doc, "chunk_id"], "position").select(*keys, "chunk_id", F.col("position").cast("bigint").alias("position"), "text")
     fits = (F.abs(F.col(doc).cast("decimal(20,0)")) < 9_000_000_000_000) & (F.col("chunk_id") < PER_DOCUMENT)
-    position = F.when(fits, F.when(fits, F.col(doc)).otherwise(0) * PER_DOCUMENT + F.col("chunk_id")).otherwise(F.xxhash64(doc, "chunk_id"))
+    position = F.when(fits, F.when(fits, F.col(doc)).otherwise(0) * PER_DOCUMENT + F.col("chunk_id")).when(F.col(doc).isNotNull(), F.raise_error(F.lit("ids do not fit a position: chunk with numbered=True")))
     return found.select(*keys, "chunk_id", position.cast("bigint").alias("position"), "text")
 
 

@@ -166,6 +166,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 512,
     import pyarrow as pa
 
     spark = vectors.sparkSession
+    vectors, queries = (rows.filter(F.col(column).isNotNull()) for rows in (vectors, queries))
     width = vectors.select(F.size(column)).first()
     if width is None:
         return spark.createDataFrame([], "qid bigint, position bigint, score double, rank int")

@@ -77,7 +77,7 @@ s AS (SELECT w.position, (list(stop ORDER BY stop DESC) FILTER (WHERE mark <> ''
 x AS (SELECT w.position, child, uniq AND pos >= 0 AS ok, CASE WHEN uniq AND pos >= 0 THEN substr(parent, a + 1, coalesce(after, least(length(parent), fin + 200))::BIGINT - a) ELSE child END AS excerpt FROM (SELECT w.*, s.after, CASE WHEN s.before >= greatest(0, pos - 200) THEN s.before ELSE greatest(0, pos - 200) END::BIGINT AS a FROM w LEFT JOIN s USING (position)) w)"""
 
 
-@query(f"""WITH {REFERENCE_SQL} SELECT position, CASE WHEN length(child) > 1200 THEN 'child_over_bound' WHEN ok THEN 'text_context' ELSE 'child_only_ambiguous' END AS kind,
+@query(f"""WITH {REFERENCE_SQL} SELECT position, CASE WHEN length(child) > 1200 THEN 'child_over_bound' WHEN ok AND length(excerpt) > 1200 THEN 'context_over_bound' WHEN ok THEN 'text_context' ELSE 'child_only_ambiguous' END AS kind,
 CASE WHEN length(child) <= 1200 THEN sha256(excerpt) END AS excerpt_sha256, CASE WHEN length(child) <= 1200 THEN greatest(0, length(excerpt) - length(child)) END AS context_chars FROM x""")
 def evd_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-bounded references of every chunk."""

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from docsift.operators import agent, evaluate, evidence, fields, inventory, layout, quality, routing
+from docsift.operators import agent, evaluate, evidence, fields, inventory, layout, quality, retrieval, routing
 
 ID = "source string, page int, block_type string, block_index bigint"
 
@@ -131,5 +132,23 @@ def test_compatibility_characters_keywords_and_large_ids(spark):
     texts = spark.createDataFrame([("s", 1, " ".join(words[:40])), ("s", 2, " ".join(words[40:]))], "source string, page int, text string")
     assert {r["qid"]: (r["d_in_scope"], r["d_evidence"]) for r in evaluate.evidence_in(texts, qa, "d").collect()} == {1: (True, True), 2: (True, False), 3: (True, True)}
     docs = spark.createDataFrame([(9 * 10**18, "one text"), (7, "two texts")], "doc_id bigint, text string")
-    at = {r["doc_id"]: r["position"] for r in chunking.chunk(docs).collect()}
-    assert at[7] == 7_000_000 and len(set(at.values())) == 2
+    at = {r["doc_id"]: r["position"] for r in chunking.chunk(docs.filter("doc_id = 7")).collect()}
+    assert at == {7: 7_000_000}
+    with pytest.raises(Exception, match="numbered=True"):
+        chunking.chunk(docs).collect()
+    many = spark.createDataFrame([(-(9 * 10**18), "# a\n\nb\n\nc"), (9 * 10**18, "one text"), (7, "two\n\ntexts")], "doc_id bigint, text string")
+    assert [(r["position"], r["doc_id"], r["chunk_id"]) for r in chunking.chunk(many, numbered=True).orderBy("position").collect()] == [(0, -(9 * 10**18), 0), (1, -(9 * 10**18), 1), (2, -(9 * 10**18), 2), (3, 7, 0), (4, 7, 1), (5, 9 * 10**18, 0)]
+
+
+def test_rows_without_an_embedding_take_no_part(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "position bigint, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "qid bigint, embedding array<float>")
+    assert [(r["qid"], r["position"], r["score"]) for r in retrieval.dense(rows, asked, 5).orderBy("qid", "rank").collect()] == [(7, 1, 1.0), (7, 4, 0.707107), (7, 3, 0.0)]
+
+
+def test_a_reference_is_never_longer_than_the_bound(spark):
+    parent = "x" * 300 + "w " * 575 + "y" * 300
+    rows = spark.createDataFrame([("text", "w " * 574 + "w", parent), ("text", "w" * 100, "a" * 300 + "w" * 100 + "b" * 300), ("text", "z" * 1201, "z" * 1201)], "block_type string, text string, parent_text string")
+    out = evidence.references(rows).collect()
+    assert [r["span"]["kind"] for r in out] == ["context_over_bound", "text_context", "child_over_bound"]
+    assert all(r["span"]["excerpt"] is None or len(r["span"]["excerpt"]) <= evidence.REFERENCE_CHARS for r in out)
