@@ -54,14 +54,28 @@ def chunk(docs: DataFrame, doc: str = "doc_id", keys: list[str] | None = None, t
     return found.select(*keys, "chunk_id", position.cast("bigint").alias("position"), "text")
 
 
+#: keys of each part that are looked at to set its bounds
+BOUND_SAMPLE = 20
+
+
 def ordinals(chunks: DataFrame, order: list[str], name: str = "ordinal", parts: int | None = None) -> DataFrame:
-    """Gapless global numbers from 0 in two steps: ranges are counted, then numbered in parallel."""
+    """Gapless global numbers from 0 in two steps: parts are counted, then numbered in parallel; nulls come first.
+
+    The parts' bounds are taken once, from a bounded sample of the keys by their hash, so a row's part follows
+    from its key alone, wherever it is computed. Rows that agree in `order` are numbered in any order.
+    """
     n = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = chunks.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    kinds = dict(chunks.dtypes)
+    held = chunks.select(*order, F.xxhash64(*order).alias("_hash")).orderBy("_hash").limit(BOUND_SAMPLE * n).orderBy(*order).select(*order).collect()
+    bounds = sorted({len(held) * i // n for i in range(1, n)}) if held else []
+    struct = lambda values: F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, values)])
+    listed = F.array(*[struct(held[i]) for i in bounds]) if bounds else None
+    part = F.size(F.filter(listed, lambda b: b <= F.struct(*order))) if bounds else F.lit(0)
+    ranged = chunks.withColumn("_part", part)
     sizes = ranged.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    before = sizes.select(F.col("_part").alias("_at"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each part
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(before, "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own")
+    return ranged.withColumn("_own", own).join(F.broadcast(before), F.col("_part") == F.col("_at")).withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own", "_at")
 
 
 def carry_heading(chunks: DataFrame, source: str = "source", order: str = "position") -> DataFrame:

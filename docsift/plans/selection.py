@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsift.operators import audit, chunking, retrieval
 from docsift.operators import selection as S
 from docsift.operators.agent import DIMENSIONS
 
@@ -211,3 +212,38 @@ def evl_arm_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {JUDGED_SQL} SELECT arm, expected_verdict, predicted, count(*) AS n FROM j WHERE accepted GROUP BY ALL")
 def evl_arm_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).filter("accepted").groupBy("arm", "expected_verdict", "predicted").agg(F.count("*").alias("n"))
+
+
+# -- stored pools --------------------------------------------------------------------------------
+
+#: A stored pool: ranks swapped, an ordinal moved, a rank left out or beyond the corpus, a score changed.
+STORED = {
+    "rank": "CASE WHEN qid % 3 = 0 AND rank IN (2, 3) THEN 5 - rank ELSE rank END", "corpus_index": "CASE WHEN qid % 5 = 1 AND rank = 4 THEN ordinal + 1 WHEN qid % 11 = 4 AND rank = 1 THEN ordinal + 1000000000 ELSE ordinal END",
+    "score": "CASE WHEN qid % 4 = 3 AND rank = 1 THEN score + 0.5 ELSE score END",
+}
+POOL_SQL = f"""{C.bm25_sql(10)}, corpus AS (SELECT position, source, row_number() OVER (ORDER BY position) - 1 AS ordinal FROM chunks),
+stored AS (SELECT qid, {', '.join(f'{v} AS {k}' for k, v in STORED.items())} FROM bm25 JOIN corpus USING (position) WHERE NOT (qid % 7 = 2 AND rank = 5))"""
+
+
+def _pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """stored, corpus, pool."""
+    chunks = C.chunks(spark, sf_dir)
+    pool = retrieval.bm25(retrieval.build(chunks), C.questions(spark, sf_dir), 10)
+    corpus = chunking.ordinals(chunks.select("position", "source"), ["position"])
+    stored = pool.join(corpus, "position").filter("NOT (qid % 7 = 2 AND rank = 5)").selectExpr("qid", *[f"{v} AS {k}" for k, v in STORED.items()])
+    return stored, corpus, pool
+
+
+@query(f"""WITH {POOL_SQL}, h AS (SELECT qid, rank, s.score, position FROM stored s LEFT JOIN corpus ON corpus_index = ordinal)
+SELECT coalesce(h.qid, b.qid) AS qid, coalesce(h.rank, b.rank) AS rank, CASE WHEN h.qid IS NULL THEN 'missing' WHEN h.position IS NULL THEN 'unknown_ordinal' WHEN h.position <> b.position THEN 'other_chunk' ELSE 'other_score' END AS state, h.position AS stored_position, b.position
+FROM h FULL OUTER JOIN bm25 b ON h.qid = b.qid AND h.rank = b.rank WHERE h.qid IS NULL OR h.position IS NULL OR h.position <> b.position OR abs(h.score - b.score) > 1e-6""")
+def sup_ranking_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of a stored pool that do not reproduce."""
+    return audit.altered(*_pools(spark, sf_dir))
+
+
+@query(f"""WITH {POOL_SQL} SELECT item_id AS qid, count(*) FILTER (WHERE c.source = 'src' || (item_id % 20)) AS in_scope FROM benchmark LEFT JOIN stored s ON s.qid = item_id AND s.rank <= 3 LEFT JOIN corpus c ON corpus_index = ordinal GROUP BY ALL""")
+def sup_ranking_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-scope entries among the first three of each question's stored pool."""
+    stored, corpus, _ = _pools(spark, sf_dir)
+    return audit.scope_counts(stored, corpus, C.questions(spark, sf_dir).select("qid", F.expr("'src' || (qid % 20)").alias("source")))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.operators import agent, evaluate, evidence, fields, inventory, layout, quality, retrieval, routing
+from docsift.operators import agent, chunking, evaluate, evidence, fields, inventory, layout, quality, retrieval, routing
 
 ID = "source string, page int, block_type string, block_index bigint"
 
@@ -152,3 +152,13 @@ def test_a_reference_is_never_longer_than_the_bound(spark):
     out = evidence.references(rows).collect()
     assert [r["span"]["kind"] for r in out] == ["context_over_bound", "text_context", "child_over_bound"]
     assert all(r["span"]["excerpt"] is None or len(r["span"]["excerpt"]) <= evidence.REFERENCE_CHARS for r in out)
+
+
+def test_ordinals_agree_wherever_they_are_computed(spark):
+    rows = spark.range(20_000).selectExpr("(id * 7919) % 20011 - 5000 AS a", "CASE WHEN id % 50 = 0 THEN NULL ELSE concat('x', id % 7) END AS b", "id")
+    one = chunking.ordinals(rows, ["b", "a"], parts=9)
+    again = chunking.ordinals(rows.select("a", "b"), ["b", "a"], parts=9).withColumnRenamed("ordinal", "o")
+    want = sorted((tuple(r) for r in rows.select("b", "a").collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r["b"], r["a"]) for r in one.orderBy("ordinal").collect()] == want and one.selectExpr("min(ordinal)", "max(ordinal)", "count(DISTINCT ordinal)").first()[:] == (0, 19_999, 20_000)
+    assert one.join(again, ["a"]).filter("ordinal <> o").count() == 0
+    assert chunking.ordinals(rows.limit(0), ["a"]).count() == 0 and chunking.ordinals(rows.limit(1), ["a"], parts=5).first()["ordinal"] == 0

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from docsift.operators import audit
 from docsift.operators import selection as S
 
 
@@ -94,3 +95,16 @@ def test_unbound(spark):
     a = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (1, "c", None), (2, "a", None)], kind)
     b = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "d", "x"), (1, "c", None)], kind)
     assert sorted((r["task"], r["id"], r["state"]) for r in S.unbound(a, b, ["task", "id"], "value").collect()) == [(1, "b", "different"), (1, "d", "unexpected"), (2, "a", "missing")]
+
+
+def test_altered_ranks(spark):
+    corpus = spark.createDataFrame([(10, 0, "a"), (20, 1, "b"), (30, 2, "a")], "position long, ordinal long, source string")
+    pool = spark.createDataFrame([(1, 1, 10, 0.9), (1, 2, 20, 0.8), (1, 3, 30, 0.7), (2, 1, 10, 0.9)], "qid int, rank int, position long, score double")
+    stored = spark.createDataFrame([(1, 1, 0, 0.9), (1, 2, 2, 0.8), (1, 3, 9, 0.7), (1, 4, 1, 0.1), (3, 1, 0, None), (3, 1, 0, None)], "qid int, rank int, corpus_index long, score double")
+    got = {(r["qid"], r["rank"]): r["state"] for r in audit.altered(stored, corpus, pool).collect()}
+    assert got == {(1, 2): "other_chunk", (1, 3): "unknown_ordinal", (1, 4): "unexpected", (2, 1): "missing", (3, 1): "unexpected"}
+    assert audit.altered(spark.createDataFrame([(2, 1, 0, 0.5)], stored.schema), corpus, pool.filter("qid = 2")).first()["state"] == "other_score"
+    twice = spark.createDataFrame([(2, 1, 0, 0.9), (2, 1, 1, 0.9)], stored.schema)
+    assert audit.altered(twice, corpus, pool.filter("qid = 2")).first()["state"] == "repeated_rank"
+    asked = spark.createDataFrame([(1, "a"), (5, "a")], "qid int, source string")
+    assert {r["qid"]: r["in_scope"] for r in audit.scope_counts(stored, corpus, asked).collect()} == {1: 2, 5: 0}
