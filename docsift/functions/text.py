@@ -64,8 +64,8 @@ def folded(c: Column | str) -> Column:
 
 
 def fold_column(rows: DataFrame, text: str) -> DataFrame:
-    """rows with the text folded in place: rows with a special character pass through Python, the others never leave the JVM."""
-    return rows.filter(~special(text)).withColumn(text, casefold(text)).unionByName(rows.filter(special(text)).withColumn(text, casefold_nfkc(text)))
+    """rows with the text folded in place, in one pass over them: Python is handed nulls but for texts with a special character."""
+    return rows.withColumn(text, folded(text))
 
 
 def evidence_normal(c: Column | str, general: bool = True) -> Column:

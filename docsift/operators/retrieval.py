@@ -28,6 +28,10 @@ class Index:
     scope: list[str]
 
 
+def idf() -> Column:
+    return F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
 def build(chunks: DataFrame, scope: str | None = None, position: str = "position", text: str = "text") -> Index:
     by = [scope] if scope else []
     # dealt by position once: term counts and scores of a chunk then need no further shuffle
@@ -40,7 +44,7 @@ def build(chunks: DataFrame, scope: str | None = None, position: str = "position
     )
     df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     whole = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without scopes
-    terms = whole.select(*by, "term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
+    terms = whole.select(*by, "term", "df", idf().alias("idf"), "avg_len")
     return Index(postings, terms, stats, by)
 
 
@@ -80,8 +84,12 @@ def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float
             holds[[number[t] for t in own], j] = 1
         held = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), holds))  # `block` queries at most
         vocabulary = spark.createDataFrame(list(number.items()), "term string, no int")
-        wanted = index.terms.filter("avg_len > 0").join(F.broadcast(vocabulary), "term")
-        hits = index.postings.join(F.broadcast(wanted), [*scope, "term"])
+        # the asked terms meet the tokens before these are counted, so no other term is ever aggregated
+        kept = index.postings.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
+        counts = kept.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+        whole = counts.join(index.stats, scope) if scope else counts.crossJoin(F.broadcast(index.stats))
+        wanted = whole.filter("avg_len > 0").select(*scope, "term", idf().alias("idf"), "avg_len").join(F.broadcast(vocabulary), "term")
+        hits = kept.join(F.broadcast(wanted), [*scope, "term"])
         hits = hits.select((F.col(scope[0]) if scope else F.lit(None).cast("string")).alias("scope"), "position", "no", weight.alias("weight"))
 
         def run(batches):
