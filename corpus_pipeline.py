@@ -22,22 +22,32 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal values by pseudonyms; n_chars follows the new text."""
-    return pii.pseudonymise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    """Replaces personal values by pseudonyms under the session's key (a public one without it); n_chars follows the new text.
+
+    Null texts stay null, rows without an id and repeated rows are treated like any other.
+    """
+    return pii.pseudonymise(docs.select(*COLUMNS), demo=True).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of five-word-shingle similarity 0.8 and more."""
+    """Keeps one document of each component of five-word-shingle similarity 0.8 and more.
+
+    Rows without an id, and texts of one id that are not similar, all stay; so do texts without words. Of equal
+    rows one stays.
+    """
     return neardup.unique(docs.select(*COLUMNS), size=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document at its fitted rate, at most once, so the scarce domains set the total."""
+    """Takes each document at its fitted rate, at most once, so the scarce domains set the total.
+
+    Null and empty texts have no tokens and go by their rate like others; repeated rows are drawn one by one.
+    """
     return mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), max_rate=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; null texts are empty, repeated rows are documents of their own."""
     return packing.pack(docs)
 
 

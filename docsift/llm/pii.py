@@ -28,7 +28,6 @@ import datetime
 import hashlib
 import math
 import re
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -203,19 +202,20 @@ def replace(text: str, key: bytes, counts: list[int]) -> str:
 _MAYBE = re.compile(r"[\d@]|(?i:token|secret|passw|api_?key)|[a-f]{32}|[A-F]{32}|(?:sk|pk|gh[po]|xox[abp]|AKIA|AIza)[-_]?[A-Za-z0-9_-]{12}")
 
 
-def key_of(spark: SparkSession) -> bytes:
+def key_of(spark: SparkSession, demo: bool = False) -> bytes:
     found = spark.conf.get(KEY_CONF, None)
-    if not found:
-        warnings.warn(f"{KEY_CONF} is not set: pseudonyms are drawn with the demo key", stacklevel=3)
+    if not found and not demo:
+        raise ValueError(f"set {KEY_CONF} or give a key: whoever knows the key can undo the pseudonyms (demo=True takes a public one)")
     return found.encode() if found else DEMO_KEY
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: bytes | None = None, demo: bool = False) -> DataFrame:
     """docs with the text replaced and a count for each kind: n_<kind>, n_values.
 
-    Columns of those names that docs may already have are replaced.
+    The key is the one given, else that of the session; demo: a public key where there is neither. Columns of
+    the counts' names that docs may already have are replaced.
     """
-    key = key_of(docs.sparkSession) if key is None else key
+    key = key_of(docs.sparkSession, demo) if key is None else key
     names = [f"n_{k}" for k in KINDS]
     schema = [f for f in docs.schema.fields if f.name not in (*names, "n_values")]
     position = [f.name for f in schema].index(text)

@@ -141,8 +141,11 @@ def _piece(pieces: Column) -> Column:
     return F.pmod(F.xxhash64("row", F.lit(17)), pieces).cast("int")
 
 
-def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows (doc_id, size, text_crc32, key, row), read several times, with the shard of each."""
+def assign(rows: DataFrame, shards: int = SHARDS, cut_oversized: bool = False) -> DataFrame:
+    """rows (doc_id, size, text_crc32, key, row), read several times, with the shard of each.
+
+    Groups are indivisible; cut_oversized lets those larger than an even shard be cut by row.
+    """
     spark = rows.sparkSession
     whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     if not whole["n"]:
@@ -153,7 +156,7 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     is_large = (F.col("size") > unit) | (F.col("n") > many)
     # at most 2 * shards * UNITS groups can be that large, so they fit the driver and a broadcast
     large = [(r["key"], r["size"]) for r in groups.filter(is_large).collect()]
-    parts = [(key, math.ceil(size / unit) if size > capacity else 1) for key, size in large]
+    parts = [(key, math.ceil(size / unit) if cut_oversized and size > capacity else 1) for key, size in large]
     whole_keys = {key: size for (key, size), (_, n) in zip(large, parts) if n == 1}
     heads = spark.createDataFrame(parts, "key binary, pieces int")
     cut = [
@@ -202,12 +205,16 @@ def slots(rows: DataFrame, n_rows: int, shards: int = SHARDS) -> DataFrame:
     return rows.withColumn("rank", rank).join(before, ["shard", "block"]).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("block", "before", "rank")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+def shard(docs: DataFrame, shards: int = SHARDS, cut_oversized: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
+
+    With cut_oversized shards are near equal whatever the groups; without it equal texts always share a shard,
+    and a group above an even shard makes its shard that much larger.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"), F.monotonically_increasing_id().alias("row"))
     rows = _shared.stored(rows, "shard-rows")  # the row numbers are settled here
-    placed = _shared.stored(assign(rows, shards), "shard-placed")
+    placed = _shared.stored(assign(rows, shards, cut_oversized), "shard-placed")
     return slots(placed, rows.count(), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -42,7 +42,7 @@ def test_edge_rows_of_every_operator(spark, odd, labels):
     n, empty = odd.count(), spark.createDataFrame([], SCHEMA)
     none = spark.createDataFrame([], LABELS)
     whole = {
-        "toxicity": lambda d, x: toxicity.classify(d, x), "grades": lambda d, x: grades.select(d, x), "rules": lambda d, x: rules.apply(d, x), "pii": lambda d, x: pii.pseudonymise(d), "shards": lambda d, x: sharding.shard(d),
+        "toxicity": lambda d, x: toxicity.classify(d, x), "grades": lambda d, x: grades.select(d, x), "rules": lambda d, x: rules.apply(d, x), "pii": lambda d, x: pii.pseudonymise(d, demo=True), "shards": lambda d, x: sharding.shard(d),
         "neardup": lambda d, x: neardup.classes(d, 2), "substrings": lambda d, x: substrings.remove(d), "mixing": lambda d, x: mixing.weigh(d, x), "gif": lambda d, x: gif.digests(gif.store(d)),
     }
     for name, f in whole.items():
@@ -136,7 +136,7 @@ def test_shards_are_whole_groups_near_equal_and_gapless(spark):
 
 def test_a_group_larger_than_a_shard_is_split(spark):
     docs = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"text {i} " + "z" * (i % 50)) for i in range(3000)], "doc_id bigint, text string")
-    sizes = [r["s"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    sizes = [r["s"] for r in sharding.shard(docs, cut_oversized=True).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 40 and max(sizes) - min(sizes) < 0.1 * sum(sizes) / 40
 
 
@@ -170,7 +170,7 @@ def test_shards_equal_a_plain_best_fit(spark):
 
 
 def test_rows_without_id_are_dealt_by_row(spark):
-    sizes = [x["s"] for x in sharding.shard(spark.createDataFrame([(None, "one text")] * 2000, "doc_id bigint, text string").repartition(3)).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    sizes = [x["s"] for x in sharding.shard(spark.createDataFrame([(None, "one text")] * 2000, "doc_id bigint, text string").repartition(3), cut_oversized=True).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 40 and max(sizes) < 2 * min(sizes)
 
 
@@ -485,7 +485,7 @@ def test_pseudonyms_link_documents_and_leave_clean_ones(spark):
 
 def test_secrets_without_digits_are_replaced(spark):
     texts = ["see ghp_abcdefghijklmnopq", "sk-abcdefghijklmnop", "xoxb-abcdefghijklmnop", 'APIKey = "hunterhunter"', "PassWord: 'hunterhunter'", "abcdefab" * 4, "٤١١١١١١١١١١١١١١١"]
-    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), demo=True).collect()
     assert all(r["n_values"] == 1 and r["text"] != texts[r["doc_id"]] for r in rows)
 
 
@@ -613,3 +613,24 @@ def test_components_go_on_until_no_parent_changes(spark):
         half = [spark.createDataFrame(e, "a bigint, b bigint") for e in (edges[:20], edges[20:])]
         told = {x["rid"]: x["label"] for x in neardup.components(half[1], neardup.components(half[0])).collect()}
         assert all(told.get(i, i) == root(i) for i in range(60))
+
+
+def test_groups_stay_whole_unless_cut(spark):
+    rows = [(i, "x" * 1000) for i in range(100)] + [(1000 + i, f"{i} " * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sharding.shard(docs, 8).filter("doc_id < 100").select("shard").distinct().count() == 1
+    cut = sharding.shard(docs, 8, cut_oversized=True)
+    assert cut.filter("doc_id < 100").select("shard").distinct().count() > 1
+    sizes = [r["s"] for r in cut.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert max(sizes) < 1.2 * min(sizes)
+
+
+def test_pseudonyms_ask_for_a_key(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@example.org")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match=pii.KEY_CONF):
+        pii.pseudonymise(docs)
+    spark.conf.set(pii.KEY_CONF, "own")
+    try:
+        assert pii.pseudonymise(docs).first()["text"] == pii.pseudonymise(docs, key=b"own").first()["text"] != pii.pseudonymise(docs, key=pii.DEMO_KEY).first()["text"]
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
