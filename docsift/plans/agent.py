@@ -25,12 +25,12 @@ def query(sql: str | None = None):
     return keep
 
 
-ACTIONS_SQL = "acts AS (SELECT conv_id AS task_id, turn AS step, CASE WHEN role = 'user' THEN 'SEARCH' ELSE 'LOOKUP' END AS action, substr(text, 1, 2) AS input, text FROM conversations)"
+ACTIONS_SQL = "acts AS (SELECT conv_id AS task_id, turn AS step, CASE WHEN role = 'user' THEN 'SEARCH' ELSE 'LOOKUP' END AS action, left(md5(text), 1) AS input, text FROM conversations)"
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("step"), F.when(F.col("role") == "user", "SEARCH").otherwise("LOOKUP").alias("action"), F.substring("text", 1, 2).alias("input"), "text")
+    return rows.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("step"), F.when(F.col("role") == "user", "SEARCH").otherwise("LOOKUP").alias("action"), F.substring(F.md5(F.col("text").cast("binary")), 1, 1).alias("input"), "text")
 
 
 @query(f"WITH {ACTIONS_SQL} SELECT task_id, step, nth, nth > 1 AS repeated FROM (SELECT *, row_number() OVER (PARTITION BY task_id, action, input ORDER BY step) AS nth FROM acts)")
@@ -113,27 +113,26 @@ def agt_action_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABELS = "['aligned', 'different', 'not_applicable', 'uncertain']"
-JUDGED_SQL = f"""l AS (SELECT unnest({LABELS}) AS x),
-j AS (SELECT v.x AS verdict, b.x AS basis, o.x AS o, a.x AS a, u.x AS u, c.x AS c FROM (SELECT unnest(['EQUIVALENT', 'DIFFERENT', 'NOT_COMPARABLE']) AS x) v,
- (SELECT unnest(['comparable_fact', 'different_object_or_field', 'incompatible_scope_or_installation_scenario', 'uncertain']) AS x) b, l o, l a, l u, l c)"""
+VERDICTS = "['EQUIVALENT', 'DIFFERENT', 'NOT_COMPARABLE']"
+BASES = "['comparable_fact', 'different_object_or_field', 'incompatible_scope_or_installation_scenario', 'uncertain']"
+#: A document's judgement: the digits of a number made of its id and its length.
+JUDGED_SQL = f"""k AS (SELECT doc_id, doc_id * 7919 + length(text) AS n FROM documents),
+j AS (SELECT doc_id, ({VERDICTS})[n % 3 + 1] AS verdict, ({BASES})[n // 3 % 4 + 1] AS basis, ({LABELS})[n // 12 % 4 + 1] AS o, ({LABELS})[n // 48 % 4 + 1] AS a, ({LABELS})[n // 192 % 4 + 1] AS u, ({LABELS})[n // 768 % 4 + 1] AS c FROM k WHERE n IS NOT NULL)"""
 
 
-def judgements(spark: SparkSession) -> DataFrame:
-    """Every combination of verdict, basis and labels: 3,072 rows."""
-    labels = F.array(*[F.lit(x) for x in ("aligned", "different", "not_applicable", "uncertain")])
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("EQUIVALENT", "DIFFERENT", "NOT_COMPARABLE")])).alias("verdict"))
-    rows = rows.withColumn("basis", F.explode(F.array(*[F.lit(x) for x in ("comparable_fact", "different_object_or_field", "incompatible_scope_or_installation_scenario", "uncertain")])))
-    for d in A.DIMENSIONS:
-        rows = rows.withColumn(d, F.explode(labels))
-    return rows
+def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judgement of every document with a text: verdict, basis and labels from its id and length."""
+    rows = C.table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id * 7919 + length(text) AS n").filter("n IS NOT NULL")
+    pick = lambda values, by: F.expr(f"array({values[1:-1]})[cast(n div {by} % {len(values.split(', '))} AS int)]")
+    return rows.select("doc_id", pick(VERDICTS, 1).alias("verdict"), pick(BASES, 3).alias("basis"), *[pick(LABELS, 12 * 4**i).alias(d) for i, d in enumerate(A.DIMENSIONS)])
 
 
-@query(f"""WITH {JUDGED_SQL} SELECT verdict, basis, o AS object_or_field, a AS "value", u AS unit, c AS condition_or_applicability,
+@query(f"""WITH {JUDGED_SQL} SELECT doc_id, verdict, basis, o AS object_or_field, a AS "value", u AS unit, c AS condition_or_applicability,
 CASE verdict WHEN 'EQUIVALENT' THEN o = 'aligned' AND a = 'aligned' AND u = 'aligned' AND c IN ('aligned', 'not_applicable') WHEN 'DIFFERENT' THEN o = 'aligned' AND 'different' IN (a, u, c) ELSE o = 'different' OR c = 'different' END AS consistent_v1,
 CASE WHEN basis = 'uncertain' THEN verdict = 'NOT_COMPARABLE' AND 'uncertain' IN (o, a, u, c) WHEN 'uncertain' IN (o, a, u, c) THEN false WHEN verdict = 'EQUIVALENT' THEN basis = 'comparable_fact' AND o = 'aligned' AND a = 'aligned' AND u IN ('aligned', 'not_applicable') AND c IN ('aligned', 'not_applicable')
  WHEN verdict = 'DIFFERENT' THEN basis = 'comparable_fact' AND o = 'aligned' AND 'different' IN (a, u, c) WHEN basis = 'different_object_or_field' THEN o = 'different' WHEN basis = 'incompatible_scope_or_installation_scenario' THEN o = 'aligned' AND c = 'different' ELSE false END AS consistent_v2 FROM j""")
 def sem_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judgements(spark).select("verdict", "basis", *A.DIMENSIONS, A.consistent_v1().alias("consistent_v1"), A.consistent_v2().alias("consistent_v2"))
+    return judgements(spark, sf_dir).select("doc_id", "verdict", "basis", *A.DIMENSIONS, A.consistent_v1().alias("consistent_v1"), A.consistent_v2().alias("consistent_v2"))
 
 
 DECIMALS = """CASE c_custkey % 8 WHEN 0 THEN c_custkey || '.50' WHEN 1 THEN c_custkey || '' WHEN 2 THEN '-0' WHEN 3 THEN '-' || c_custkey WHEN 4 THEN c_custkey || ' mm' WHEN 5 THEN c_custkey || '.000000000000000001' WHEN 6 THEN '0' || c_custkey ELSE '+' || c_custkey END""", """CASE c_custkey % 8 WHEN 0 THEN c_custkey || '.5' WHEN 1 THEN c_custkey || '1' WHEN 2 THEN '0' WHEN 3 THEN '-' || c_custkey || '.0' WHEN 4 THEN c_custkey || ' mm' WHEN 5 THEN c_custkey || '.000000000000000002' WHEN 6 THEN '0' || c_custkey ELSE '+' || c_custkey END"""
