@@ -229,3 +229,62 @@ def failures(judged: DataFrame) -> DataFrame:
     kinds = judged.select("arm").distinct().withColumn("failure", F.explode(F.array(*map(F.lit, FAILURES))))
     found = judged.filter("failure IS NOT NULL").groupBy("arm", "failure").agg(F.count("*").alias("n"))
     return kinds.join(found, ["arm", "failure"], "left").fillna(0, ["n"])
+
+
+# -- one semantic run against its truth ----------------------------------------------------------
+
+PREFLIGHT, UNKNOWN = "preflight_insufficient_evidence", "INSUFFICIENT_EVIDENCE"
+#: Kinds of errors of a semantic run (fixed values), the dimensions' ones in the order of DIMENSIONS.
+DIMENSION_ERRORS = ("SEMANTIC_FIELD_MISALIGNMENT", "VALUE_COMPARISON_ERROR", "UNIT_COMPARISON_ERROR", "CONDITION_OMISSION")
+ERRORS = ("EVIDENCE_UPSTREAM_FAILURE", *DIMENSION_ERRORS, "NOT_COMPARABLE_FALSE_POSITIVE", "NOT_COMPARABLE_FALSE_NEGATIVE", "INVALID_OUTPUT", "GT_UNCERTAIN")
+
+
+def semantic_rows(truth: DataFrame, results: DataFrame) -> DataFrame:
+    """One row a task of truth with invalid, uncertain, scored, verdict_passed (null where not assessed), <dimension>_passed (likewise) and errors.
+
+    truth: task_id, route, confidence, expected_verdict, expected_<dimension>. results: task_id, status, eligible,
+    reason, verdict, formal_verdict, valid (of the semantic output; null without one), semantic_verdict and the
+    dimensions. An output is invalid where its route, its status and what it holds contradict each other; truths
+    that are uncertain are counted, but never scored.
+    """
+    rows = truth.join(results, "task_id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    there, status, formal = F.col("valid").isNotNull(), F.coalesce("status", F.lit("")), F.col("formal_verdict")
+    off = F.when(F.col("route") == "semantic", ~F.col("eligible") | (status == PREFLIGHT)).otherwise(
+        F.col("eligible") | (status != PREFLIGHT) | ~F.col("verdict").eqNullSafe(F.lit(UNKNOWN)) | there | formal.isNotNull()
+    )
+    unit = F.coalesce(F.col("unit") == "different", F.lit(False))
+    held = (
+        F.when(status == "compared", ~there | unit | ~formal.eqNullSafe(F.col("semantic_verdict"))).when(status == "unit_conversion_required", ~there | ~unit | formal.isNotNull()).otherwise(there | formal.isNotNull())
+    )
+    invalid = (status == "invalid_output") | F.coalesce(off, F.lit(True)) | (there & ~F.col("valid")) | held
+    uncertain = F.coalesce(F.col("confidence") == "uncertain", F.lit(False)) | F.coalesce(F.col("route") == "gt_uncertain", F.lit(False))
+    rows = rows.withColumn("invalid", F.coalesce(invalid, F.lit(True))).withColumn("uncertain", uncertain)
+    rows = rows.withColumn("scored", ~F.col("invalid") & ~F.col("uncertain") & there)
+    passed = {f"{d}_passed": F.when(F.col("scored") & F.col(f"expected_{d}").isNotNull(), F.coalesce(F.col(d) == F.col(f"expected_{d}"), F.lit(False))) for d in DIMENSIONS}
+    rows = rows.withColumns(passed | {"verdict_passed": F.when(F.col("scored") & F.col("expected_verdict").isNotNull() & formal.isNotNull(), formal == F.col("expected_verdict"))})
+    definite = ("EQUIVALENT", "DIFFERENT")
+    told = {
+        "EVIDENCE_UPSTREAM_FAILURE": (F.col("route") == "retrieval_bound") & ~F.col("eligible"), **{e: ~F.col(f"{d}_passed") for d, e in zip(DIMENSIONS, DIMENSION_ERRORS)},
+        "NOT_COMPARABLE_FALSE_POSITIVE": F.col("verdict_passed").isNotNull() & (formal == "NOT_COMPARABLE") & F.col("expected_verdict").isin(*definite),
+        "NOT_COMPARABLE_FALSE_NEGATIVE": F.col("verdict_passed").isNotNull() & (F.col("expected_verdict") == "NOT_COMPARABLE") & formal.isin(*definite), "INVALID_OUTPUT": F.col("invalid"), "GT_UNCERTAIN": F.col("uncertain"),
+    }
+    return rows.withColumn("errors", F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(e)) for e, c in told.items()]), lambda x: x.isNotNull()))
+
+
+def semantic_scores(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Verdict and dimension accuracy, eligible pairs, invalid outputs and the routing of unsupported sides, by any columns."""
+    side = F.col("route") == "unsupported_side"
+    kept = side & (F.col("status") == PREFLIGHT) & ~F.col("eligible") & (F.col("verdict") == UNKNOWN)
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("tasks"), F.count_if((F.col("route") == "semantic") & F.col("eligible")).alias("eligible_pairs"), F.count_if(~F.col("eligible")).alias("preflight"), F.count_if("invalid").alias("invalid"),
+        F.count("verdict_passed").alias("verdicts"), F.count_if("verdict_passed").alias("verdicts_passed"), F.count_if(side).alias("sides"), F.count_if(kept).alias("sides_passed"),
+        *[F.try_divide(F.count_if(f"{d}_passed").cast("double"), F.count(f"{d}_passed")).alias(f"{d}_accuracy") for d in DIMENSIONS],
+    )
+    return out.withColumn("accuracy", F.try_divide(F.col("verdicts_passed").cast("double"), F.col("verdicts")))
+
+
+def semantic_errors(rows: DataFrame) -> DataFrame:
+    """error, n: every kind of error, also those that did not occur."""
+    found = rows.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+    kinds = rows.sparkSession.createDataFrame([(e,) for e in ERRORS], "error string")
+    return kinds.join(found, "error", "left").fillna(0, ["n"])

@@ -247,3 +247,62 @@ def sup_ranking_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-scope entries among the first three of each question's stored pool."""
     stored, corpus, _ = _pools(spark, sf_dir)
     return audit.scope_counts(stored, corpus, C.questions(spark, sf_dir).select("qid", F.expr("'src' || (qid % 20)").alias("source")))
+
+
+# -- a semantic run ------------------------------------------------------------------------------
+
+
+def _semantic_columns(sql: bool) -> tuple[list[str], list[str]]:
+    """Columns of the truth and of the results, from a document's id."""
+    div = "//" if sql else "div"
+    pick = lambda values, by: _item(values, by, sql)
+    truth = [
+        f"{pick(chr(91) + repr('semantic') + ', ' + repr('semantic') + ', ' + repr('unsupported_side') + ', ' + repr('retrieval_bound') + ', ' + repr('gt_uncertain') + chr(93), 'doc_id % 5')} AS route",
+        "CASE doc_id % 7 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'provisional' ELSE 'confirmed' END AS confidence", f"CASE WHEN doc_id % 11 <> 0 THEN {pick(VERDICT, 'doc_id % 3')} END AS expected_verdict",
+        *[f"CASE WHEN doc_id % {13 + i} <> 0 THEN {pick(LABEL4, f'(doc_id {div} {4 ** i}) % 4')} END AS expected_{d}" for i, d in enumerate(DIMENSIONS)],
+    ]
+    low = "doc_id % 5 < 2"  # the semantic route
+    odd = "doc_id % 17 = 3"
+    status = f"CASE WHEN {odd} THEN 'invalid_output' WHEN {low} THEN CASE WHEN (doc_id {div} 16 + CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END) % 4 = 1 THEN 'unit_conversion_required' ELSE 'compared' END ELSE 'preflight_insufficient_evidence' END"
+    said = f"CASE WHEN {low} AND doc_id % 19 <> 5 THEN {pick(VERDICT, '(doc_id + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END) % 3')} END"
+    results = [
+        f"{status} AS status", f"{low} AND doc_id % 23 <> 6 OR doc_id % 29 = 2 AS eligible", f"CASE WHEN {low} THEN 'bilateral_supported' ELSE 'unresolved_scope' END AS reason", f"CASE WHEN {low} THEN {said} ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict",
+        f"CASE WHEN {low} AND doc_id % 19 <> 5 THEN doc_id % 31 <> 1 END AS valid", f"{said} AS semantic_verdict", f"CASE WHEN {status} = 'compared' THEN {said} WHEN doc_id % 37 = 0 THEN 'DIFFERENT' END AS formal_verdict",
+        *[f"CASE WHEN {low} THEN {pick(LABEL4, f'(doc_id {div} {4 ** i} + CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END) % 4')} END AS {d}" for i, d in enumerate(DIMENSIONS)],
+    ]
+    return truth, results
+
+
+SEMANTIC_SQL = f"""tr AS (SELECT doc_id AS task_id, {', '.join(_semantic_columns(True)[0])} FROM documents), rs AS (SELECT doc_id AS task_id, {', '.join(_semantic_columns(True)[1])} FROM documents WHERE doc_id % 41 <> 7),
+b AS (SELECT tr.*, coalesce(status, '') AS status, coalesce(eligible, false) AS eligible, verdict, valid, semantic_verdict, formal_verdict, {', '.join(f'"{d}"' for d in DIMENSIONS)}, coalesce(unit = 'different', false) AS ud FROM tr LEFT JOIN rs USING (task_id)),
+v AS (SELECT *, confidence = 'uncertain' OR route = 'gt_uncertain' AS uncertain, CASE WHEN status = 'invalid_output' THEN true WHEN route = 'semantic' AND (NOT eligible OR status = 'preflight_insufficient_evidence') THEN true
+ WHEN route <> 'semantic' AND (eligible OR status <> 'preflight_insufficient_evidence' OR verdict IS DISTINCT FROM 'INSUFFICIENT_EVIDENCE' OR valid IS NOT NULL OR formal_verdict IS NOT NULL) THEN true WHEN valid = false THEN true
+ WHEN status = 'compared' THEN valid IS NULL OR ud OR formal_verdict IS DISTINCT FROM semantic_verdict WHEN status = 'unit_conversion_required' THEN valid IS NULL OR NOT ud OR formal_verdict IS NOT NULL ELSE valid IS NOT NULL OR formal_verdict IS NOT NULL END AS invalid FROM b),
+s AS (SELECT *, NOT invalid AND NOT uncertain AND valid IS NOT NULL AS scored FROM v),
+p AS (SELECT *, CASE WHEN scored AND expected_verdict IS NOT NULL AND formal_verdict IS NOT NULL THEN formal_verdict = expected_verdict END AS verdict_passed, {', '.join(f'CASE WHEN scored AND "expected_{d}" IS NOT NULL THEN coalesce("{d}" = "expected_{d}", false) END AS "{d}_passed"' for d in DIMENSIONS)} FROM s)"""
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, results = _semantic_columns(False)
+    docs = C.table(spark, sf_dir, "documents").select("doc_id")
+    return S.semantic_rows(docs.selectExpr("doc_id AS task_id", *truth), docs.filter("doc_id % 41 <> 7").selectExpr("doc_id AS task_id", *results))
+
+
+SEMANTIC_AGG = f"""count(*) AS tasks, count(*) FILTER (WHERE route = 'semantic' AND eligible) AS eligible_pairs, count(*) FILTER (WHERE NOT eligible) AS preflight, count(*) FILTER (WHERE invalid) AS invalid, count(verdict_passed) AS verdicts, count(*) FILTER (WHERE verdict_passed) AS verdicts_passed,
+count(*) FILTER (WHERE route = 'unsupported_side') AS sides, count(*) FILTER (WHERE route = 'unsupported_side' AND status = 'preflight_insufficient_evidence' AND NOT eligible AND verdict = 'INSUFFICIENT_EVIDENCE') AS sides_passed,
+{', '.join(f'count(*) FILTER (WHERE "{d}_passed") / nullif(count("{d}_passed"), 0) AS "{d}_accuracy"' for d in DIMENSIONS)}, count(*) FILTER (WHERE verdict_passed) / nullif(count(verdict_passed), 0) AS accuracy"""
+
+
+@query(f"WITH {SEMANTIC_SQL} SELECT confidence, {SEMANTIC_AGG} FROM p GROUP BY GROUPING SETS ((), (confidence))")
+def evl_semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A semantic run on all documents as tasks, by confidence of the truth and in all (null)."""
+    rows = _semantic(spark, sf_dir)
+    return S.semantic_scores(rows, ["confidence"]).unionByName(S.semantic_scores(rows, []).withColumn("confidence", F.lit(None).cast("string")))
+
+
+@query(f"""WITH {SEMANTIC_SQL}, e AS (SELECT unnest(list_filter([CASE WHEN route = 'retrieval_bound' AND NOT eligible THEN 'EVIDENCE_UPSTREAM_FAILURE' END, {', '.join(f'CASE WHEN "{d}_passed" = false THEN {e!r} END' for d, e in zip(DIMENSIONS, S.DIMENSION_ERRORS))},
+CASE WHEN verdict_passed IS NOT NULL AND formal_verdict = 'NOT_COMPARABLE' AND expected_verdict <> 'NOT_COMPARABLE' THEN 'NOT_COMPARABLE_FALSE_POSITIVE' END, CASE WHEN verdict_passed IS NOT NULL AND formal_verdict <> 'NOT_COMPARABLE' AND expected_verdict = 'NOT_COMPARABLE' THEN 'NOT_COMPARABLE_FALSE_NEGATIVE' END,
+CASE WHEN invalid THEN 'INVALID_OUTPUT' END, CASE WHEN uncertain THEN 'GT_UNCERTAIN' END], lambda x: x IS NOT NULL)) AS error FROM p)
+SELECT k.error, count(e.error) AS n FROM (SELECT unnest([{', '.join(repr(x) for x in S.ERRORS)}]) AS error) k LEFT JOIN e USING (error) GROUP BY ALL""")
+def evl_semantic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.semantic_errors(_semantic(spark, sf_dir))
