@@ -288,3 +288,48 @@ def semantic_errors(rows: DataFrame) -> DataFrame:
     found = rows.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"))
     kinds = rows.sparkSession.createDataFrame([(e,) for e in ERRORS], "error string")
     return kinds.join(found, "error", "left").fillna(0, ["n"])
+
+
+# -- routes --------------------------------------------------------------------------------------
+
+
+def pair_preflight(tasks: DataFrame, references: DataFrame, sides: tuple[str, str] = ("A", "B")) -> DataFrame:
+    """task_id, eligible, verdict, reason: only tasks about exactly both sides, each with accepted references, reach a model.
+
+    tasks: task_id, scopes (array, in order), status; references: task_id, scope, one row each.
+    """
+    held = references.select("task_id", "scope").distinct().groupBy("task_id").agg(F.collect_set("scope").alias("held"))
+    rows = tasks.join(held, "task_id", "left")
+    both = F.array(*map(F.lit, sides))
+    eligible = F.coalesce((F.col("scopes") == both) & (F.size(F.array_except(both, "held")) == 0), F.lit(False))
+    unresolved = (F.coalesce(F.size("scopes"), F.lit(0)) <= 0) | F.coalesce(F.col("status") == "clarify", F.lit(False))
+    reason = F.when(eligible, "bilateral_supported").when(unresolved, "unresolved_scope").otherwise("not_bilateral_supported")
+    return rows.select("task_id", eligible.alias("eligible"), F.when(eligible, "NOT_EVALUATED").otherwise(UNKNOWN).alias("verdict"), reason.alias("reason"))
+
+
+def route_breaks(truth: DataFrame, preflight: DataFrame, groups: DataFrame, oracle: DataFrame, states: DataFrame) -> DataFrame:
+    """One row an expected route (task_id, route) that the saved run does not bear out: task_id, route, rule.
+
+    preflight of pair_preflight(), groups (task_id, candidate_group), oracle (task_id, scope, expected_available),
+    states (task_id, status).
+    """
+    empty = oracle.filter(F.col("expected_available") == F.lit(False)).select("task_id", F.lit(True).alias("empty_side")).distinct()
+    rows = truth.join(preflight.select("task_id", "eligible"), "task_id", "left").join(groups.select("task_id", "candidate_group"), "task_id", "left").join(empty, "task_id", "left").join(states.select("task_id", "status"), "task_id", "left")
+    route = F.col("route")
+    rule = (
+        F.when((route == "semantic") != F.coalesce("eligible", F.lit(False)), "other_cohort").when((route == "retrieval_bound") & ~F.col("candidate_group").eqNullSafe(F.lit("RETRIEVAL_BOUND")), "not_retrieval_bound")
+        .when((route == "unsupported_side") & F.col("empty_side").isNull(), "no_unsupported_side").when((route == "unresolved_scope") & ~F.col("status").eqNullSafe(F.lit("clarify")), "not_unresolved")
+    )
+    return rows.select("task_id", "route", rule.alias("rule")).filter("rule IS NOT NULL")
+
+
+def citation_snapshot(saved: DataFrame, registry: DataFrame) -> DataFrame:
+    """task_id, assessed, authentic, provenance, bounded: how many saved citations equal the registry's, name its place, and keep the bound.
+
+    saved as in saved_references(); registry: evidence_id, source, page, block_index, chunk_id, excerpt.
+    """
+    own = ["source", "page", "block_index", "chunk_id", "excerpt"]
+    rows = saved.join(registry.select("evidence_id", *[F.col(c).alias(f"own_{c}") for c in own], F.lit(True).alias("known")), "evidence_id", "left")
+    same = lambda names: F.coalesce(F.col("known"), F.lit(False)) & F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in names]), lambda x: x)
+    bound = F.coalesce(F.col("known") & (F.length("excerpt") <= MAX_EXCERPT) & (F.col("span_length") == F.length("excerpt")), F.lit(False))
+    return rows.groupBy("task_id").agg(F.count("*").alias("assessed"), F.count_if(same(own)).alias("authentic"), F.count_if(same(own[:4])).alias("provenance"), F.count_if(bound).alias("bounded"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsift.operators import audit, chunking, retrieval
+from docsift.operators import audit, chunking, evidence, layout, retrieval
 from docsift.operators import selection as S
 from docsift.operators.agent import DIMENSIONS
 
@@ -133,12 +133,16 @@ div AS (SELECT task_id, scope, len(a) AS n_expected, len(b) AS n_saved, (SELECT
 @query(f"""WITH {REFERENCES_SQL} SELECT task_id, scope, n_expected, n_saved, first_divergence, first_divergence IS NULL AS chains_equal, rules FROM div JOIN (SELECT task_id, scope, array_to_string(list_sort(list_distinct(flatten(list(r)))), ',') AS rules FROM bad GROUP BY ALL) USING (task_id, scope)""")
 def joi_saved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation's roles as accepted lists, and lists that were kept of them."""
+    turns, kept = _kept(spark, sf_dir)
+    out = S.saved_references(turns.select("task_id", "scope", "place", "evidence_id"), kept)
+    return out.withColumn("rules", F.array_join("rules", ","))
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     turns = C.table(spark, sf_dir, "conversations").selectExpr("conv_id AS task_id", "role AS scope", "turn", "text", "'ev_' || sha2(cast(text AS binary), 256) AS evidence_id")
     by = Window.partitionBy("task_id", "scope")
     turns = turns.withColumn("place", F.row_number().over(by.orderBy("turn")) - 1).withColumn("n", F.count("*").over(by))
-    kept = turns.filter(KEEP).selectExpr("task_id", "scope", *[f"{v.format('sha2(cast(text AS binary), 256)')} AS {k}" for k, v in KEPT.items()])
-    out = S.saved_references(turns.select("task_id", "scope", "place", "evidence_id"), kept)
-    return out.withColumn("rules", F.array_join("rules", ","))
+    return turns, turns.filter(KEEP).selectExpr("task_id", "scope", *[f"{v.format('sha2(cast(text AS binary), 256)')} AS {k}" for k, v in KEPT.items()])
 
 
 #: What is quoted of a document, from its fifth character on: as it stands, with wider blanks, in capitals, or cut within a word.
@@ -306,3 +310,62 @@ CASE WHEN invalid THEN 'INVALID_OUTPUT' END, CASE WHEN uncertain THEN 'GT_UNCERT
 SELECT k.error, count(e.error) AS n FROM (SELECT unnest([{', '.join(repr(x) for x in S.ERRORS)}]) AS error) k LEFT JOIN e USING (error) GROUP BY ALL""")
 def evl_semantic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.semantic_errors(_semantic(spark, sf_dir))
+
+
+# -- routes and citations ------------------------------------------------------------------------
+
+ROUTE = "CASE task_id % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'retrieval_bound' WHEN 2 THEN 'unsupported_side' ELSE 'unresolved_scope' END"
+ROUTES_SQL = f"""{REFERENCES_SQL}, tasks AS (SELECT conv_id AS task_id, CASE conv_id % 9 WHEN 4 THEN ['user'] WHEN 5 THEN [] ELSE ['assistant', 'user'] END AS scopes, CASE WHEN conv_id % 8 = 3 THEN 'clarify' ELSE 'finished' END AS status FROM conversations GROUP BY conv_id),
+pre AS (SELECT t.*, len(scopes) = 2 AND (SELECT count(DISTINCT k.scope) FROM kept k WHERE k.task_id = t.task_id AND k.scope IN ('assistant', 'user')) = 2 AS eligible FROM tasks t)"""
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """tasks, kept references, turns."""
+    turns, kept = _kept(spark, sf_dir)
+    tasks = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id")).distinct()
+    none = F.array().cast("array<string>")
+    scopes = F.when(F.col("task_id") % 9 == 4, F.array(F.lit("user"))).when(F.col("task_id") % 9 == 5, none).otherwise(F.array(F.lit("assistant"), F.lit("user")))
+    return tasks.withColumn("scopes", scopes).withColumn("status", F.expr("CASE WHEN task_id % 8 = 3 THEN 'clarify' ELSE 'finished' END")), kept, turns
+
+
+@query(f"""WITH {ROUTES_SQL} SELECT task_id, eligible, CASE WHEN eligible THEN 'NOT_EVALUATED' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict, CASE WHEN eligible THEN 'bilateral_supported' WHEN len(scopes) = 0 OR status = 'clarify' THEN 'unresolved_scope' ELSE 'not_bilateral_supported' END AS reason FROM pre""")
+def dia_pair_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which conversations have kept references of both sides."""
+    tasks, kept, _ = _routes(spark, sf_dir)
+    return S.pair_preflight(tasks, kept, ("assistant", "user"))
+
+
+@query(f"""WITH {ROUTES_SQL}, r AS (SELECT *, {ROUTE} AS route FROM pre) SELECT task_id, route, rule FROM (SELECT *, CASE WHEN (route = 'semantic') <> eligible THEN 'other_cohort' WHEN route = 'retrieval_bound' AND task_id % 3 <> 0 THEN 'not_retrieval_bound' WHEN route = 'unsupported_side' AND task_id % 5 <> 0 THEN 'no_unsupported_side'
+ WHEN route = 'unresolved_scope' AND status <> 'clarify' THEN 'not_unresolved' END AS rule FROM r) WHERE rule IS NOT NULL""")
+def sup_route_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected routes that the kept run does not bear out."""
+    tasks, kept, _ = _routes(spark, sf_dir)
+    groups = tasks.select("task_id", F.expr("CASE WHEN task_id % 3 = 0 THEN 'RETRIEVAL_BOUND' ELSE 'CANDIDATE_AVAILABLE' END").alias("candidate_group"))
+    oracle = tasks.select("task_id", F.lit("user").alias("scope"), F.expr("CASE WHEN task_id % 5 = 0 THEN false WHEN task_id % 5 = 1 THEN true END").alias("expected_available"))
+    return S.route_breaks(tasks.select("task_id", F.expr(ROUTE).alias("route")), S.pair_preflight(tasks, kept, ("assistant", "user")), groups, oracle, tasks)
+
+
+@query(f"""WITH {REFERENCES_SQL}, reg AS (SELECT DISTINCT evidence_id, min(scope) AS source, min(turn + 1) AS page, min(turn) AS block_index, 0 AS chunk_id, min(text) AS excerpt FROM turns GROUP BY evidence_id)
+SELECT task_id, count(*) AS assessed, count(*) FILTER (WHERE k.source = r.source AND k.page = r.page AND k.block_index = r.block_index AND k.chunk_id = r.chunk_id AND k.excerpt = r.excerpt) AS authentic, count(*) FILTER (WHERE k.source = r.source AND k.page = r.page AND k.block_index = r.block_index AND k.chunk_id = r.chunk_id) AS provenance,
+ count(*) FILTER (WHERE r.evidence_id IS NOT NULL AND length(k.excerpt) <= 1200) AS bounded FROM kept k LEFT JOIN reg r USING (evidence_id) GROUP BY task_id""")
+def sup_citation_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept citations against the turns that they cite."""
+    _, kept, turns = _routes(spark, sf_dir)
+    registry = turns.groupBy("evidence_id").agg(F.min("scope").alias("source"), (F.min("turn") + 1).alias("page"), F.min("turn").alias("block_index"), F.lit(0).alias("chunk_id"), F.min("text").alias("excerpt"))
+    return S.citation_snapshot(kept, registry)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL' WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'UNCERTAIN' END AS status FROM orders""")
+def lay_structure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables: some mismatch, the finished ones have a complete truth."""
+    return C.table(spark, sf_dir, "orders").select("o_orderkey", layout.structure_status(F.when(F.col("o_orderkey") % 7 == 0, True), F.when(F.col("o_orderstatus") == "F", True)).alias("status"))
+
+
+EXCERPT = "CASE doc_id % 4 WHEN 0 THEN replace(substr(text, 3, 200), ' ', '  ') WHEN 1 THEN upper(substr(text, 3, 200)) WHEN 2 THEN substr(text, 3, 200) ELSE substr(text, length(text) - 60, 61) END"
+
+
+@query(rf"""SELECT d.doc_id, regexp_replace(trim(regexp_replace(e, '\s+', ' ', 'g')), '^$', '') <> '' AND contains(trim(regexp_replace(p.text, '\s+', ' ', 'g')), trim(regexp_replace(e, '\s+', ' ', 'g'))) AS on_page FROM (SELECT doc_id, coalesce({EXCERPT}, '') AS e FROM documents) d JOIN documents p USING (doc_id)""")
+def sup_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of every document with other blanks, other case or from its end, against its whole text."""
+    docs = C.table(spark, sf_dir, "documents")
+    return evidence.on_page(docs.selectExpr("doc_id", f"{EXCERPT} AS excerpt"), docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "on_page")
