@@ -108,3 +108,37 @@ def test_altered_ranks(spark):
     assert audit.altered(twice, corpus, pool.filter("qid = 2")).first()["state"] == "repeated_rank"
     asked = spark.createDataFrame([(1, "a"), (5, "a")], "qid int, source string")
     assert {r["qid"]: r["in_scope"] for r in audit.scope_counts(stored, corpus, asked).collect()} == {1: 2, 5: 0}
+
+
+def test_pair_preflight_and_routes(spark):
+    tasks = spark.createDataFrame([(1, ["A", "B"], "finished"), (2, ["A", "B"], "finished"), (3, ["B", "A"], "finished"), (4, [], "finished"), (5, ["A"], "clarify"), (6, None, None)], "task_id int, scopes array<string>, status string")
+    held = spark.createDataFrame([(1, "A"), (1, "B"), (1, "B"), (2, "A"), (3, "A"), (3, "B")], "task_id int, scope string")
+    pre = S.pair_preflight(tasks, held)
+    assert {r["task_id"]: r["reason"] for r in pre.collect()} == {1: "bilateral_supported", 2: "not_bilateral_supported", 3: "not_bilateral_supported", 4: "unresolved_scope", 5: "unresolved_scope", 6: "unresolved_scope"}
+    truth = spark.createDataFrame([(1, "semantic"), (2, "semantic"), (3, "retrieval_bound"), (4, "unsupported_side"), (5, "unresolved_scope"), (6, "unresolved_scope")], "task_id int, route string")
+    groups = spark.createDataFrame([(3, "CANDIDATE_AVAILABLE")], "task_id int, candidate_group string")
+    oracle = spark.createDataFrame([(4, "A", None), (4, "B", True)], "task_id int, scope string, expected_available boolean")
+    rules = {r["task_id"]: r["rule"] for r in S.route_breaks(truth, pre, groups, oracle, tasks).collect()}
+    assert rules == {2: "other_cohort", 3: "not_retrieval_bound", 4: "no_unsupported_side", 6: "not_unresolved"}
+
+
+DIMS = "object_or_field string, value string, unit string, condition_or_applicability string"
+
+
+@pytest.mark.parametrize(
+    "route, confidence, result, errors, passed",
+    [
+        ("semantic", "sure", ("compared", True, "DIFFERENT", "DIFFERENT", True, "DIFFERENT", "aligned"), [], True), ("semantic", "sure", ("compared", True, "DIFFERENT", "EQUIVALENT", True, "DIFFERENT", "aligned"), ["INVALID_OUTPUT"], None),
+        ("semantic", "sure", ("compared", True, "x", "NOT_COMPARABLE", True, "NOT_COMPARABLE", "uncertain"), ["UNIT_COMPARISON_ERROR", "NOT_COMPARABLE_FALSE_POSITIVE"], False), ("semantic", "sure", ("compared", True, "x", "x", False, "x", "aligned"), ["INVALID_OUTPUT"], None),
+        ("semantic", "sure", ("unit_conversion_required", True, None, None, True, "DIFFERENT", "different"), ["UNIT_COMPARISON_ERROR"], None), ("semantic", "sure", ("unit_conversion_required", True, None, None, True, "DIFFERENT", "aligned"), ["INVALID_OUTPUT"], None),
+        ("semantic", "uncertain", ("compared", True, "DIFFERENT", "DIFFERENT", True, "DIFFERENT", "aligned"), ["GT_UNCERTAIN"], None), ("semantic", "sure", ("preflight_insufficient_evidence", False, "INSUFFICIENT_EVIDENCE", None, None, None, None), ["INVALID_OUTPUT"], None),
+        ("retrieval_bound", "sure", ("preflight_insufficient_evidence", False, "INSUFFICIENT_EVIDENCE", None, None, None, None), ["EVIDENCE_UPSTREAM_FAILURE"], None), ("unsupported_side", None, ("preflight_insufficient_evidence", True, "INSUFFICIENT_EVIDENCE", None, None, None, None), ["INVALID_OUTPUT"], None),
+        ("semantic", "sure", None, ["INVALID_OUTPUT"], None),
+    ],
+)
+def test_semantic_rows(spark, route, confidence, result, errors, passed):
+    truth = spark.createDataFrame([(1, route, confidence, "DIFFERENT", "aligned", None, "aligned", None)], "task_id int, route string, confidence string, expected_verdict string, " + ", ".join(f"expected_{d}" for d in DIMS.split(", ")))
+    rows = [] if result is None else [(1, *result[:2], "r", *result[2:6], "aligned" if result[4] is not None else None, None, result[6], None)]
+    results = spark.createDataFrame(rows, f"task_id int, status string, eligible boolean, reason string, verdict string, formal_verdict string, valid boolean, semantic_verdict string, {DIMS}")
+    r = S.semantic_rows(truth, results).first()
+    assert (r["errors"], r["verdict_passed"]) == (errors, passed)
