@@ -333,3 +333,25 @@ def citation_snapshot(saved: DataFrame, registry: DataFrame) -> DataFrame:
     same = lambda names: F.coalesce(F.col("known"), F.lit(False)) & F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in names]), lambda x: x)
     bound = F.coalesce(F.col("known") & (F.length("excerpt") <= MAX_EXCERPT) & (F.col("span_length") == F.length("excerpt")), F.lit(False))
     return rows.groupBy("task_id").agg(F.count("*").alias("assessed"), F.count_if(same(own)).alias("authentic"), F.count_if(same(own[:4])).alias("provenance"), F.count_if(bound).alias("bounded"))
+
+
+def revalidated(cited: DataFrame, observed: DataFrame, lookups: DataFrame, rendered: DataFrame) -> DataFrame:
+    """cited (task_id, scope, evidence_id, excerpt) with broken: the rules that a citation of a report breaks, in order.
+
+    It must have been observed in its scope (observed: task_id, scope, evidence_id) and looked up there (lookups:
+    task_id, evidence_id, source), and its excerpt must hash like the reference rendered anew (rendered:
+    evidence_id, excerpt). Within a task and scope an id is cited once.
+    """
+    rows = cited.withColumn("_row", F.monotonically_increasing_id())
+    again = F.row_number().over(Window.partitionBy("task_id", "scope", "evidence_id").orderBy("_row")) > 1
+    seen = observed.select("task_id", "scope", "evidence_id").distinct().withColumn("_seen", F.lit(True))
+    held = lookups.groupBy("task_id", "evidence_id").agg(F.collect_set("source").alias("_sources"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    anew = rendered.select("evidence_id", digest("excerpt").alias("_digest")).dropDuplicates(["evidence_id"])
+    rows = rows.withColumn("_again", again).join(seen, ["task_id", "scope", "evidence_id"], "left").join(held, ["task_id", "evidence_id"], "left").join(anew, "evidence_id", "left")
+    rules = {
+        "not_observed": F.col("_seen").isNull(), "not_looked_up": F.col("_sources").isNull(), "other_scope": F.col("_sources").isNotNull() & ~F.array_contains("_sources", F.col("scope")),
+        "not_rendered": F.col("_digest").isNull(), "other_excerpt": F.col("_digest").isNotNull() & ~F.coalesce(digest("excerpt") == F.col("_digest"), F.lit(False)), "repeated": F.col("_again"),
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("broken", broken).select(*[f"`{c}`" for c in cited.columns], "broken")

@@ -369,3 +369,21 @@ def sup_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of every document with other blanks, other case or from its end, against its whole text."""
     docs = C.table(spark, sf_dir, "documents")
     return evidence.on_page(docs.selectExpr("doc_id", f"{EXCERPT} AS excerpt"), docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "on_page")
+
+
+CITED_AS = "CASE doc_id % 5 WHEN 1 THEN 'src99' ELSE scope END"
+CITED_TEXT = "CASE WHEN doc_id % 6 = 0 THEN substr(text, 2, 60) ELSE substr(text, 1, 60) END"
+
+
+@query(f"""WITH {STATE_SQL}, res AS (SELECT DISTINCT task_id, scope, evidence_id, doc_id FROM results), c AS (SELECT task_id, {CITED_AS} AS scope, evidence_id, doc_id, {CITED_TEXT} AS excerpt FROM res JOIN documents USING (doc_id)),
+x AS (SELECT c.*, (SELECT list(source) FROM lookups l WHERE l.task_id = c.task_id AND l.evidence_id = c.evidence_id) AS src, (task_id, c.scope, evidence_id) IN (SELECT (task_id, scope, evidence_id) FROM res) AS seen, d.text FROM c JOIN documents d USING (doc_id))
+SELECT task_id, scope, evidence_id, array_to_string(list_filter([CASE WHEN NOT seen THEN 'not_observed' END, CASE WHEN src IS NULL THEN 'not_looked_up' END, CASE WHEN NOT list_contains(src, scope) THEN 'other_scope' END, CASE WHEN doc_id % 8 = 7 THEN 'not_rendered' END,
+ CASE WHEN doc_id % 8 <> 7 AND sha256(coalesce(excerpt, '')) <> sha256(coalesce(substr(text, 1, 60), '')) THEN 'other_excerpt' END], lambda r: r IS NOT NULL), ',') AS broken FROM x""")
+def sup_revalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of all candidates: some under another scope, some never looked up, some with another excerpt or none rendered."""
+    _, _, _, results, lookups = state(spark, sf_dir)
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("ev"), F.col("doc_id").cast("string")).alias("evidence_id"), "text")
+    seen = results.select("task_id", "scope", "evidence_id").distinct()
+    cited = seen.join(docs, "evidence_id").selectExpr("task_id", f"{CITED_AS} AS scope", "evidence_id", f"{CITED_TEXT} AS excerpt")
+    out = S.revalidated(cited, seen, lookups, docs.filter("doc_id % 8 <> 7").selectExpr("evidence_id", "substr(text, 1, 60) AS excerpt"))
+    return out.select("task_id", "scope", "evidence_id", F.array_join("broken", ",").alias("broken"))
