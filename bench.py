@@ -17,7 +17,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
-QUERIES = ["chk_chunks", "ret_term_stats", "ret_bm25_top20", "ret_bm25_scoped", "ret_dense_topk", "ret_rrf", "ret_hybrid", "ret_rerank_len", "evl_summary", "qlt_flags", "qlt_multiset_residual", "evd_lookup_window", "evd_parent_expand", "lay_nearest", "blk_groups", "agt_policy_outcomes", "use_api_usage"]
+QUERIES = ["chk_chunks", "ret_term_stats", "ret_bm25_top20", "ret_bm25_scoped", "ret_dense_topk", "ret_rrf", "ret_hybrid", "ret_rerank_len", "evl_summary", "qlt_flags", "qlt_multiset_residual", "evd_lookup_window", "evd_parent_expand", "lay_nearest", "blk_groups", "agt_policy_outcomes", "use_api_usage", "ret_dense_bm25", "ret_search", "evl_five_arms"]
 
 
 def main() -> None:
