@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,35 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only in local mode, where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='docsift-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/docsift/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing is read from any more."""
-    for df in tables:
-        path = getattr(df, "stored_at", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            path = jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(conf).delete(path, True)
+from docsift.storage import forget, shared_dir, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

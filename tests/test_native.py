@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsift.operators import native as N
+from docsift.storage import spread
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -72,3 +74,21 @@ def test_joins_of_spans(spark, width):
     assert got == sorted((i[1], o[1]) for i in inner for o in outer if i[0] == o[0] and max(i[2], o[2]) < min(i[3], o[3]))
     plan = N.within(a, b, ["key"], width)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tokens_of_lines_need_no_join(spark):
+    """line_tokens() and line_blocks() equal the joins over the words of any line, and shuffle no words."""
+    texts = ["a-b, c3 ", "ＡＢ　c　d 漢字x", "", "3.5% ≤7\x01z é́", "one", "... --"]
+    rows = spark.createDataFrame([(p, 0, n, [w for w in t.split(" ") if w]) for p in (1, 2) for n, t in enumerate(texts)], "page long, block_no int, line_no int, texts array<string>")
+    rows = rows.unionByName(rows.filter("page = 2 and line_no = 0").selectExpr("page", "block_no", "line_no", "array('again', 'x') texts"))
+    lines = N.line_words(spread(rows, "page"), lambda no, text, line: F.struct((no * 40.0).alias("x0"), (line * 12.0).alias("y0"), (no * 40.0 + F.length(text) * 6).alias("x1"), (line * 12.0 + 10).alias("y1")))
+    spans = N.word_spans(lines.select("page", "block_no", "line_no", F.inline("words")))
+    blocks = N.page_blocks(spans)
+    key = ["page", "block_id"]
+    assert sorted(N.line_blocks(lines).collect(), key=str) == sorted(blocks.select(N.line_blocks(lines).columns).collect(), key=str)
+    got = N.line_tokens(lines)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(got.collect(), key=str) == sorted(N.occurrences(blocks, spans).select(got.columns).collect(), key=str) != []
+    proved = N.evidence_in_spans(got, blocks.select(*key, F.lit(0).alias("span_id"), F.lit(0).alias("char_start"), F.length("text").alias("char_end")))
+    assert "hashpartitioning(evidence_id" not in proved._jdf.queryExecution().executedPlan().toString()
