@@ -7,6 +7,8 @@ denominator.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,17 +103,27 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
 def evidence_in(texts: DataFrame, qa: DataFrame, name: str) -> DataFrame:
     """qid, <name>_in_scope, <name>_evidence: whether texts (source, page, text) of a question's scope exist and hold its keywords.
 
-    Questions with a source meet the texts of that source by an equi-join; only those without one meet all
-    texts. Each text reports the numbers of the keywords it holds, which are made distinct before the shuffle.
+    Questions, and so their scopes and keywords, are few and stated: the distinct ones are broadcast, and every text
+    stays where it is, reporting the keywords it holds; those are made distinct before the shuffle.
     """
     q = qa.select("qid", "expected_source", "expected_page", T.evidence_normals("keywords").alias("kw"))
     t = texts.select("source", "page", T.evidence_normal("text").alias("normal"))
-    page = F.col("expected_page").isNull() | (F.col("expected_page") == F.col("page"))
-    hit = t.join(q, (F.col("source") == F.col("expected_source")) & page).unionByName(t.join(q.filter("expected_source is null"), page))
-    held = F.filter(F.transform("kw", lambda k, i: F.when(F.contains(F.col("normal"), k), i)), lambda i: i.isNotNull())
-    found = hit.select("qid", F.explode_outer(held).alias("i")).distinct().groupBy("qid").agg(F.count("i").alias("n_held"))
-    out = q.join(found, "qid", "left")
-    return out.select("qid", F.col("n_held").isNotNull().alias(f"{name}_in_scope"), F.coalesce(F.col("n_held") == F.size("kw"), F.lit(False)).alias(f"{name}_evidence"))
+    scope = ["expected_source", "expected_page"]
+
+    def met(rows: DataFrame, asked: DataFrame, holds: Column) -> DataFrame:
+        """The distinct rows of `asked` that some row of their scope meets."""
+        page = (F.col("expected_page").isNull() | (F.col("expected_page") == F.col("page"))) & holds
+        own = rows.join(F.broadcast(asked.filter("expected_source is not null")), (F.col("source") == F.col("expected_source")) & page)
+        every = rows.join(F.broadcast(asked.filter("expected_source is null")), page)
+        return own.select(*asked.columns).distinct().unionByName(every.select(*asked.columns).distinct())
+
+    same = lambda a, b, columns: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
+    words = q.select("qid", *scope, F.posexplode("kw").alias("i", "word"))
+    found = met(t, words.select(*scope, "word").distinct(), F.contains("normal", "word"))
+    held = words.join(found, same(words, found, [*scope, "word"]), "left_semi").groupBy("qid").agg(F.count("i").alias("n_held"))
+    there = met(texts.select("source", "page").distinct(), q.select(*scope).distinct(), F.lit(True)).withColumn("there", F.lit(True))
+    out = q.join(there, same(q, there, scope), "left").select("qid", "kw", F.coalesce("there", F.lit(False)).alias("there")).join(held, "qid", "left")
+    return out.select("qid", F.col("there").alias(f"{name}_in_scope"), F.coalesce(F.col("there") & (F.coalesce("n_held", F.lit(0)) == F.size("kw")), F.lit(False)).alias(f"{name}_evidence"))
 
 
 def diagnose(rows: DataFrame, documents: DataFrame, chunks: DataFrame, qa: DataFrame, top_k: int = TOP_K) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.operators import evaluate as E
 from docsift.operators import retrieval
+from docsift.storage import stored
 
 from . import common as C
 from .retrieval import HYBRID_SQL, hybrid
@@ -30,11 +31,12 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, d = C.table(spark, sf_dir, "benchmark"), C.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("body"))
     found = d.join(F.broadcast(b), F.contains("body", "text")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     rows = b.join(found, "item_id", "left").join(d.drop("body"), "doc_id", "left")
-    return rows.select(
+    rows = rows.select(
         F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("source").alias("expected_source"), F.expr("CASE WHEN item_id % 5 <> 0 THEN doc_id % 10 END").alias("expected_page"),
         F.expr("CASE WHEN item_id % 9 = 0 THEN CAST(array() AS array<string>) ELSE slice(split(text, ' '), 1, 2) END").alias("keywords"),
         F.expr("element_at(array('text', 'table', 'chart'), CAST(item_id % 3 AS INT) + 1)").alias("category"), F.expr("item_id % 13 = 0").alias("review_required"),
     )
+    return stored(rows, "questions")  # a row a passage; each use would search all documents again
 
 
 def arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
