@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsift.functions.text import fold_column, token_list, tokens
+from docsift.storage import spread, stored
 
 K1, B, RRF_K, SCORE_DIGITS, QUERY_BLOCK = 1.2, 0.75, 60, 6, 512
 
@@ -35,7 +36,8 @@ def idf() -> Column:
 def build(chunks: DataFrame, scope: str | None = None, position: str = "position", text: str = "text") -> Index:
     by = [scope] if scope else []
     # dealt by position once: term counts and scores of a chunk then need no further shuffle
-    found = fold_column(chunks.select(*by, F.col(position).alias("position"), F.col(text).alias("_text")), "_text").repartition("position").select(*by, "position", token_list(F.col("_text")).alias("_tokens"))
+    found = fold_column(chunks.select(*by, F.col(position).alias("position"), F.col(text).alias("_text")), "_text")
+    found = spread(found, "position").select(*by, "position", token_list(F.col("_text")).alias("_tokens"))
     lengths = found.select(*by, "position", F.size("_tokens").alias("len"))
     stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     postings = (
@@ -150,7 +152,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float
             flush()
     if asked or out is None:
         flush()
-    return top(out, k, ["qid", *scope])
+    return stored(top(out, k, ["qid", *scope]), "bm25-pool")  # k rows a query and scope, read by whatever follows
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -205,7 +207,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 512,
 
         part = vectors.select("position", column).mapInArrow(run, "qid bigint, position bigint, score double")
         out = part if out is None else out.unionByName(part)
-    return top(out, k, ["qid"])
+    return stored(top(out, k, ["qid"]), "dense-pool")
 
 
 def rrf(lists: dict[str, DataFrame], top_k: int = 20, k: float = RRF_K, key: str = "position") -> DataFrame:
