@@ -162,3 +162,37 @@ def test_ordinals_agree_wherever_they_are_computed(spark):
     assert [(r["b"], r["a"]) for r in one.orderBy("ordinal").collect()] == want and one.selectExpr("min(ordinal)", "max(ordinal)", "count(DISTINCT ordinal)").first()[:] == (0, 19_999, 20_000)
     assert one.join(again, ["a"]).filter("ordinal <> o").count() == 0
     assert chunking.ordinals(rows.limit(0), ["a"]).count() == 0 and chunking.ordinals(rows.limit(1), ["a"], parts=5).first()["ordinal"] == 0
+
+
+def _told(parent, child):
+    """The sentences around a child by a plain loop over the whole parent."""
+    import re
+
+    start = parent.find(child)
+    end, marks = start + len(child), [m.span() for m in re.finditer(r"[。！？!?；;][\s\x1c-\x1f\x85]*|\n+|\.(?=[\s\x1c-\x1f\x85])", parent)]
+    low, high = max(0, start - 200), min(len(parent), end + 200)
+    ahead = [to for _, to in marks if to <= start]
+    stop = next((to for at, to in marks if end <= at < high), high)
+    return (ahead[-2] if len(ahead) > 1 and ahead[-2] >= low else low, stop)
+
+
+def test_references_do_not_read_a_long_parent_for_each_child(spark):
+    import random
+    import time
+
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        bits = lambda n: "".join(rng.choice(["a", "é", ".", ". ", "? ", "\n", " ", "；", "! \n\n", " " * 90, "　", "word" * 9]) for _ in range(n))
+        rows.append((i, bits(rng.choice([0, 3, 40])) + f"<{i}>" + bits(rng.choice([0, 2, 40])), f"<{i}>"))
+    rows.append((900, "x?" + " " * 250 + "<900>" + "y" * 199 + "?" + " \n" * 100 + "z.", "<900>"))
+    rows.append((901, "q. x." + " " * 199 + "<901>" + "y" * 199 + ". z", "<901>"))
+    frame = spark.createDataFrame(rows, "i int, parent_text string, text string").withColumn("block_type", F.lit("text"))
+    told = {r["i"]: r["span"]["ranges"][0] for r in evidence.references(frame).filter("span.ranges is not null").collect()}
+    assert len(told) > 100 and all(tuple(told[i]) == _told(p, c) for i, p, c in rows if i in told)
+    # 200 children of one parent of 440,000 characters: each cut to the whole parent's sentences took far longer
+    parent = ". ".join(f"<{i}>" + " Some words here." * 129 for i in range(200))
+    kids, whole = spark.range(200).selectExpr("concat('<', id, '>') AS text"), spark.createDataFrame([(parent, "text")], "parent_text string, block_type string")
+    began = time.time()
+    found = [r["context_chars"] for r in evidence.references(kids.crossJoin(F.broadcast(whole))).select("context_chars").collect()]
+    assert len(found) == 200 and all(0 < n <= 400 for n in found)
+    assert time.time() - began < 15
