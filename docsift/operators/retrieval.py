@@ -21,8 +21,9 @@ K1, B, RRF_K, SCORE_DIGITS, QUERY_BLOCK = 1.2, 0.75, 60, 6, 512
 
 @dataclass
 class Index:
-    """postings (term, position, tf, len), terms (term, df, idf), stats (n, avg_len), all by scope."""
+    """tokens (position, _tokens), postings (term, position, tf, len), terms (term, df, idf), stats (n, avg_len), all by scope."""
 
+    tokens: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
@@ -33,11 +34,23 @@ def idf() -> Column:
     return F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
+def with_tokens(rows: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """keep and _tokens of each row, in one pass over them."""
+    found = fold_column(rows.select(*keep, F.col(text).alias("_text")), "_text")
+    return found.select(*keep, token_list(F.col("_text")).alias("_tokens"))
+
+
 def build(chunks: DataFrame, scope: str | None = None, position: str = "position", text: str = "text") -> Index:
+    """The index of chunks, whose _tokens are taken where they are there already."""
     by = [scope] if scope else []
-    # dealt by position once: term counts and scores of a chunk then need no further shuffle
-    found = fold_column(chunks.select(*by, F.col(position).alias("position"), F.col(text).alias("_text")), "_text")
-    found = spread(found, "position").select(*by, "position", token_list(F.col("_text")).alias("_tokens"))
+    own = chunks.select(*by, F.col(position).alias("position"), F.col("_tokens" if "_tokens" in chunks.columns else text))
+    if "_tokens" in chunks.columns:
+        told, found = own, spread(own, "position")
+    else:
+        told = with_tokens(own, *by, "position", text=text)
+        # dealt by position once: term counts of a chunk then need no further shuffle
+        found = fold_column(own.withColumnRenamed(text, "_text"), "_text")
+        found = spread(found, "position").select(*by, "position", token_list(F.col("_text")).alias("_tokens"))
     lengths = found.select(*by, "position", F.size("_tokens").alias("len"))
     stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     postings = (
@@ -47,7 +60,7 @@ def build(chunks: DataFrame, scope: str | None = None, position: str = "position
     df = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
     whole = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row without scopes
     terms = whole.select(*by, "term", "df", idf().alias("idf"), "avg_len")
-    return Index(postings, terms, stats, by)
+    return Index(told, postings, terms, stats, by)
 
 
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -61,20 +74,32 @@ def top(ranked: DataFrame, k: int, by: list[str], score: str = "score", tie: str
     return ranked.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def asked_postings(index: Index, queries: DataFrame) -> DataFrame:
+    """(scope,) position, len, term, tf of the terms that queries ask, stored; `first` marks one row of each chunk, whose term is null if it is not asked."""
+    asked = query_terms(queries).select("term").distinct().withColumn("asked", F.lit(True))
+    rows = index.tokens.select(*index.scope, "position", F.size("_tokens").alias("len"), F.posexplode_outer("_tokens").alias("at", "term"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    rows = rows.join(F.broadcast(asked), "term", "left").filter(F.col("asked") | first)
+    counts = rows.groupBy(*index.scope, "position", "len", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"), F.max(first).alias("first"))
+    return stored(counts, "asked-postings")
+
+
 def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, (scope,) rank, position, score. Positions without a query term are never returned.
 
-    The stated queries are dealt into blocks. A block's vocabulary meets the term statistics and then
-    the postings by a broadcast of its distinct terms, so the postings stay where they are and only
-    those of asked terms go on. Each partition scores its positions as matrix products and passes on
-    its best k of every query (and scope): k rows a query and partition are shuffled, not all matches.
+    The tokens are read once: those of asked terms (their distinct terms are broadcast) are counted where they
+    are and stored with the lengths of all chunks, from which the statistics follow. The stated queries are dealt
+    into blocks; a block's postings are dealt by position, each partition scores its positions as matrix products
+    and passes on its best k of every query (and scope): k rows a query and partition are shuffled, not all matches.
     """
     import numpy as np
     import pyarrow as pa
 
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
-    spark, scope = index.postings.sparkSession, index.scope
+    spark, scope = index.tokens.sparkSession, index.scope
+    kept = asked_postings(index, queries)
+    stats = kept.filter("first").groupBy(*scope).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
 
@@ -86,12 +111,11 @@ def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float
             holds[[number[t] for t in own], j] = 1
         held = spark.sparkContext.broadcast((np.array([q for q, _ in asked], np.int64), holds))  # `block` queries at most
         vocabulary = spark.createDataFrame(list(number.items()), "term string, no int")
-        # the asked terms meet the tokens before these are counted, so no other term is ever aggregated
-        kept = index.postings.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
-        counts = kept.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-        whole = counts.join(index.stats, scope) if scope else counts.crossJoin(F.broadcast(index.stats))
+        own = kept.join(F.broadcast(vocabulary), "term")
+        counts = own.groupBy(*scope, "term").agg(F.count("*").alias("df"))
+        whole = counts.join(stats, scope) if scope else counts.crossJoin(F.broadcast(stats))
         wanted = whole.filter("avg_len > 0").select(*scope, "term", idf().alias("idf"), "avg_len").join(F.broadcast(vocabulary), "term")
-        hits = kept.join(F.broadcast(wanted), [*scope, "term"])
+        hits = kept.join(F.broadcast(wanted), [*scope, "term"])  # scopes of chunks are few, and terms those of a block
         hits = hits.select((F.col(scope[0]) if scope else F.lit(None).cast("string")).alias("scope"), "position", "no", weight.alias("weight"))
 
         def run(batches):
@@ -135,7 +159,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 3, k1: float = K1, b: float
                 q, i = np.nonzero(s >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array([key] * len(q), pa.string()), pa.array(p[q, i]), pa.array(s[q, i])], ["qid", "scope", "position", "score"])
 
-        out = hits.sortWithinPartitions("scope", "position").mapInArrow(run, "qid bigint, scope string, position bigint, score double")
+        out = hits.repartition("position").sortWithinPartitions("scope", "position").mapInArrow(run, "qid bigint, scope string, position bigint, score double")
         return out.withColumnRenamed("scope", scope[0]) if scope else out.drop("scope")
 
     out, asked = None, []
@@ -240,9 +264,9 @@ HASH_DIMENSIONS = "0123456789abcdef"
 
 def hashed_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
     """A deterministic stand-in for an embedding model: counts of tokens by a hexadecimal digit of their hash."""
-    digits = F.transform(F.col("_tokens"), lambda t: F.substring(F.md5(t), 4, 1))
-    rows = fold_column(rows.select(key, F.col(text).alias("_text")), "_text").select(key, token_list(F.col("_text")).alias("_tokens")).select(key, digits.alias("_digits"))
-    counts = [F.array_size(F.array_remove(F.transform("_digits", lambda x: F.when(x == digit, x).otherwise("")), "")).cast("double") for digit in HASH_DIMENSIONS]
+    rows = rows.select(key, "_tokens") if "_tokens" in rows.columns else with_tokens(rows, key, text=text)
+    rows = rows.select(key, F.array_join(F.transform("_tokens", lambda t: F.substring(F.md5(t), 4, 1)), "").alias("_digits"))
+    counts = [(F.length("_digits") - F.length(F.replace("_digits", F.lit(digit), F.lit("")))).cast("double") for digit in HASH_DIMENSIONS]
     return rows.select(key, F.array(*counts).alias("embedding"))
 
 
@@ -256,6 +280,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, model: Callable | None = None,
 
     vectors and index may be given where they are stored already.
     """
+    if model is None and vectors is None and index is None and "_tokens" not in chunks.columns:
+        chunks = stored(with_tokens(chunks, "position"), "tokens")  # both arms read them
     near = dense(vectors if vectors is not None else encode(chunks, model), encode(queries, model, "qid", "query"), k)
     return rrf({"dense": near, "bm25": bm25(index or build(chunks), queries, k)}, k)
 
@@ -276,6 +302,9 @@ def search(chunks: DataFrame, queries: DataFrame, known: list[str], retriever: s
     bad = F.coalesce(strip("query"), F.lit("")) == ""
     asked = asked.withColumn("status", F.when(F.col("scopes").isNull(), "invalid_scope").when(bad | (F.length("query") > 4000), "error"))
     fine, found = asked.filter("status is null"), None
+    if "_tokens" not in chunks.columns:  # cut and told apart once, not for each set of scopes and arm
+        texts = ["text"] if model is not None or score is not None else []
+        chunks = stored(with_tokens(chunks, "position", "source", *texts), "tokens")
     for row in fine.select("scopes").distinct().collect():  # sets of known sources, at most one a query
         own = chunks.filter(F.col("source").isin(*row["scopes"]))
         ask = fine.filter(F.array_join("scopes", "\x01") == "\x01".join(row["scopes"])).select("qid", "query")
@@ -298,6 +327,7 @@ def rerank_expanded(candidates: DataFrame, score: Callable[[Column, Column], Col
 
 def arms(chunks: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], k: int = 3, model: Callable | None = None) -> DataFrame:
     """arm, qid, rank, position: dense, bm25, hybrid and the first and last reranked, over pools that are made once."""
+    chunks = stored(with_tokens(chunks, "position", "text"), "tokens")  # both pools and the rerankers read them
     near, words = dense(encode(chunks, model), encode(queries, model, "qid", "query"), 20), bm25(build(chunks), queries, 20)
     pools = {"dense": near, "bm25": words, "hybrid": rrf({"dense": near, "bm25": words}, 20)}
     out = None

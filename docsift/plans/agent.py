@@ -82,8 +82,8 @@ def agt_policy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {C.bm25_sql(1, 'source')}, f AS (SELECT qid, text FROM bm25 JOIN chunks USING (position))
 SELECT qid, count(*) AS n_found, CASE WHEN count(*) < 2 THEN 'incomplete' WHEN count(DISTINCT text) = 1 THEN 'same_text' ELSE 'different_text' END AS comparison FROM f GROUP BY qid""")
 def agt_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.chunks(spark, sf_dir)
-    found = retrieval.bm25(retrieval.build(rows, scope="source"), C.questions(spark, sf_dir), 1).join(rows.select("position", "text"), "position")
+    found = retrieval.bm25(retrieval.build(C.chunks(spark, sf_dir), scope="source"), C.questions(spark, sf_dir), 1)
+    found = found.join(C.chunks_of(spark, sf_dir, found).select("position", "text"), "position")
     return A.finish(found.withColumn("status", F.lit("evidence_found")))
 
 

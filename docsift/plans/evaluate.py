@@ -40,10 +40,11 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pool, rows = hybrid(spark, sf_dir)
+    """Results of both arms, and all chunks."""
+    pool, own = hybrid(spark, sf_dir)
     pool = pool.select("qid", "position", F.explode(F.array(F.struct(F.lit("bm25").alias("arm"), F.col("bm25_rank").alias("rank")), F.struct(F.lit("hybrid").alias("arm"), F.col("rank")))).alias("a"))
-    res = pool.select("a.arm", "qid", "a.rank", "position").join(rows, "position")
-    return res.select("arm", "qid", "rank", "source", (F.col("doc_id") % 10).alias("page"), "text"), rows
+    res = pool.select("a.arm", "qid", "a.rank", "position").join(own, "position")
+    return res.select("arm", "qid", "rank", "source", (F.col("doc_id") % 10).alias("page"), "text"), C.chunks(spark, sf_dir)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

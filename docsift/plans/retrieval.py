@@ -124,9 +124,9 @@ hyb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, bm25_ra
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """BM25's pool fused with the same pool ordered by length, and the chunks."""
-    rows = C.chunks(spark, sf_dir)
-    pool = retrieval.bm25(retrieval.build(rows), C.questions(spark, sf_dir), 20)
+    """BM25's pool fused with the same pool ordered by length, and the chunks of the pool's documents."""
+    pool = retrieval.bm25(retrieval.build(C.chunks(spark, sf_dir)), C.questions(spark, sf_dir), 20)
+    rows = C.chunks_of(spark, sf_dir, pool)
     sized = pool.join(rows.select("position", F.length("text").alias("size")), "position")
     short = sized.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("size", "position")))
     return retrieval.rrf({"bm25": pool, "short": short.select("qid", "position", "rank", "score")}), rows

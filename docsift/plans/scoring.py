@@ -95,8 +95,9 @@ def ret_rerank_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {C.bm25_sql(3)}, t AS (SELECT qid, rank, list_distinct({C.TOKENS.format('q.text')}) AS a, list_distinct({C.TOKENS.format('c.text')}) AS b FROM bm25 JOIN chunks c USING (position) JOIN benchmark q ON q.item_id = qid), o AS (SELECT *, list_intersect(a, b) AS s FROM t)
 SELECT qid, rank, round(CASE WHEN len(a) > 0 THEN len(s) / len(a) ELSE 0 END, 9) AS coverage, len(list_filter(s, lambda x: regexp_matches(x, '[-_/]') OR (regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')))) AS identifiers, len(list_filter(s, lambda x: regexp_matches(x, '[0-9]'))) AS numbers FROM o""")
 def ret_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, ask = C.chunks(spark, sf_dir), C.questions(spark, sf_dir)
-    pool = retrieval.bm25(retrieval.build(rows), ask, 3).join(rows.select("position", "text"), "position").join(ask, "qid")
+    ask = C.questions(spark, sf_dir)
+    pool = retrieval.bm25(retrieval.build(C.chunks(spark, sf_dir)), ask, 3)
+    pool = pool.join(C.chunks_of(spark, sf_dir, pool).select("position", "text"), "position").join(ask, "qid")
     pool = pool.select("qid", "rank", T.tokens("query").alias("a"), T.tokens("text").alias("b")).select("qid", "rank", S.overlap(F.col("a"), F.col("b")).alias("o"))
     return pool.select("qid", "rank", F.round("o.query_token_coverage", 9).alias("coverage"), F.col("o.shared_identifier_tokens").alias("identifiers"), F.col("o.shared_numeric_tokens").alias("numbers"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsift import storage
 from docsift.operators import audit, chunking, evidence, layout, retrieval
 from docsift.operators import selection as S
 from docsift.operators.agent import DIMENSIONS
@@ -233,7 +234,8 @@ def _pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """stored, corpus, pool."""
     chunks = C.chunks(spark, sf_dir)
     pool = retrieval.bm25(retrieval.build(chunks), C.questions(spark, sf_dir), 10)
-    corpus = chunking.ordinals(chunks.select("position", "source"), ["position"])
+    corpus = storage.stored(chunks.select("position", "source"), "positions")  # numbered in several passes
+    corpus = storage.stored(chunking.ordinals(corpus, ["position"]), "ordinals")  # the stored pool and its audit read it
     stored = pool.join(corpus, "position").filter("NOT (qid % 7 = 2 AND rank = 5)").selectExpr("qid", *[f"{v} AS {k}" for k, v in STORED.items()])
     return stored, corpus, pool
 

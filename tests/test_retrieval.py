@@ -107,3 +107,26 @@ def test_scoped_search_and_its_status(spark):
     assert {x["position"] for x in out[1]["results"]} == {0, 2} and [x["position"] for x in out[2]["results"]] == [0, 1, 2]
     none = retrieval.search(rows, spark.createDataFrame([(1, "red", ["c"])], "qid bigint, query string, scopes array<string>"), ["a", "b", "c"]).first()
     assert (none["status"], none["results"]) == ("no_evidence", [])
+
+
+@pytest.mark.parametrize("kind", ["bm25", "hybrid", "search", "arms"])
+def test_chunks_are_cut_and_told_apart_once(spark, kind):
+    """Each row's text is asked for once, whatever the number of arms, scopes and passes over its tokens."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        seen.add(1)
+        return t
+
+    rows = spark.createDataFrame([(i, f"s{i % 2}", f"word{i % 5} same") for i in range(40)], "position bigint, source string, text string")
+    rows, ask = rows.withColumn("text", text.asNondeterministic()("text")), queries(spark, "word1 same", "word3")
+    if kind == "bm25":
+        out = retrieval.bm25(retrieval.build(rows), ask)
+    elif kind == "hybrid":
+        out = retrieval.hybrid(rows, ask)
+    elif kind == "search":
+        out = retrieval.search(rows, ask.withColumn("scopes", F.expr("CASE qid WHEN 0 THEN array('s0') END")), ["s0", "s1"])
+    else:
+        out = retrieval.arms(rows, ask, lambda q, t: F.length(t))
+    assert out.count() and seen.value == 40
