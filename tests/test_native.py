@@ -92,3 +92,16 @@ def test_tokens_of_lines_need_no_join(spark):
     assert sorted(got.collect(), key=str) == sorted(N.occurrences(blocks, spans).select(got.columns).collect(), key=str) != []
     proved = N.evidence_in_spans(got, blocks.select(*key, F.lit(0).alias("span_id"), F.lit(0).alias("char_start"), F.length("text").alias("char_end")))
     assert "hashpartitioning(evidence_id" not in proved._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_without_a_semicolon_stay_as_the_sql_has_them(spark, tmp_path):
+    import duckdb
+
+    from docsift import registry
+
+    pages = [(1, "<title>cut&amp</title><p>a &amp; b &lt;i&gt; &quot;&#39; &copy;&middot; &amp;lt; R&D &eacute; &#233; &ampx; &copy</p>"), (2, "<p>&</p>&<b>x;</b>"), (3, "plain")]
+    spark.createDataFrame(pages, "page_id bigint, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in con.execute(registry.ORACLES["htm_text"]).fetchall()}
+    assert {r["page_id"]: r["text"] for r in registry.QUERIES["htm_text"](spark, str(tmp_path)).collect()} == want
