@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,6 +172,63 @@ def test_links_are_relational(spark, odd):
     assert "Window" in plan and "Generate posexplode" in plan and "Join" not in plan
 
 
+def test_repeated_pieces_are_tokenised_once(spark):
+    words = [f"word{k}ing" for k in range(50)]
+    rows = [(i, " ".join(random.Random(i).choices(words, k=200))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    tokens = alignment.tokenise(docs, BYTES, PIECES)
+    exploded = alignment.links(tokens, 2, BYTES, PIECES).count()
+    assert 50 <= exploded <= 50 * 20  # not those of 40,000 words
+    assert alignment_of(docs) == plain_alignment(rows)
+
+
+EDGES = ["a", "Bee's", "c.", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\u00a0", "\u2028", "\x85", "\x1c", "▁", "漢字", "🙂", "<|endoftext|>", "<s>", "'s", "12", "é"]
+
+
+def test_alignment_beside_white_space(spark):
+    r = random.Random(12)
+    rows = [(i, "".join(r.choices(EDGES, weights=[6] * 3 + [12] + [1] * 17, k=r.randrange(1, 14)))) for i in range(1500)]
+    rows += [(len(rows) + i, x + y + z) for i, (x, y, z) in enumerate((x, y, z) for x in EDGES for y in EDGES for z in ("", "a"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert alignment_of(docs, part_bytes=2_000) == plain_alignment(rows)
+
+
+class Step:
+    """Stands for a table: gives the function of its mapInArrow."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_CHARS": 1, "BATCH_CHARS": 10}, {"BLOCK_PIECE_CHARS": 300, "BATCH_CHARS": 100, "PAGE_CHARS": 1}, {"PAGE_CHARS": 70, "BATCH_CHARS": 1}])
+def test_pieces_give_the_texts_back(monkeypatch, limits):
+    monkeypatch.setattr(alignment, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 3)}))
+    for name, x in limits.items():
+        monkeypatch.setattr(alignment, name, x)
+    r, spelled_as = random.Random(5), spelled()[1]
+    texts = [None, "", *["".join(r.choices([x for x in EDGES if x != "▁"] + [" "] * 20, k=r.randrange(1, 30))) for _ in range(200)]]
+    run, batch = alignment.tokenise(Step(), BYTES, PIECES), pa.RecordBatch.from_arrays([pa.array(range(202)), pa.array(texts)], ["doc_id", "text"])
+    rows = [x for made in run([batch]) for x in made.to_pylist()]
+    blocks, found, pages = collections.defaultdict(list), {}, [x for x in rows if x["n_a"] is not None]
+    assert len({x["row"] for x in pages}) == len(pages) and [x["row"] for x in pages] == sorted(x["row"] for x in pages)
+    for x in pages:
+        text, at = b"".join(spelled_as[i & 0xFFFF] for i in x["ids"][: x["n_a"]]), 0
+        for n in x["bytes"]:
+            blocks[x["block"]].append(text[at : at + n].decode())
+            at += n
+        assert at == len(text)
+    for x in rows:
+        held = np.frombuffer(pa.decompress(x["held"], sum(x["sizes"]) * 4, codec="zstd"), np.int32).tolist() if x["n_a"] is None else []
+        for k, (i, n) in enumerate(zip(x["doc_ids"] or [], x["sizes"] or [])):
+            found[i] = (x["row"] + k, "".join(blocks[x["block"]][p] for p in held[:n]).removeprefix(" "))
+            held = held[n:]
+    assert [found[i][1] for i in range(202)] == [t or "" for t in texts] and len({x for x, _ in found.values()}) == 202
+    assert len(blocks) > 1 or "BLOCK_CHARS" not in limits and "BLOCK_PIECE_CHARS" not in limits
+
+
 def library_count(text):
     return len(vocabularies.tool(WORDS).encode(text or "", add_special_tokens=False).ids)
 
