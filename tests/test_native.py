@@ -94,6 +94,12 @@ def test_tokens_of_lines_need_no_join(spark):
     assert "hashpartitioning(evidence_id" not in proved._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parts_of_texts_follow_the_input(spark):
+    """Parts were joined to 64 times the shuffle's least number, or four MB, whose words were sorted on disk."""
+    plan = spread(spark.range(1 << 24), "id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(id#\d+L?, (\d+)\)", plan).group(1) == str((8 << 24) // (1 << 19))
+
+
 def test_references_without_a_semicolon_stay_as_the_sql_has_them(spark, tmp_path):
     import duckdb
 
